@@ -6,6 +6,8 @@ built-in regular expressions and array functions over its lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ MEASURAND_LABELS = [
     r"Type of Test(?:s)?(?:\s+or\s+Tests\s+Performed)?",
     r"Intended Use",
 ]
+LABEL_WORDS = ["Measurand", "Analyte", "Type", "Intended"]
 SECTION_HEAD = r"[A-Z]\.?\s*"
 SECTION_BODY = r"s?\s*:\s*([\s\S]{1,400}?)\s*(?=[A-Z]\.?\s+[A-Z][a-z]|$)"
 
@@ -64,26 +67,32 @@ def candidate_document_urls(k: Column) -> Column:
     return F.when(valid_device_number(k), F.array(review, summary))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 # -- measurand --------------------------------------------------------------------------
 
 
 def extract_measurand(text: Column) -> Column:
     """Struct(label, value) of the best labelled section, or NULL.
 
-    Case matters: section headers are capitalised, prose mentions are not.
+    Case matters: section headers are capitalised, prose mentions are not. Texts without
+    any word of a label are passed over before they are flattened.
     """
-    flat = flatten_ws(text)
-    found = []
-    for label in MEASURAND_LABELS:
+
+    def section(flat: Column, label: str) -> Column:
         pattern = f"{SECTION_HEAD}({label}){SECTION_BODY}"
-        name = F.regexp_extract(flat, pattern, 1)
-        found.append(
-            F.when(
-                name != "",
-                F.struct(name.alias("label"), F.trim(F.regexp_extract(flat, pattern, 2)).alias("value")),
-            )
+        value = F.trim(F.regexp_extract(flat, pattern, 2)).alias("value")
+        return _let(
+            F.regexp_extract(flat, pattern, 1),
+            lambda name: F.when(name != "", F.struct(name.alias("label"), value)),
         )
-    return F.coalesce(*found)
+
+    worth = reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in LABEL_WORDS])
+    found = _let(flatten_ws(text), lambda flat: F.coalesce(*[section(flat, x) for x in MEASURAND_LABELS]))
+    return F.when(worth, found)
 
 
 # -- lines ------------------------------------------------------------------------------
@@ -115,23 +124,25 @@ def lines_until_next_section(lines: Column, position: Column) -> Column:
 
     The first line after it always belongs to the section, whatever it looks like.
     """
-    rest = _after(lines, position)
-    end = F.array_min(
-        F.filter(_positions(rest, lambda ln: ln.rlike(_u(NEXT_SECTION))), lambda i: i > 0)
-    )
-    return F.slice(rest, F.lit(1), F.coalesce(end, F.size(rest)))
+
+    def section(rest: Column) -> Column:
+        marked = _positions(rest, lambda ln: ln.rlike(_u(NEXT_SECTION)))
+        end = F.array_min(F.filter(marked, lambda i: i > 0))
+        return F.slice(rest, F.lit(1), F.coalesce(end, F.size(rest)))
+
+    return _let(_after(lines, position), section)
 
 
 def _pairs(rows: Column, pattern: str, name_group: int, number_group: int) -> Column:
     p = _u(pattern)
-    hits = F.filter(rows, lambda ln: ln.rlike(p))
-    return F.transform(
-        hits,
+    read = F.transform(
+        rows,
         lambda ln: F.struct(
             strip_ws(F.regexp_extract(ln, p, name_group)).alias("name"),
             F.regexp_extract(ln, p, number_group).alias("k_number"),
         ),
     )
+    return F.filter(read, lambda r: r["k_number"] != "")
 
 
 def _found(citations: Column) -> Column:
@@ -146,38 +157,49 @@ def citation_lines(text: Column) -> Column:
 
 def citations_table(lines: Column) -> Column:
     """One combined table: a block of ``name  number`` rows under its header."""
-    body = _after(lines, _first(lines, lambda ln: ln.rlike(_u(TABLE_HEADER))))
-    body = F.filter(body, lambda ln: ~ln.rlike(_u(TABLE_COLUMNS)))
 
     def is_row(ln: Column) -> Column:
         return ln.rlike(_u(TABLE_ROW))
 
+    def rows_of(block: Column) -> Column:
+        end = _first(block, lambda ln: ~is_row(ln))
+        return F.slice(block, F.lit(1), F.coalesce(end, F.size(block)))
+
+    body = F.filter(
+        _after(lines, _first(lines, lambda ln: ln.rlike(_u(TABLE_HEADER)))),
+        lambda ln: ~ln.rlike(_u(TABLE_COLUMNS)),
+    )
     # The block runs from the first row line to the first other line that follows a row.
-    block = _after(body, _first(body, is_row) - 1)
-    end = _first(block, lambda ln: ~is_row(ln))
-    block = F.slice(block, F.lit(1), F.coalesce(end, F.size(block)))
-    return _found(_pairs(block, TABLE_ROW, 1, 2))
+    block = _let(body, lambda b: _after(b, _first(b, is_row) - 1))
+    return _found(_pairs(_let(block, rows_of), TABLE_ROW, 1, 2))
 
 
 def citations_two_lists(lines: Column) -> Column:
     """A list of names and a list of numbers, paired by position."""
-    names_at = _first(lines, lambda ln: ln.rlike(_u(NAMES_HEADER)))
-    numbers_at = F.array_min(
-        F.filter(
-            _positions(lines, lambda ln: ln.rlike(_u(NUMBERS_HEADER))), lambda i: i != names_at
+
+    def pair(names: Column, numbers: Column) -> Column:
+        n = F.least(F.size(names), F.size(numbers))
+        return F.transform(
+            F.slice(names, F.lit(1), n),
+            lambda name, i: F.struct(name.alias("name"), F.get(numbers, i).alias("k_number")),
         )
-    )
-    names = F.filter(
-        lines_until_next_section(lines, names_at), lambda ln: ~ln.rlike(_u(NUMBERS_HEADER))
-    )
-    numbers = F.filter(
-        lines_until_next_section(lines, numbers_at), lambda ln: ln.rlike(_u(NUMBER_ONLY))
-    )
-    n = F.least(F.size(names), F.size(numbers))
-    zipped = F.arrays_zip(
-        F.slice(names, F.lit(1), n).alias("name"), F.slice(numbers, F.lit(1), n).alias("k_number")
-    )
-    return _found(F.when(names_at.isNotNull() & numbers_at.isNotNull() & (n > 0), zipped))
+
+    def under(names_at: Column) -> Column:
+        # The line that opens the names does not also open the numbers.
+        numbers_at = F.array_min(
+            F.filter(
+                _positions(lines, lambda ln: ln.rlike(_u(NUMBERS_HEADER))), lambda i: i != names_at
+            )
+        )
+        names = F.filter(
+            lines_until_next_section(lines, names_at), lambda ln: ~ln.rlike(_u(NUMBERS_HEADER))
+        )
+        numbers = F.filter(
+            lines_until_next_section(lines, numbers_at), lambda ln: ln.rlike(_u(NUMBER_ONLY))
+        )
+        return _let(names, lambda a: _let(numbers, lambda b: pair(a, b)))
+
+    return _found(_let(_first(lines, lambda ln: ln.rlike(_u(NAMES_HEADER))), under))
 
 
 def citations_number_first(lines: Column) -> Column:
@@ -197,12 +219,13 @@ def extract_citations(lines: Column) -> Column:
 
     Branches are lazy, so a template is tried only when the ones before it found nothing.
     """
-    templates = [
-        citations_table(lines),
-        citations_number_first(lines),
-        citations_name_number(lines),
-        citations_two_lists(lines),
-    ]
-    return F.coalesce(
-        *[F.when(F.size(c) > 0, c) for c in templates], F.array().cast(CITATION_TYPE)
-    )
+
+    def first_of(templates: list) -> Column:
+        if len(templates) == 1:
+            return templates[0](lines)
+        return _let(
+            templates[0](lines), lambda c: F.when(F.size(c) > 0, c).otherwise(first_of(templates[1:]))
+        )
+
+    order = [citations_table, citations_number_first, citations_name_number, citations_two_lists]
+    return F.when(F.size(lines) > 0, first_of(order)).otherwise(F.array().cast(CITATION_TYPE))

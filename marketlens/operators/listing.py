@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.functions.listing_html import FIELD_CLASSES, read_listing
-from marketlens.session import broadcast_if_small
+from marketlens.operators.skew import salted_join
+from marketlens.session import fits_broadcast
 
 LISTING_SITE = "https://www.wadsworth.org"
 
@@ -73,10 +74,13 @@ def search_listing(terms: DataFrame, rows: DataFrame, analyte: str = "analyte")
     wanted = wanted.select("*", F.explode("_wanted").alias("word"))
     listed = rows.withColumn("_words", F.array_distinct(tx.words_of(tx.padded(F.col(analyte)))))
     # A row holding several words of a term counts once: through the first of them.
+    words = listed.select("*", F.explode("_words").alias("word"))
+    if fits_broadcast(wanted):
+        pairs = words.join(F.broadcast(wanted), "word")
+    else:
+        pairs = salted_join(words, wanted, ["word"], salt_by=["_words"])
     return (
-        listed.select("*", F.explode("_words").alias("word"))
-        .join(broadcast_if_small(wanted), "word")
-        .filter(F.get(F.array_intersect("_words", "_wanted"), F.lit(0)) == F.col("word"))
+        pairs.filter(F.get(F.array_intersect("_words", "_wanted"), F.lit(0)) == F.col("word"))
         .select("term", *rows.columns)
     )
 

@@ -255,7 +255,8 @@ def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int = MAX_RE
 
 def top_k_with_total(df: DataFrame, order: list[Column | str], k: int = MAX_LISTING_ROWS) -> DataFrame:
     """The first ``k`` rows, each with the number of all rows."""
-    return df.orderBy(*order).limit(k).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+    total = df.agg(F.count("*").alias("total")).scalar()
+    return df.orderBy(*order).limit(k).withColumn("total", total)
 
 
 def page(df: DataFrame, order: list[str], skip: int = 0, limit: int = PAGE_SIZE) -> DataFrame:

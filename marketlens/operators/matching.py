@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as tx
 from marketlens.operators.skew import salted_join
 from marketlens.plans import tiers as pl
-from marketlens.session import fits_broadcast
+from marketlens.session import cut_lineage, fits_broadcast
 
 SEARCH_FIELDS = ["device_name", "statement_or_summary", "openfda_device_names"]
 REGISTRY_FIELDS = ["device_description", "brand_name"]
@@ -110,6 +110,7 @@ def token_counts(corpus: DataFrame) -> DataFrame:
 def _lookup(corpus: DataFrame, key: str, anchored: DataFrame, satisfied: Column,
             keep: list[str], small: bool | None = None) -> DataFrame:
     """Records x clauses through the anchor word, verified on the record's own texts."""
+    anchored = cut_lineage(anchored)
     if small is None:
         small = fits_broadcast(anchored)
     payload = [c for c in corpus.columns if c != key]
@@ -204,7 +205,7 @@ def _lowest(mask: str) -> str:
     return f"({mask} & -{mask})"
 
 
-def tier_waterfall(masks: DataFrame, key: str = "k_number", small_terms: bool = False) -> DataFrame:
+def tier_waterfall(masks: DataFrame, key: str = "k_number") -> DataFrame:
     """First non-empty of tiers 1-3, plus tiers 4-6, with one label per term.
 
     What a term found is a bitwise OR over its records, one small row per term from a
@@ -219,8 +220,6 @@ def tier_waterfall(masks: DataFrame, key: str = "k_number", small_terms: bool =
     rank = F.expr(f"cast(log2({_lowest('used')}) as int)")
     labels = F.array(*[F.lit(t) for t in pl.TIERS])
     used = used.select("term_id", "used", F.get(labels, rank).alias("match_mode"))
-    if small_terms:
-        used = F.broadcast(used)
     return (
         masks.join(used, "term_id")
         .filter(F.expr("tiers & used") != 0)
@@ -233,9 +232,8 @@ def match_terms(terms: DataFrame, devices: DataFrame, counts: DataFrame | None =
     """Confirmed matches of every term: ``term_id, k_number, match_mode, tiers``."""
     corpus = searchable(devices) if corpus is None else corpus
     clauses = pl.compile_terms(terms)
-    small = fits_broadcast(clauses)
-    masks = union_tiers(satisfied_clauses(corpus, clauses, small=small, counts=counts))
-    return tier_waterfall(masks, small_terms=small)
+    masks = union_tiers(satisfied_clauses(corpus, clauses, counts=counts))
+    return tier_waterfall(masks)
 
 
 def merge_results(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

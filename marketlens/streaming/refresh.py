@@ -7,6 +7,7 @@ of a key. :func:`compact` folds a store into one copy per key.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,11 +19,12 @@ from marketlens.session import broadcast_if_small
 BATCH = "batch"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """All copies in a store, or None before its first batch."""
+    try:
+        return spark.read.parquet(store)
+    except AnalysisException:
+        return None
 
 
 def write_batch(df: DataFrame, store: str, batch_id: int) -> None:
@@ -63,16 +65,17 @@ def refresh_corpus(documents: DataFrame, text_store: str, citation_store: str, c
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = latest_wins(batch, ["k_number"])
-        if _exists(spark, text_store):
-            done = spark.read.parquet(text_store).filter(F.col(BATCH) != batch_id).select("k_number")
+        stored = _stored(spark, text_store)
+        if stored is not None:
+            done = stored.filter(F.col(BATCH) != batch_id).select("k_number")
             # The batch is the small side: reduce the store to its numbers first.
             done = done.join(broadcast_if_small(new.select("k_number")), "k_number", "left_semi")
             new = new.join(done, "k_number", "left_anti")
         mined = mine_documents(new)
         write_batch(mined, text_store, batch_id)
         # Edges come from the stored result, so documents are parsed once.
-        stored = spark.read.parquet(f"{text_store}/{BATCH}={batch_id}")
-        write_batch(citation_edges(stored), citation_store, batch_id)
+        kept = spark.read.parquet(f"{text_store}/{BATCH}={batch_id}")
+        write_batch(citation_edges(kept), citation_store, batch_id)
 
     return (
         documents.writeStream.foreachBatch(fold)
