@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.operators.skew import salted_join
+from marketlens.operators.store import upsert
 from marketlens.plans import tiers as pl
 from marketlens.session import cut_lineage, fits_broadcast
 
@@ -67,38 +68,40 @@ def searchable(df: DataFrame, key: str = "k_number", fields: list[str] = SEARCH_
     return df.select(key, *(payload or []), texts.alias("texts"))
 
 
-def _words(texts: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(texts, tx.words_of)))
+def _all(texts: Column) -> Column:
+    """All fields as one text; the bar keeps phrases from forming across fields."""
+    return F.array_join(texts, "|")
+
+
+def _words(whole: Column) -> Column:
+    return F.array_distinct(tx.words_of(whole))
 
 
 def antibody_flags(corpus: DataFrame) -> DataFrame:
     """Add ``has_anti`` (any antibody-type word) and ``has_antibody`` (the strict words)."""
 
     def flag(words: list[str]) -> Column:
-        tests = [F.contains(F.col("_all"), F.lit(f" {w} ")) for w in words]
+        tests = [F.contains(F.col("whole"), F.lit(f" {w} ")) for w in words]
         return reduce(lambda a, b: a | b, tests)
 
-    return (
-        corpus.withColumn("_all", F.array_join("texts", "|"))
-        .withColumn("has_anti", flag(tx.ANTI_WORDS))
-        .withColumn("has_antibody", flag(tx.ANTIBODY_WORDS))
-        .drop("_all")
-    )
+    whole = corpus if "whole" in corpus.columns else corpus.withColumn("whole", _all(F.col("texts")))
+    return whole.withColumn("has_anti", flag(tx.ANTI_WORDS)).withColumn("has_antibody", flag(tx.ANTIBODY_WORDS))
 
 
 def with_antibody_requirement(satisfied: Column, mode: Column) -> Column:
-    """AND a clause with the flag its mode asks for."""
-    return satisfied & (
+    """AND a clause with the flag its mode asks for; the flag is the cheaper test."""
+    carried = (
         F.when(mode == tx.EXPLICIT, F.col("has_anti"))
         .when(mode == tx.IMPLIED, F.col("has_antibody"))
         .otherwise(F.lit(True))
     )
+    return carried & satisfied
 
 
 def token_counts(corpus: DataFrame) -> DataFrame:
     """Number of records each word occurs in; sharpens the choice of anchors."""
     return (
-        corpus.select(F.explode(_words(F.col("texts"))).alias("token"))
+        corpus.select(F.explode_outer(_words(_all(F.col("texts")))).alias("token"))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
@@ -107,77 +110,123 @@ def token_counts(corpus: DataFrame) -> DataFrame:
 # -- phrases against records ------------------------------------------------------------
 
 
-def _lookup(corpus: DataFrame, key: str, anchored: DataFrame, satisfied: Column,
-            keep: list[str], small: bool | None = None) -> DataFrame:
-    """Records x clauses through the anchor word, verified on the record's own texts."""
-    anchored = cut_lineage(anchored)
-    if small is None:
-        small = fits_broadcast(anchored)
-    payload = [c for c in corpus.columns if c != key]
+def _conditions(anchored: DataFrame, small: bool) -> DataFrame:
+    """Distinct conditions with the terms and tiers that ask for them.
+
+    ``anchor, scope, anti, phrases, users, need, runs``: ``need`` are the words besides
+    the anchor, ``runs`` the phrases of several words.
+    """
+    condition = ["anchor", "scope", "anti", "phrases"]
+    user = F.struct("term_id", "tier", "clause_no")
     if small:
-        # ``texts`` is materialised before the explode so that the words, the test and
-        # the flags all read one normalisation of the record.
-        words = corpus.select(key, *payload, F.explode(_words(F.col("texts"))).alias("anchor"))
-        return words.join(F.broadcast(anchored), "anchor").filter(satisfied).select(*keep)
-    # Large clause tables: ship (word, key) postings instead of text, then bring each
-    # candidate to its record, whose key is unique and so cannot be hot on that side.
-    postings = corpus.select(key, F.explode(_words(F.col("texts"))).alias("anchor"))
-    candidates = salted_join(postings, anchored, ["anchor"], salt_by=[key])
-    return candidates.join(corpus, key).filter(satisfied).select(*keep)
+        # Terms and tiers that ask the same thing are tested once. The lists are bounded
+        # by the size that was just measured.
+        grouped = anchored.groupBy(*condition).agg(F.collect_list(user).alias("users"))
+    else:
+        grouped = anchored.select(*condition, F.array(user).alias("users"))
+    words = F.array_distinct(F.flatten(F.transform("phrases", tx.words_of)))
+    return grouped.select(
+        "*",
+        F.array_remove(words, F.col("anchor")).alias("need"),
+        F.filter("phrases", lambda p: F.size(tx.words_of(p)) > 1).alias("runs"),
+    )
 
 
-def phrase_hits(phrases: DataFrame, corpus: DataFrame, key: str = "k_number",
-                small: bool | None = None) -> DataFrame:
-    """Which record holds which phrase: ``phrase_id, key, field`` (field number from 0).
+def _words_present(first: int = 3) -> Column:
+    """The first needed words occur. Plain expressions, so that Spark compiles this test
+    into one loop with the explode and the join and copies no text for a failed one."""
+    wanted = [F.get("need", F.lit(i)) for i in range(first)]
+    return reduce(lambda a, b: a & b, [w.isNull() | F.array_contains("words", w) for w in wanted])
 
-    ``phrases(phrase_id, phrase)`` may hold any number of phrases.
-    """
-    clauses = (
-        phrases.select(
-            F.col("phrase_id").alias("term_id"),
-            F.lit(0).alias("tier"),
-            F.lit(0).alias("clause_no"),
-            F.array(tx.padded(F.col("phrase"))).alias("phrases"),
-        ).filter(F.element_at("phrases", 1) != " ")
-    )
-    anchored = pl.with_anchor(clauses).select(
-        "anchor", F.col("term_id").alias("phrase_id"), F.element_at("phrases", 1).alias("p")
-    )
-    hits = _lookup(
-        corpus, key, anchored,
-        F.exists("texts", lambda t: F.contains(t, F.col("p"))),
-        ["phrase_id", key, "texts", "p"], small,
+
+def _needs_text(first: int = 3) -> Column:
+    """More than the presence of those words is asked for."""
+    one_field = (F.col("scope") == "same") & (F.size("phrases") > 1)
+    return one_field | (F.size("runs") > 0) | (F.size("need") > first)
+
+
+def _in_text() -> Column:
+    """The whole condition, for any number of words and phrases."""
+    worth = F.forall("need", lambda w: F.array_contains("words", w))
+    across = F.forall("runs", lambda p: F.exists("texts", lambda t: F.contains(t, p)))
+    same = F.exists("texts", lambda t: F.forall("phrases", lambda p: F.contains(t, p)))
+    one_field = (F.col("scope") == "same") & (F.size("phrases") > 1)
+    return worth & F.when(one_field, same).otherwise(across)
+
+
+def _lookup(corpus: DataFrame, key: list[str], conditions: DataFrame, small: bool,
+            keep: list[str]) -> DataFrame:
+    """Records x conditions through the anchor word: ``keep`` and the users' columns."""
+    flagged = antibody_flags(corpus)
+    worded = flagged.withColumn("words", _words(F.col("whole"))).drop("whole")
+    carried = with_antibody_requirement(_words_present(), F.col("anti"))
+    # The outer form of explode and inline is used because the inner form makes the
+    # optimiser add a size filter, which would normalise every text a second time. Rows
+    # without a word have no partner in the join.
+    if small:
+        candidates = worded.withColumn("anchor", F.explode_outer("words")).join(
+            F.broadcast(conditions), "anchor"
+        )
+    else:
+        # Large condition tables: ship (word, key) postings instead of text, then bring
+        # each candidate to its record, whose key is unique and so cannot be hot there.
+        postings = worded.select(*key, F.explode_outer("words").alias("anchor"))
+        candidates = salted_join(postings, conditions, ["anchor"], salt_by=key).join(worded, key)
+    # The text goes on only with those candidates that have to be looked up in it.
+    hard = _needs_text()
+    slim = candidates.filter(carried).select(
+        *keep, "users", "scope", "phrases", "runs", "need",
+        F.when(hard, F.col("texts")).alias("texts"),
+        F.when(hard, F.col("words")).alias("words"),
     )
-    return hits.select(
-        "phrase_id", key,
-        F.explode(
-            F.filter(
-                F.transform("texts", lambda t, i: F.when(F.contains(t, F.col("p")), i)),
-                lambda i: i.isNotNull(),
-            )
-        ).alias("field"),
+    users = F.when(F.col("texts").isNull(), F.col("users")).when(_in_text(), F.col("users"))
+    return slim.select(*keep, users.alias("users")).select(*keep, F.inline_outer("users")).filter(
+        F.col("term_id").isNotNull()
     )
 
 
 def satisfied_clauses(corpus: DataFrame, clauses: DataFrame, key: str = "k_number",
                       payload: list[str] | None = None, small: bool | None = None,
                       counts: DataFrame | None = None) -> DataFrame:
-    """AND of a clause's phrases, decided inside the record: ``term_id, tier, key``.
+    """AND of a clause's phrases, decided inside the record: ``term_id, tier, clause_no, key``.
 
-    A record may appear once per satisfied clause. No grouping is needed, since all the
-    evidence for one record is in the row at hand.
+    No grouping is needed, since all the evidence for one record is in the row at hand.
     """
-    flagged = antibody_flags(corpus)
-    anchored = pl.with_anchor(clauses, counts).select(
-        "anchor", "term_id", "tier", "scope", "anti", "phrases"
+    anchored = cut_lineage(
+        pl.with_anchor(clauses, counts).select(
+            "anchor", "term_id", "tier", "clause_no", "scope", "anti",
+            F.array_sort("phrases").alias("phrases"),
+        )
     )
-    same = F.exists("texts", lambda t: F.forall("phrases", lambda p: F.contains(t, p)))
-    across = F.forall("phrases", lambda p: F.exists("texts", lambda t: F.contains(t, p)))
-    test = F.when(F.col("scope") == "same", same).otherwise(across)
-    return _lookup(
-        flagged, key, anchored, with_antibody_requirement(test, F.col("anti")),
-        ["term_id", "tier", key, *(payload or [])], small,
+    if small is None:
+        small = fits_broadcast(anchored)
+    return _lookup(corpus, [key], _conditions(anchored, small), small, [key, *(payload or [])])
+
+
+def phrase_hits(phrases: DataFrame, corpus: DataFrame, key: str = "k_number",
+                small: bool | None = None) -> DataFrame:
+    """Which record holds which phrase: ``phrase_id, key, field`` (field number from 0).
+
+    ``phrases(phrase_id, phrase)`` may hold any number of phrases.
+    """
+    clauses = phrases.select(
+        F.col("phrase_id").alias("term_id"),
+        F.lit(0).alias("tier"),
+        F.lit(0).alias("clause_no"),
+        F.lit("any").alias("scope"),
+        F.lit(tx.NONE).alias("anti"),
+        F.array(tx.padded(F.col("phrase"))).alias("phrases"),
+    ).filter(F.element_at("phrases", 1) != " ")
+    anchored = cut_lineage(
+        pl.with_anchor(clauses).select("anchor", "term_id", "tier", "clause_no", "scope", "anti", "phrases")
     )
+    if small is None:
+        small = fits_broadcast(anchored)
+    one_field = corpus.select(key, F.posexplode_outer("texts").alias("field", "text")).select(
+        key, "field", F.array("text").alias("texts")
+    )
+    hits = _lookup(one_field, [key, "field"], _conditions(anchored, small), small, [key, "field"])
+    return hits.select(F.col("term_id").alias("phrase_id"), key, "field")
 
 
 # -- tiers ------------------------------------------------------------------------------
@@ -238,12 +287,9 @@ def match_terms(terms: DataFrame, devices: DataFrame, counts: DataFrame | None =
 
 def merge_results(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Union by key where the right side overrides the left."""
-    from marketlens.operators.store import upsert
-
     return upsert(a, b, keys)
 
 
-def merged_total(a: DataFrame, b: DataFrame, total_a: Column, total_b: Column,
-                 n_union: Column) -> Column:
+def merged_total(total_a: Column, total_b: Column, n_union: Column) -> Column:
     """Total of a merge: never below either total nor below the size of the union."""
     return F.greatest(total_a, total_b, n_union)

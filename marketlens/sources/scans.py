@@ -39,6 +39,16 @@ def _scan(spark: SparkSession, path, schema: str, fmt: str, envelope: bool) -> D
     return wrapped.select(F.inline("results"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A large table comes in many splits and is returned as it is. Only a scan too small to
+    occupy the cluster is dealt out, so that costly row-local work runs on all cores.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_clearances(spark: SparkSession, path, fmt: str = "json", envelope: bool = True) -> DataFrame:
     """Clearance records from saved result pages, JSON lines or parquet.
 

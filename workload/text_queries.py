@@ -169,7 +169,7 @@ def h20(spark, sf):
 
 @query("h21_flatten_ws", f"SELECT doc_id, trim(regexp_replace(text, '{WS}+', ' ', 'g')) AS flat FROM documents")
 def h21(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", tx.flatten_ws(F.col("text")).alias("flat"))
+    return v.spread_table(spark, sf, "documents").select("doc_id", tx.flatten_ws(F.col("text")).alias("flat"))
 
 
 @query("h22_extract_measurand", "SELECT k_number, label, value FROM v_measured", ("v_measured",))

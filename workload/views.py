@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.sources.scans import spread
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on, dealt out when it has few splits."""
+    return spread(table(spark, sf, name))
+
+
 def number(c: Column | str, prefix: str = "K") -> Column:
     """A device number of at least six digits."""
     return F.format_string(prefix + "%06d", F.col(c) if isinstance(c, str) else c)
@@ -80,7 +86,7 @@ def terms(spark, sf) -> DataFrame:
 
 def devices(spark, sf) -> DataFrame:
     """Every document as a clearance record."""
-    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, lab = spread_table(spark, sf, "documents"), table(spark, sf, "labels")
     first_line = F.substring_index("text", "\n", 1)
     return d.join(lab, "doc_id", "left").select(
         number("doc_id").alias("k_number"),
@@ -208,7 +214,8 @@ def summary_text(spark, sf) -> DataFrame:
         F.lit("\nassay\nC Device Description\n"),
     )
     failed = F.col("l_orderkey") % 11 == 3
-    text = F.concat(head, F.get(F.array(table_, two, first, pair), template))
+    body = F.when(template == 0, table_).when(template == 1, two).when(template == 2, first).otherwise(pair)
+    text = F.concat(head, body)
     return rows.select(
         "l_orderkey",
         number("l_orderkey").alias("k_number"),
@@ -330,7 +337,7 @@ def expansion_cache(spark, sf) -> DataFrame:
 
 def listing_pages(spark, sf) -> DataFrame:
     """Every web page's title and heading laid out as a two-row listing page."""
-    pg = table(spark, sf, "pages")
+    pg = spread_table(spark, sf, "pages")
     host = F.regexp_extract("url", "//([^/]+)/", 1)
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     head = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
