@@ -31,18 +31,27 @@ def pick_document(fetch_log: DataFrame) -> DataFrame:
     )
 
 
-def mine_documents(documents: DataFrame) -> DataFrame:
-    """Add ``measurand_label``, ``measurand_value`` and ``citations`` to document rows."""
-    mined = documents.withColumn("_lines", dc.citation_lines(F.col("full_text")))
-    mined = mined.withColumn("_m", dc.extract_measurand(F.col("full_text")))
-    return (
-        mined.withColumn("measurand_label", F.col("_m.label"))
-        .withColumn("measurand_value", F.col("_m.value"))
-        .withColumn("citations", dc.extract_citations(F.col("_lines")))
-        .drop("_m", "_lines")
+def with_measurand(documents: DataFrame) -> DataFrame:
+    """Add ``measurand_label`` and ``measurand_value`` to document rows."""
+    found = documents.select("*", dc.extract_measurand(F.col("full_text")).alias("_m"))
+    return found.select(
+        *documents.columns,
+        F.col("_m.label").alias("measurand_label"),
+        F.col("_m.value").alias("measurand_value"),
     )
 
 
+def with_citations(documents: DataFrame) -> DataFrame:
+    """Add ``citations`` to document rows; the lines are split once for all templates."""
+    split = documents.select("*", dc.citation_lines(F.col("full_text")).alias("_lines"))
+    return split.select(*documents.columns, dc.extract_citations(F.col("_lines")).alias("citations"))
+
+
+def mine_documents(documents: DataFrame) -> DataFrame:
+    """Measurand and citations of every document row."""
+    return with_citations(with_measurand(documents))
+
+
 def citation_edges(mined: DataFrame) -> DataFrame:
     """Edge rows ``device_k, predicate_k, predicate_name``; the last name of a pair stays."""
     # Repeats can only come from one document, so they are resolved inside its row.
@@ -64,17 +73,24 @@ def measurand_verdict(details: DataFrame, documents: DataFrame) -> DataFrame:
     ``details(term_id, term, k_number[, full, search])``. True when the antigen or a whole
     synonym group of the expansion is found in the measurand; NULL without one.
     """
-    stated = documents.select("k_number", "measurand_value")
-    value = tx.padded(F.col("measurand_value"))
-    named = tx.contains_phrase(value, tx.padded(tx.antigen_of(tx.greek_to_latin(F.col("term")))))
+    stated = documents.select(
+        "k_number", "measurand_value", tx.padded(F.col("measurand_value")).alias("_stated")
+    )
+    wanted = tx.padded(tx.antigen_of(tx.greek_to_latin(F.col("term"))))
+    asked = details.withColumn("_wanted", wanted)
+    named = tx.contains_phrase(F.col("_stated"), F.col("_wanted"))
     if {"full", "search"} <= set(details.columns):
         groups = tx.expansion_groups(tx.expansion_phrase(F.col("full"), F.col("search")))
+        asked = asked.withColumn("_groups", F.transform(groups, lambda g: F.transform(g, tx.padded)))
         by_group = F.exists(
-            groups, lambda g: F.forall(g, lambda w: tx.contains_phrase(value, tx.padded(w)))
+            "_groups", lambda g: F.forall(g, lambda w: tx.contains_phrase(F.col("_stated"), w))
         )
         named = named | F.coalesce(by_group, F.lit(False))
     verdict = F.when(
         F.col("measurand_value").isNotNull(),
         F.when(named, F.lit("Matches")).otherwise(F.lit("No match")),
     )
-    return details.join(stated, "k_number", "left").withColumn("verdict", verdict)
+    return (
+        asked.join(stated, "k_number", "left").withColumn("verdict", verdict)
+        .drop("_stated", "_wanted", "_groups")
+    )

@@ -109,9 +109,13 @@ def summarise(terms: DataFrame, facts: DataFrame, by: str = "term") -> DataFrame
 
     ``facts`` hold a device once per term. The distinct count first groups by
     (term, applicant), so a term with very many records is spread before it is totalled.
+    Where the facts carry the term's ``match_mode``, the row does too (``exact`` if none).
     """
     cleared = is_cleared(F.col("decision_description"))
+    labelled = "match_mode" in facts.columns
+    label = [F.max("match_mode").alias("match_mode")] if labelled else []
     totals = facts.groupBy(by).agg(
+        *label,
         F.count("k_number").alias("total_submissions"),
         F.count_if(cleared).alias("cleared_count"),
         F.count_distinct("applicant").alias("unique_applicants"),
@@ -125,6 +129,7 @@ def summarise(terms: DataFrame, facts: DataFrame, by: str = "term") -> DataFrame
             *terms.columns,
             *[F.coalesce(c, zero).alias(c) for c in counts],
             "latest_approval",
+            *([F.coalesce("match_mode", F.lit("exact")).alias("match_mode")] if labelled else []),
         )
         .withColumn("crowded", F.col("cleared_count") >= CROWDED_FROM)
     )
@@ -244,12 +249,19 @@ def rank_terms(summary: DataFrame, order: list[Column]) -> DataFrame:
 def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int = MAX_RECORDS) -> DataFrame:
     """At most ``n`` listed records per group, with the true ``total`` beside them.
 
-    The limit is on a rank alone, which Spark applies per task before the shuffle; the
-    total is a separate partial aggregate and covers all records.
+    Each limit is on a rank alone, which Spark also applies per task before the shuffle.
+    A first round keeps the best ``n`` of every 64th of the tasks, so that the one task
+    that settles a hot group gets few rows however many tasks fed it. The total is a
+    separate partial aggregate and covers all records.
     """
     totals = df.groupBy(*by).agg(F.count("*").alias("total"))
-    w = Window.partitionBy(*by).orderBy(*order)
-    listed = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+    def best(rows: DataFrame, within: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+        return rows.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+
+    pieces = df.withColumn("_piece", F.pmod(F.spark_partition_id(), F.lit(64)))
+    listed = best(best(pieces, [*by, "_piece"]).drop("_piece"), by)
     return listed.join(totals, by)
 
 

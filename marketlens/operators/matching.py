@@ -185,19 +185,25 @@ def _lookup(corpus: DataFrame, key: list[str], conditions: DataFrame, small: boo
     )
 
 
+def anchor_clauses(clauses: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Clauses with their anchors, worked out once and frozen."""
+    return cut_lineage(
+        pl.with_anchor(clauses, counts).select(
+            "anchor", "term_id", "tier", "clause_no", "scope", "anti",
+            F.array_sort("phrases").alias("phrases"),
+        )
+    )
+
+
 def satisfied_clauses(corpus: DataFrame, clauses: DataFrame, key: str = "k_number",
                       payload: list[str] | None = None, small: bool | None = None,
                       counts: DataFrame | None = None) -> DataFrame:
-    """AND of a clause's phrases, decided inside the record: ``term_id, tier, clause_no, key``.
+    """AND of a clause's phrases, decided inside the record: ``key, payload..., term_id,
+    tier, clause_no``.
 
     No grouping is needed, since all the evidence for one record is in the row at hand.
     """
-    anchored = cut_lineage(
-        pl.with_anchor(clauses, counts).select(
-            "anchor", "term_id", "tier", "clause_no", "scope", "anti",
-            F.array_sort("phrases").alias("phrases"),
-        )
-    )
+    anchored = clauses if "anchor" in clauses.columns else anchor_clauses(clauses, counts)
     if small is None:
         small = fits_broadcast(anchored)
     return _lookup(corpus, [key], _conditions(anchored, small), small, [key, *(payload or [])])
@@ -217,9 +223,7 @@ def phrase_hits(phrases: DataFrame, corpus: DataFrame, key: str = "k_number",
         F.lit(tx.NONE).alias("anti"),
         F.array(tx.padded(F.col("phrase"))).alias("phrases"),
     ).filter(F.element_at("phrases", 1) != " ")
-    anchored = cut_lineage(
-        pl.with_anchor(clauses).select("anchor", "term_id", "tier", "clause_no", "scope", "anti", "phrases")
-    )
+    anchored = anchor_clauses(clauses)
     if small is None:
         small = fits_broadcast(anchored)
     one_field = corpus.select(key, F.posexplode_outer("texts").alias("field", "text")).select(
@@ -237,13 +241,13 @@ def tier_bit(tier) -> Column:
     return F.expr(f"shiftleft(1, {tier} - 1)")
 
 
-def union_tiers(satisfied: DataFrame, key: str = "k_number") -> DataFrame:
-    """OR over clauses and tiers: ``term_id, key, tiers`` with one bit per tier.
+def union_tiers(satisfied: DataFrame, key: str = "k_number", payload: list[str] | None = None) -> DataFrame:
+    """OR over clauses and tiers: ``term_id, key, payload..., tiers``, one bit per tier.
 
     Combined on the map side; the shuffle key includes the record, so that a term
     matching a third of all records is still spread over all partitions.
     """
-    return satisfied.groupBy("term_id", key).agg(F.bit_or(tier_bit("tier")).alias("tiers"))
+    return satisfied.groupBy("term_id", key, *(payload or [])).agg(F.bit_or(tier_bit("tier")).alias("tiers"))
 
 
 _ALTERNATIVES = 0b000111
@@ -254,9 +258,11 @@ def _lowest(mask: str) -> str:
     return f"({mask} & -{mask})"
 
 
-def tier_waterfall(masks: DataFrame, key: str = "k_number") -> DataFrame:
+def tier_waterfall(masks: DataFrame, small_terms: bool = False) -> DataFrame:
     """First non-empty of tiers 1-3, plus tiers 4-6, with one label per term.
 
+    Adds ``match_mode`` and keeps in ``tiers`` the tiers that counted.
+
     What a term found is a bitwise OR over its records, one small row per term from a
     partial aggregate; a window over the term would put all its records in one task.
     """
@@ -269,20 +275,27 @@ def tier_waterfall(masks: DataFrame, key: str = "k_number") -> DataFrame:
     rank = F.expr(f"cast(log2({_lowest('used')}) as int)")
     labels = F.array(*[F.lit(t) for t in pl.TIERS])
     used = used.select("term_id", "used", F.get(labels, rank).alias("match_mode"))
-    return (
-        masks.join(used, "term_id")
-        .filter(F.expr("tiers & used") != 0)
-        .select("term_id", key, "match_mode", F.expr("tiers & used").alias("tiers"))
-    )
+    if small_terms:
+        used = F.broadcast(used)
+    kept = F.expr("tiers & used")
+    rest = [c for c in masks.columns if c != "tiers"]
+    return masks.join(used, "term_id").filter(kept != 0).select(*rest, "match_mode", kept.alias("tiers"))
 
 
 def match_terms(terms: DataFrame, devices: DataFrame, counts: DataFrame | None = None,
-                corpus: DataFrame | None = None) -> DataFrame:
-    """Confirmed matches of every term: ``term_id, k_number, match_mode, tiers``."""
-    corpus = searchable(devices) if corpus is None else corpus
-    clauses = pl.compile_terms(terms)
-    masks = union_tiers(satisfied_clauses(corpus, clauses, counts=counts))
-    return tier_waterfall(masks)
+                corpus: DataFrame | None = None, payload: list[str] | None = None) -> DataFrame:
+    """Confirmed matches of every term: ``term_id, k_number, payload..., match_mode, tiers``.
+
+    ``payload`` names device columns to bring along from the scan, which saves a join
+    with the devices afterwards.
+    """
+    corpus = searchable(devices, payload=payload) if corpus is None else corpus
+    anchored = anchor_clauses(pl.compile_terms(terms), counts)
+    # The table of what each term found has at most one row per clause: where the clauses
+    # were measured to fit a broadcast, so does it.
+    small = fits_broadcast(anchored)
+    hits = satisfied_clauses(corpus, anchored, payload=payload, small=small)
+    return tier_waterfall(union_tiers(hits, payload=payload), small_terms=small)
 
 
 def merge_results(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

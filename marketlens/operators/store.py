@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
-from marketlens.session import broadcast_if_small
+from marketlens.session import broadcast_if_small, cut_lineage
 
 
 def latest_wins(df: DataFrame, keys: list[str], order: list[str | Column] | None = None) -> DataFrame:
@@ -35,8 +35,10 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str],
 
     ``existing`` is already unique by key, so it is only anti-joined, never regrouped:
     when the updates are measured to be small, the stored table is not shuffled at all.
+    The reduced updates are used for the measure, the join and the result, and are
+    therefore worked out once.
     """
-    new = latest_wins(updates.select(*existing.columns), keys, order)
+    new = cut_lineage(latest_wins(updates.select(*existing.columns), keys, order))
     kept = existing.join(broadcast_if_small(new.select(*keys)), keys, "left_anti")
     return kept.select(*existing.columns).unionByName(new)
 

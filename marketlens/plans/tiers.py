@@ -142,8 +142,9 @@ def with_anchor(clauses: DataFrame, token_counts: DataFrame | None = None) -> Da
     as "antibody" that many terms share is thus not the way into all of them.
     """
     key = ["term_id", "tier", "clause_no"]
+    rest = [c for c in clauses.columns if c not in key]
     words = clauses.select(
-        *key,
+        "*",
         F.explode(F.array_distinct(F.flatten(F.transform("phrases", tx.words_of)))).alias("token"),
     )
     shared = words.groupBy("token").agg(F.count("*").alias("clauses"))
@@ -152,11 +153,6 @@ def with_anchor(clauses: DataFrame, token_counts: DataFrame | None = None) -> Da
         shared = shared.join(seen, "token", "left")
     else:
         shared = shared.withColumn("seen", F.lit(0).cast("long"))
-    cost = F.struct(
-        F.coalesce("seen", F.lit(0)).alias("seen"),
-        F.col("clauses"),
-        (-F.length("token")).alias("short"),
-        F.col("token"),
-    )
-    best = words.join(shared, "token").groupBy(*key).agg(F.min(cost).alias("best"))
-    return clauses.join(best, key).withColumn("anchor", F.col("best.token")).drop("best")
+    cost = [F.coalesce("seen", F.lit(0)).alias("seen"), F.col("clauses"), (-F.length("token")).alias("short")]
+    best = words.join(shared, "token").groupBy(*key).agg(F.min(F.struct(*cost, "token", *rest)).alias("best"))
+    return best.select(*key, *[F.col(f"best.{c}").alias(c) for c in rest], F.col("best.token").alias("anchor"))

@@ -42,9 +42,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of a frame, from one small aggregate."""
-    width = F.length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
-    row = df.agg(F.sum(width + F.lit(32)).alias("b")).first()
+    """Size of a frame as a hash relation would hold it, from one small aggregate."""
+    width = F.lit(32)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(8)
+        elif kind in ("array", "struct", "map"):
+            width = width + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)) + F.lit(8)
+        else:
+            width = width + F.lit(8)
+    row = df.agg(F.sum(width.cast("long")).alias("b")).first()
     return int(row["b"] or 0)
 
 

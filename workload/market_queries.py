@@ -242,7 +242,7 @@ def c10(spark, sf):
         "p_partkey", v.number("l_orderkey").alias("k_number"), F.concat(F.lit("Anti-"), F.col("p_name"), F.lit(" IgG")).alias("term"),
         F.col("p_name").alias("full"), F.concat(F.lit("xyz/"), F.substring_index("p_name", " ", -1)).alias("search"),
     )
-    mined = docs.mine_documents(v.summary_text(spark, sf))
+    mined = docs.with_measurand(v.summary_text(spark, sf))
     return docs.measurand_verdict(details, mined).select("p_partkey", "k_number", "verdict")
 
 
@@ -282,13 +282,8 @@ def a14(spark, sf):
 def market_table(spark, sf):
     """Terms to market table in one job: match, attach, total."""
     terms, devices = v.terms(spark, sf), v.devices(spark, sf)
-    found = m.match_terms(terms, devices)
-    about = devices.select("k_number", "applicant", "decision_description", "decision_date")
-    facts = mk.attach_devices(found, about)
+    facts = m.match_terms(terms, devices, payload=["applicant", "decision_description", "decision_date"])
     summary = mk.summarise(terms.select("term_id", "term"), facts, by="term_id")
-    labels = found.groupBy("term_id").agg(F.first("match_mode").alias("match_mode"))
-    out = summary.join(labels, "term_id", "left")
-    return _dates(out.select(
-        "term_id", "term", "total_submissions", "cleared_count", "unique_applicants", "latest_approval",
-        F.coalesce("match_mode", F.lit("exact")).alias("match_mode"),
+    return _dates(summary.select(
+        "term_id", "term", "total_submissions", "cleared_count", "unique_applicants", "latest_approval", "match_mode",
     ), "latest_approval")

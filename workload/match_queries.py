@@ -10,6 +10,7 @@ from marketlens.operators import graph as gr
 from marketlens.operators import matching as m
 from marketlens.operators import resolve as rs
 from marketlens.plans import tiers as pl
+from marketlens.session import cut_lineage
 from workload import views as v
 from workload.registry import query
 from workload.sql import norm
@@ -170,7 +171,7 @@ _hops()
 
 @query("c5_propagate_citations", _HOP_SQL, ("v_hop3",))
 def c5(spark, sf):
-    return gr.propagate_citations(v.citation_seeds(spark, sf), v.edges(spark, sf))
+    return gr.propagate_citations(v.citation_seeds(spark, sf), cut_lineage(v.edges(spark, sf)))
 
 
 @query("e5_pick_via", """

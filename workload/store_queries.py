@@ -144,7 +144,7 @@ def a8(spark, sf):
 def a9(spark, sf):
     existing = v.table(spark, sf, "orders").select(
         v.number("o_orderkey").alias("k_number"), F.lit("old").alias("text"), F.lit(None).cast("string").alias("fetch_error"))
-    mined = docs.mine_documents(v.summary_text(spark, sf)).select(
+    mined = docs.with_measurand(v.summary_text(spark, sf)).select(
         "k_number", F.coalesce("measurand_value", F.lit("none")).alias("text"), "fetch_error")
     return st.upsert_document_text(existing, mined)
 
@@ -243,7 +243,7 @@ _split("c7_split_new", False)
   FROM orders LEFT JOIN v_measured m ON o_orderkey = l_orderkey GROUP BY 1""", ("v_measured",))
 def d10(spark, sf):
     devices = _stored_devices(spark, sf).withColumnRenamed("panel", "advisory_committee")
-    return st.corpus_coverage(devices, docs.mine_documents(v.summary_text(spark, sf)))
+    return st.corpus_coverage(devices, docs.with_measurand(v.summary_text(spark, sf)))
 
 
 @query("d11_distinct_keys", f"SELECT DISTINCT {k('l_partkey')} AS predicate_k FROM lineitem")

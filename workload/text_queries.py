@@ -205,7 +205,7 @@ _citations("h27_citations_name_number", 3, dc.citations_name_number)
 
 @query("e6_first_nonempty_template", "SELECT device_k, predicate_k, predicate_name FROM v_cites", ("v_cites",))
 def e6(spark, sf):
-    return docs.citation_edges(docs.mine_documents(v.summary_text(spark, sf)))
+    return docs.citation_edges(docs.with_citations(v.summary_text(spark, sf)))
 
 
 @query("h28_contains_any_word", f"""
