@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark import cloudpickle
 
 # Which element holds which field of a listing row.
@@ -24,6 +26,8 @@ FIELD_CLASSES = {
     "status": ("field--name-field-ltd-status", "field__item"),
 }
 
+LISTING_FIELDS = [*FIELD_CLASSES, "detailLink"]
+
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input",
     "link", "meta", "param", "source", "track", "wbr",
@@ -98,5 +102,16 @@ def read_listing(html: str | None) -> tuple[str, list[dict]]:
     return reader.header, reader.rows
 
 
+def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of ``url, html`` into batches of raw rows."""
+    for batch in batches:
+        out = []
+        for url, html in zip(batch["url"], batch["html"]):
+            header, rows = read_listing(html)
+            place = {"url": url, "header": header, "rows_on_page": len(rows)}
+            out.extend({**place, "row_no": i, **row} for i, row in enumerate(rows))
+        yield pd.DataFrame(out, columns=["url", "header", "row_no", "rows_on_page", *LISTING_FIELDS])
+
+
 # Workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

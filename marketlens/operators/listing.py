@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
-from marketlens.functions.listing_html import FIELD_CLASSES, read_listing
+from marketlens.functions.listing_html import LISTING_FIELDS, read_pages
 from marketlens.operators.skew import salted_join
 from marketlens.session import fits_broadcast
 
 LISTING_SITE = "https://www.wadsworth.org"
 
-LISTING_FIELDS = [*FIELD_CLASSES, "detailLink"]
-
 
 def absolutise_url(href: Column, base: str | Column = LISTING_SITE) -> Column:
     base = F.lit(base) if isinstance(base, str) else base
@@ -29,16 +24,6 @@ def parse_total(header: Column, fallback: Column) -> Column:
     return F.coalesce(F.when(digits != "", digits.try_cast("bigint")), fallback.cast("bigint"))
 
 
-def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for url, html in zip(batch["url"], batch["html"]):
-            header, rows = read_listing(html)
-            out.extend({"url": url, "header": header, "row_no": i, "rows_on_page": len(rows), **r}
-                       for i, r in enumerate(rows))
-        yield pd.DataFrame(out, columns=["url", "header", "row_no", "rows_on_page", *LISTING_FIELDS])
-
-
 def extract_listing_rows(pages: DataFrame) -> DataFrame:
     """One cleaned row per listing entry of ``pages(url, html)``.
 
@@ -49,7 +34,7 @@ def extract_listing_rows(pages: DataFrame) -> DataFrame:
         f"{f} string" for f in LISTING_FIELDS
     )
     listed = pages.select("url", "html").filter(F.contains("html", F.lit("views-row")))
-    rows = listed.mapInPandas(_read_pages, schema)
+    rows = listed.mapInPandas(read_pages, schema)
     cleaned = [tx.flatten_ws(F.col(f)).alias(f) for f in LISTING_FIELDS if f != "detailLink"]
     link = absolutise_url(tx.flatten_ws(F.col("detailLink"))).alias("detailLink")
     return rows.select(

@@ -112,10 +112,10 @@ def summarise(terms: DataFrame, facts: DataFrame, by: str = "term") -> DataFrame
     Where the facts carry the term's ``match_mode``, the row does too (``exact`` if none).
     """
     cleared = is_cleared(F.col("decision_description"))
-    labelled = "match_mode" in facts.columns
-    label = [F.max("match_mode").alias("match_mode")] if labelled else []
-    totals = facts.groupBy(by).agg(
-        *label,
+    # A term has one label, so grouping by it changes nothing and keeps the aggregate on
+    # hash tables, which a maximum over text would not.
+    label = ["match_mode"] if "match_mode" in facts.columns else []
+    totals = facts.groupBy(by, *label).agg(
         F.count("k_number").alias("total_submissions"),
         F.count_if(cleared).alias("cleared_count"),
         F.count_distinct("applicant").alias("unique_applicants"),
@@ -129,7 +129,7 @@ def summarise(terms: DataFrame, facts: DataFrame, by: str = "term") -> DataFrame
             *terms.columns,
             *[F.coalesce(c, zero).alias(c) for c in counts],
             "latest_approval",
-            *([F.coalesce("match_mode", F.lit("exact")).alias("match_mode")] if labelled else []),
+            *[F.coalesce(c, F.lit("exact")).alias(c) for c in label],
         )
         .withColumn("crowded", F.col("cleared_count") >= CROWDED_FROM)
     )
@@ -291,11 +291,12 @@ def nested_result(terms: DataFrame, matches: DataFrame, devices: DataFrame,
         .when(F.col("match_mode") == "predicate", "inferred")
         .when(F.col("match_mode") == "gudid", "registry")
     )
-    facts = attach_devices(
-        matches.withColumn("kind", kind).filter(F.col("kind").isNotNull()), devices
+    known = matches.withColumn("kind", kind).filter(F.col("kind").isNotNull()).join(
+        devices.select("k_number"), "k_number", "left_semi"
     )
     device_cols = [c for c in devices.columns if c != "k_number"]
-    listed = cap_per_term(facts, ["term", "kind"], ["k_number"], cap)
+    # Only the listed records meet the wide device rows.
+    listed = attach_devices(cap_per_term(known, ["term", "kind"], ["k_number"], cap), devices)
     entry = F.struct("k_number", "via_k_number", "match_mode", *device_cols)
     lists = listed.groupBy("term").pivot("kind", ["records", "inferred", "registry"]).agg(
         F.sort_array(F.collect_list(entry)).alias("list"), F.max("total").alias("n")

@@ -125,9 +125,14 @@ def _conditions(anchored: DataFrame, small: bool) -> DataFrame:
     else:
         grouped = anchored.select(*condition, F.array(user).alias("users"))
     words = F.array_distinct(F.flatten(F.transform("phrases", tx.words_of)))
+    # Long words are rarer, so looking for them first settles most candidates at once.
+    longest_first = F.transform(
+        F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))),
+        lambda s: s["w"],
+    )
     return grouped.select(
         "*",
-        F.array_remove(words, F.col("anchor")).alias("need"),
+        F.array_remove(longest_first, F.col("anchor")).alias("need"),
         F.filter("phrases", lambda p: F.size(tx.words_of(p)) > 1).alias("runs"),
     )
 

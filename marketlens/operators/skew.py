@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.session import broadcast_if_small
+from marketlens.session import broadcast_if_small, cut_lineage
 
 # A key with more rows than this is split over several partitions.
 HOT_ROWS = 1_000_000
@@ -20,12 +20,14 @@ def salted_join(large: DataFrame, other: DataFrame, keys: list[str], salt_by: li
     There can be at most ``rows / hot_rows`` hot keys, so the list of them is short, and
     it is measured before it is broadcast.
     """
-    hot = (
+    hot = cut_lineage(
         large.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_pieces"))
     )
+    if hot.isEmpty():
+        return large.join(other, keys)
     hot = broadcast_if_small(hot)
     left = large.join(hot, keys, "left").withColumn(
         "_salt",

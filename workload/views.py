@@ -130,10 +130,11 @@ def submission_matches(spark, sf) -> DataFrame:
         .otherwise("exact")
     )
     facts = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("p_name").alias("term"), number("l_orderkey").alias("k_number"), mode.alias("match_mode"),
-        number("l_suppkey").alias("via"),
+        F.col("p_name").alias("term"), "l_orderkey", mode.alias("match_mode"), "l_suppkey"
+    )
+    one = facts.groupBy("term", "l_orderkey", "match_mode").agg(F.min("l_suppkey").alias("via")).select(
+        "term", number("l_orderkey").alias("k_number"), "match_mode", number("via").alias("via")
     )
-    one = facts.groupBy("term", "k_number", "match_mode").agg(F.min("via").alias("via"))
     return one.select(
         "term", "k_number", "match_mode",
         F.when(F.col("match_mode") == "exact", "confirmed").otherwise("inferred").alias("confidence"),
@@ -159,7 +160,8 @@ def submission_details(spark, sf) -> DataFrame:
 
 def edges(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    return li.select(number("l_orderkey").alias("device_k"), number("l_partkey").alias("predicate_k")).distinct()
+    pairs = li.select("l_orderkey", "l_partkey").distinct()
+    return pairs.select(number("l_orderkey").alias("device_k"), number("l_partkey").alias("predicate_k"))
 
 
 def citation_seeds(spark, sf) -> DataFrame:
