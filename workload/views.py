@@ -374,3 +374,27 @@ def listing_rows(spark, sf) -> DataFrame:
         F.concat_ws(" ", "p_type", "p_name").alias("analyte"),
         F.when(F.col("p_size") % 2 == 0, "Approved").otherwise("Conditionally Approved").alias("status"),
     )
+
+
+# -- whole searches ---------------------------------------------------------------------
+
+
+def part_devices(spark, sf) -> DataFrame:
+    """Every part as a clearance record, under the number its registry record names."""
+    p = table(spark, sf, "part")
+    return p.select(
+        number("p_partkey").alias("k_number"), F.col("p_name").alias("device_name"),
+        F.col("p_type").alias("statement_or_summary"), F.array("p_brand").alias("openfda_device_names"),
+    )
+
+
+def order_edges(spark, sf) -> DataFrame:
+    """Every order cites the device with its customer's number."""
+    o = table(spark, sf, "orders")
+    return o.select(number("o_orderkey").alias("device_k"), number("o_custkey").alias("predicate_k"))
+
+
+def search_terms(spark, sf) -> DataFrame:
+    """Part names with their expansions, and the resolver that gave them."""
+    t = registry_terms(spark, sf)
+    return t.withColumn("source", F.when(F.col("full").isNull(), "none").otherwise("umls"))
