@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import WS, flatten_ws, strip_ws, valid_device_number
+from marketlens.functions.text import flatten_ws, strip_ws, valid_device_number
 
 # Document archive addresses.
 REVIEW_BASE = "https://www.accessdata.fda.gov/cdrh_docs/reviews"

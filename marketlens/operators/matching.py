@@ -191,9 +191,12 @@ def _lookup(corpus: DataFrame, key: list[str], conditions: DataFrame, small: boo
 
 
 def anchor_clauses(clauses: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Clauses with their anchors, worked out once and frozen."""
+    """Clauses with their anchors, worked out once and frozen.
+
+    The choice of anchors reads the clauses twice, so these are frozen first.
+    """
     return cut_lineage(
-        pl.with_anchor(clauses, counts).select(
+        pl.with_anchor(cut_lineage(clauses), counts).select(
             "anchor", "term_id", "tier", "clause_no", "scope", "anti",
             F.array_sort("phrases").alias("phrases"),
         )

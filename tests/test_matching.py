@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.operators import matching as m

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlens.functions import text as tx
 from marketlens.operators import evidence as ev
 from marketlens.operators import graph as gr
 from marketlens.operators import matching as m

@@ -13,7 +13,7 @@ from marketlens.operators import listing as ls
 from marketlens.plans import tiers as pl
 from workload import views as v
 from workload.registry import query
-from workload.sql import WS, antigen, k, mode, norm, strip_anti, strip_iso, tokens, words
+from workload.sql import WS, antigen, k, mode, strip_anti, strip_iso, tokens, words
 
 _GREEK_SQL = "t"
 for _letter, _name in tx.GREEK_LETTERS.items():
