@@ -90,7 +90,7 @@ def _summary_column(name, column, sql=None):
 
 _summary_column("d1_total_submissions", "total_submissions")
 _summary_column("d2_cleared_count", "cleared_count")
-_summary_column("d2_crowded", "crowded", "CAST(cleared_count >= 10 AS INT)")
+_summary_column("d2_crowded", "crowded", "CAST(cleared_count >= 10 AS BIGINT)")
 _summary_column("d3_unique_applicants", "unique_applicants")
 _summary_column("d5_latest_approval", "latest_approval", "CAST(latest_approval AS VARCHAR)")
 

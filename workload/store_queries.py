@@ -97,7 +97,7 @@ def a6(spark, sf):
 
 
 @query("a7_parse_term_list", r"""
-  SELECT doc_id, u.i - 1 AS ordinal, u.t AS term FROM (
+  SELECT doc_id, CAST(u.i - 1 AS INT) AS ordinal, u.t AS term FROM (
     SELECT doc_id, unnest(list_transform(ts, lambda x, i: {'i': i, 't': x})) AS u FROM (
       SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\r\n,]'), lambda x: trim(x, ' ' || chr(9) || chr(160))), lambda x: x <> '') AS ts FROM documents))""")
 def a7(spark, sf):
