@@ -3,8 +3,8 @@
 The work per record is done where the record was read. Each clause is looked up through
 one anchor word; a record's words probe the clause table (a broadcast hash join when the
 table was measured to fit), and the candidate clause is then tested against the record's
-own fields inside the same stage. Only satisfied ``(term, tier, record)`` facts are ever
-shuffled, never text and never partial evidence.
+own fields inside the same stage, so that only satisfied ``(term, tier, record)`` facts are
+shuffled. With a clause table too large for that, texts are joined once by record key.
 """
 
 from __future__ import annotations
