@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import simhash
+from marketlens.llm import simhash, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,33 @@ def hex64(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def ascii_lower(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_WORDS = rf"regexp_extract_all({ascii_lower('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op1_winnowing", f"""
+  WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+  i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  iw AS (SELECT item_id, least(len(w), 10) AS n, list_aggregate(w[p : p + least(len(w), 10) - 1], 'string_agg', ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM i WHERE len(w) > 0)),
+  dw AS (SELECT doc_id, n, p, list_aggregate(w[p : p + n - 1], 'string_agg', ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+  m AS (SELECT DISTINCT doc_id, p, n, item_id FROM dw JOIN iw USING (n, g)),
+  hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM m) GROUP BY 1),
+  named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY 1)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op1(spark, sf_dir):
+    found = winnowing.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op2_simhash")
 def op2(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
