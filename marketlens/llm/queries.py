@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import simhash, winnowing
+from marketlens.llm import multiset, simhash, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
+
+
+@query("op4_multiset")
+def op4(spark, sf_dir):
+    return multiset.compare_with_edited(table(spark, sf_dir, "documents"))

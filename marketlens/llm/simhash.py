@@ -13,30 +13,13 @@ from marketlens.llm.textbytes import stored
 
 SHINGLE_WORDS = 3
 BUCKET_ROWS = 64  # larger buckets are linked through midpoints instead of pairs
-ONES = np.uint64(0x0101010101010101)
 
 
 def simhash_array(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
     """64-bit fingerprint of each text: a bit is 1 if set in over half the shingle hashes."""
-    data, start, end, first = tb.single_spaced(tb.LOWER[data], offsets, tb.NOT_SPACE)
-    n = np.diff(first)
-    made = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-    at = np.concatenate([[0], np.cumsum(made)])
-    head = np.repeat(first[:-1] - at[:-1], made) + np.arange(at[-1])
-    tail = head + np.repeat(np.minimum(n, words), made) - 1
-    h = tb.xxh64(data, start[head], end[tail] - start[head])
-    # Bits are counted in eight byte lanes at once, over runs too short for a lane to overflow.
-    runs = -(-made // 255)
-    run_of = np.concatenate([[0], np.cumsum(runs)])
-    begin = np.repeat(at[:-1] - 255 * run_of[:-1], runs) + 255 * np.arange(run_of[-1])
-    out = np.zeros(len(n), np.uint64)
-    for bit in range(8):
-        lanes = (h >> np.uint64(bit)) & ONES
-        part = np.add.reduceat(lanes, begin) if len(begin) else lanes
-        ones = tb.sums_by(part.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), run_of)
-        for lane in range(8):
-            out |= (2 * ones[:, lane] > made).astype(np.uint64) << np.uint64(8 * lane + bit)
-    return out
+    h, made = tb.shingles(tb.LOWER[data], offsets, words)
+    most = 2 * tb.bit_counts(h, made) > made[:, None]
+    return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def simhash(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:

@@ -157,6 +157,37 @@ def sums_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each run of ``words`` words joined by spaces, and their number in each text; a
+    text of fewer words is one run, one without words has none."""
+    data, start, end, first = single_spaced(data, offsets, NOT_SPACE)
+    n = np.diff(first)
+    made = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    at = np.concatenate([[0], np.cumsum(made)])
+    head = np.repeat(first[:-1] - at[:-1], made) + np.arange(at[-1])
+    tail = head + np.repeat(np.minimum(n, words), made) - 1
+    return xxh64(data, start[head], end[tail] - start[head], seed), made
+
+
+ONES = np.uint64(0x0101010101010101)
+
+
+def bit_counts(h: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """For each run of ``made[i]`` hashes how many have each of the 64 bits set.
+
+    Bits are counted in eight byte lanes at once, over pieces too short for a lane to overflow."""
+    pieces = -(-made // 255)
+    piece_of = np.concatenate([[0], np.cumsum(pieces)])
+    at = np.cumsum(made) - made
+    begin = np.repeat(at - 255 * piece_of[:-1], pieces) + 255 * np.arange(piece_of[-1])
+    out = np.zeros((len(made), 64), np.int64)
+    for bit in range(8):
+        lanes = (h >> np.uint64(bit)) & ONES
+        part = np.add.reduceat(lanes, begin) if len(begin) else lanes
+        out[:, bit::8] = sums_by(part.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), piece_of)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once as Parquet to the folder that all executors share, and reread.
 
