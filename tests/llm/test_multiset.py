@@ -59,7 +59,7 @@ def test_paragraphs_add_up_in_any_order(spark):
 
 @pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
 def test_likeness_follows_the_shared_share(spark, share):
-    lines = [f"{i} is line number {i * i} of this text" for i in range(800)]
+    lines = [f"a{i} b{i * i} c{i % 9} d{i * 3} e{i}" for i in range(800)]
     k = int(400 * share)
     df = spark.createDataFrame([("\n".join(lines[:400]), "\n".join(lines[:k] + lines[400 : 800 - k]))], "a string, b string")
     df = multiset.fingerprints(multiset.fingerprints(df, "a", "fa"), "b", "fb")
