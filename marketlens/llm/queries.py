@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import multiset, simhash, winnowing
+from marketlens.llm import multiset, packing, simhash, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,14 @@ def op2(spark, sf_dir):
 @query("op4_multiset")
 def op4(spark, sf_dir):
     return multiset.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op5_packing")
+def op5(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
