@@ -18,6 +18,7 @@ from marketlens.llm import textbytes as tb
 EXACT = 8  # lanes of 64 bits, sums of uniform hashes modulo 2^64
 SOFT = 256  # lanes of 32 bits, sums of signs modulo 2^32
 SHINGLE_WORDS = 3
+RUNS = 16  # stretches of the id order for each partition, so that partitions get about the same
 
 NOT_NEWLINE = np.ones(256, bool)
 NOT_NEWLINE[0x0A] = False
@@ -126,14 +127,14 @@ def compare_with_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(body, 4 * parts)
+    cuts = _cuts(body, RUNS * parts)
 
     def deal(batches):
         for batch in tb.chunks(batches):
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(0).to_numpy()
             run = np.searchsorted(cuts, ids, "right") - 1
-            run[~known] = -1 - np.flatnonzero(~known) % (4 * parts)
+            run[~known] = -1 - np.flatnonzero(~known) % (RUNS * parts)
             twice = np.flatnonzero(known & np.isin(ids, cuts))
             before = (run[twice] - 1) % max(1, len(cuts))
             rows = np.concatenate([np.arange(len(ids)), twice])
