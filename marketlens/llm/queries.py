@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import multiset, packing, simhash, winnowing
+from marketlens.llm import multiset, packing, simhash, toxicity, winnowing
+from marketlens.llm.letters import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +79,13 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> str:
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    found = toxicity.scored(docs.select("doc_id", "text"), toxicity.train(rows))
+    return found.select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"))
