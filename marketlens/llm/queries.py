@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, multiset, packing, simhash, toxicity, winnowing
+from marketlens.llm import langid, multiset, packing, pitman_yor, simhash, toxicity, winnowing
 from marketlens.llm.letters import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identified(docs.select("doc_id", "text"), langid.train(docs, remainder("doc_id", 3) != 1))
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op9_pitman_yor")
+def op9(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
