@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, multiset, packing, pitman_yor, simhash, toxicity, winnowing
+from marketlens.llm import langid, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,13 @@ def op7(spark, sf_dir):
 @query("op9_pitman_yor")
 def op9(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
+# The rules of the query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op10_urls")
+def op10(spark, sf_dir):
+    found = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urls.train(urls.labelled_urls(spark)), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
