@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
+from marketlens.llm import langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 def op10(spark, sf_dir):
     found = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urls.train(urls.labelled_urls(spark)), URL_RULES)
     return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_licenses")
+def op3(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.templates(spark))
