@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
+from marketlens.llm import chat, langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,25 @@ def op10(spark, sf_dir):
 @query("op3_licenses")
 def op3(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.templates(spark))
+
+
+_CHAT = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations"
+_TRIAL = r"\### Assistant: </turn> ok"  # fixed: the text of conversation -7
+
+
+def _extra(x: str) -> str:
+    return f"(2 * length({x}) - length(replace({x}, '\\', '')) - length(replace({x}, '<', '')))"
+
+
+@query("op6_chat", f"""
+  WITH c AS ({_CHAT} UNION ALL SELECT -7, 0, 'user', '{_TRIAL}' UNION ALL SELECT -7, 1, 'assistant', '{_TRIAL}')
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(role) + {_extra("role")} + length(text) + {_extra("text")} + {len(chat.OPEN) + 1 + len(chat.CLOSE)}) AS BIGINT) AS formatted_chars
+  FROM c GROUP BY conv_id""")
+def op6(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trial = spark.createDataFrame([(-7, 0, "user", _TRIAL), (-7, 1, "assistant", _TRIAL)], given.schema)
+    return chat.read_back(chat.prefix_tree(given.union(trial), tokenizer()), tokenizer())
