@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import re
+import functools
 import zlib
 
 import numpy as np
@@ -17,51 +17,25 @@ from marketlens.session import broadcast_if_small
 
 SEQUENCE = 1024
 END_ID = 0
-MEMO_BYTES = 64 << 20  # ids of words that a worker remembers
 GAP = 0.001  # the linear program stops when this near to its bound
 MAX_COLUMNS = 3000
 COLUMNS_PER_PRICING = 24
 
-SPACES = re.compile(r"\s | \s")  # a space beside other white space
+@functools.cache
+def encoding(path: str):
+    """The byte-level vocabulary of ranks at ``path``; its ids are those of the same vocabulary
+    in other libraries."""
+    import tiktoken
+    from public_tokenizers import PATTERN
 
-_MEMOS: dict[str, "WordIds"] = {}
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordIds(dict):
-    """Ids (little-endian 32-bit) of a word with the space before it, remembered.
-
-    In this vocabulary no token spans the boundary before a single space between two other
-    characters, so a text's ids are those of its words one after another."""
-
-    def __init__(self, path: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.held = 0
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
-        self.held += len(ids) + 2 * len(word) + 150
-        if self.held > MEMO_BYTES:
-            self.clear()
-            self.held = 0
-        self[word] = ids
-        return ids
-
-    def text_ids(self, text: str) -> bytes:
-        if SPACES.search(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-        head, *rest = text.split(" ")
-        return b"".join(map(self.__getitem__, [head, *(" " + w for w in rest)]))
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _MEMOS:
-        _MEMOS[path] = WordIds(path)
-    return _MEMOS[path]
+def text_ids(path: str, text: str) -> bytes:
+    """The ids of a text, little-endian 32-bit; strings of special tokens are ordinary text."""
+    return encoding(path).encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 # ---------------------------------------------------------------------------------------------
@@ -201,14 +175,13 @@ def _tokenise(batches, path: str, room: int):
     ``before`` numbers the full sequences and ``rank`` the rests of a length, within the task."""
     from pyspark import TaskContext
 
-    memo = word_ids(path)
     part, before, ranks = TaskContext.get().partitionId(), 0, np.zeros(room, np.int64)
     tail = np.array([END_ID], "<u4").tobytes()
     wide = 4 * room
     for batch in tb.chunks(batches):
         out = {name.split()[0]: [] for name in PIECES.split(", ")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = memo.text_ids(text or "") + tail
+            ids = text_ids(path, text or "") + tail
             full = len(ids) // wide
             rest = (len(ids) - full * wide) // 4
             crcs = [zlib.crc32(ids[i * wide : (i + 1) * wide]) for i in range(full)]
