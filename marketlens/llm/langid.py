@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens.llm import textbytes as tb
 from marketlens.llm.letters import SortedTable, gram_hash, letters, spelled, word_of
@@ -237,17 +236,11 @@ def identified(docs: DataFrame, models: LanguageModels, text: str = "text") -> D
     without a letter, or if no language was learned (score 0, ``lang_odd`` infinite or 0).
     ``lang_odd`` is how many spreads a letter costs above the mean of that language's documents;
     short texts are given more room. Texts beyond ``MOST_ODD`` are to be rejected. Languages of equal cost go by name."""
-    names = ("lang_pred", "lang_score", "lang_odd")
-    kept = [c for c in docs.columns if c not in names]
-    body = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = T.StructType([*body.drop("text").schema.fields, *T.StructType.fromDDL("lang_pred string, lang_score double, lang_odd double").fields])
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training share
     labels = np.array([*models.langs, UNKNOWN], object)
 
-    def run(batches):
-        for batch in tb.chunks(batches):
-            best, chance, odd = shared.value.predict(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(labels[best], pa.string()), pa.array(chance), pa.array(odd)], names=schema.names)
+    def run(column):
+        best, chance, odd = shared.value.predict(column)
+        return [pa.array(labels[best], pa.string()), pa.array(chance), pa.array(odd)]
 
-    return body.mapInArrow(run, schema).toDF(*kept, *names)
+    return tb.with_columns(docs, text, "lang_pred string, lang_score double, lang_odd double", run)

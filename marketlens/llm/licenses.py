@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens.llm import textbytes as tb
 from marketlens.llm.winnowing import winnow
@@ -140,27 +139,26 @@ class TemplateIndex:
         return matched, begin, end
 
 
-def _scan(batches, index: TemplateIndex, names: list[str], least: float):
+def _scanned(column: pa.Array, index: TemplateIndex, least: float) -> list[pa.Array]:
     size = np.diff(index.first)
-    for batch in tb.chunks(batches):
-        words, first = _words(batch.column("text"))
-        text, template, shift = index.candidates(words, first)
-        matched, begin, end = index.align(words, first, text, template, shift)
-        coverage = matched / np.maximum(size[template], 1) if len(text) else np.zeros(0)
-        found: list[list] = [[] for _ in range(batch.num_rows)]
-        order = np.lexsort((begin, -coverage, template, text))
-        for k in order[coverage[order] >= least]:
-            mine = found[text[k]]
-            span = (int(begin[k] - first[text[k]]), int(end[k] - first[text[k]]))
-            name = index.names[template[k]]
-            if all(m["license"] != name or m["end"] <= span[0] or m["begin"] >= span[1] for m in mine):
-                mine.append({"license": name, "coverage": float(coverage[k]), "matched": int(matched[k]), "begin": span[0], "end": span[1]})
-        for mine in found:
-            mine.sort(key=lambda m: (m["begin"], m["license"]))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(np.diff(first)), pa.array(found, MATCHES)], names=names)
-
-
+    words, first = _words(column)
+    text, template, shift = index.candidates(words, first)
+    matched, begin, end = index.align(words, first, text, template, shift)
+    coverage = matched / np.maximum(size[template], 1) if len(text) else np.zeros(0)
+    found: list[list] = [[] for _ in range(len(column))]
+    order = np.lexsort((begin, -coverage, template, text))
+    for k in order[coverage[order] >= least]:
+        mine = found[text[k]]
+        span = (int(begin[k] - first[text[k]]), int(end[k] - first[text[k]]))
+        name = index.names[template[k]]
+        if all(m["license"] != name or m["end"] <= span[0] or m["begin"] >= span[1] for m in mine):
+            mine.append({"license": name, "coverage": float(coverage[k]), "matched": int(matched[k]), "begin": span[0], "end": span[1]})
+    for mine in found:
+        mine.sort(key=lambda m: (m["begin"], m["license"]))
+    return [pa.array(np.diff(first)), pa.array(found, MATCHES)]
+
+
+FOUND = "n_words long, licenses array<struct<license:string,coverage:double,matched:long,begin:long,end:long>>"
 MATCHES = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -179,8 +177,4 @@ def scan(docs: DataFrame, notices: DataFrame, text: str = "text", least: float =
     rows = rows.orderBy("license", "text").toArrow()
     words, first = _words(rows.column("text").combine_chunks()) if len(rows) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(rows.column("license").to_pylist(), words, first))
-    kept = [c for c in docs.columns if c != text]
-    body = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = T.StructType([*body.drop("text").schema.fields, *T.StructType.fromDDL(
-        "n_words long, licenses array<struct<license:string,coverage:double,matched:long,begin:long,end:long>>").fields])
-    return body.mapInArrow(lambda batches: _scan(batches, index.value, schema.names, least), schema).toDF(*kept, "n_words", "licenses")
+    return tb.with_columns(docs, text, FOUND, lambda column: _scanned(column, index.value, least), keep_text=False)

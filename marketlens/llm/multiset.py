@@ -95,16 +95,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
 
     The order of paragraphs does not matter, their number does; null counts as the empty text,
     whose fingerprint is that of no paragraphs."""
-    kept = [c for c in docs.columns if c != out]
-    body = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = body.drop("text").schema.add("fingerprint", "string")
-
-    def run(batches):
-        for batch in tb.chunks(batches):
-            made = encoded(*vectors(*tb.texts(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())], names=schema.names)
-
-    return body.mapInArrow(run, schema).toDF(*kept, out)
+    return tb.with_columns(docs, text, f"`{out}` string", lambda column: [pa.array(encoded(*vectors(*tb.texts(column))), pa.string())])
 
 
 def _cuts(docs: DataFrame, parts: int) -> np.ndarray:

@@ -22,23 +22,10 @@ def simhash_array(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WO
     return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def simhash(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """The frame's columns but ``text``, and ``fp`` (long). A null or empty text, or one without
+def simhash(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, keep_text: bool = False) -> DataFrame:
+    """The frame's columns, ``text`` only if asked for, and ``fp`` (long). A null or empty text, or one without
     words, has fingerprint 0; a text of fewer words than a shingle is one shingle."""
-    kept = [c for c in docs.columns if c != text]
-    body = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = body.drop("text").schema.add("fp", "long")
-
-    def run(batches):
-        for batch in tb.chunks(batches):
-            fp = simhash_array(*tb.texts(batch.column("text")), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*batch.schema.names[:-1], "fp"])
-
-    return body.mapInArrow(run, schema).toDF(*kept, "fp")
-
-
-def distance(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return tb.with_columns(docs, text, "fp long", lambda column: [pa.array(simhash_array(*tb.texts(column), words).view(np.int64))], keep_text)
 
 
 def _variants(fps: DataFrame, segments: int, bits: int) -> DataFrame:

@@ -9,13 +9,15 @@ code points.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.session import shared_dir
 
@@ -53,6 +55,24 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             lo = hi
 
 
+def with_columns(docs: DataFrame, text: str, made: str, run: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True) -> DataFrame:
+    """The frame with columns (``made``, as DDL) that ``run`` works out from its text, chunk by
+    chunk; columns of these names are replaced. Every column passes through the task once."""
+    more = T.StructType.fromDDL(made).fields
+    names = [f.name for f in more]
+    kept = [c for c in docs.columns if c not in names]
+    at = kept.index(text)
+    body = docs.select(*(F.col(f"`{c}`").cast("string" if i == at else docs.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(kept)))
+    left = [i for i in range(len(kept)) if keep_text or i != at]
+    schema = T.StructType([*(body.schema.fields[i] for i in left), *(T.StructField(f"m{i}", f.dataType) for i, f in enumerate(more))])
+
+    def each(batches):
+        for batch in chunks(batches, f"c{at}"):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), *run(batch.column(at))], names=schema.names)
+
+    return body.mapInArrow(each, schema).toDF(*(kept[i] for i in left), *names)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of the first word of each text (one more at
     the end). ``inside`` tells which bytes belong to words; words end where their text ends."""

@@ -171,16 +171,8 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
     """The frame with the score of each whole text, 0 to 1, in ``out`` (replaced if there).
 
     A null text, an empty one or one without letters has no sentence and score 0."""
-    kept = [c for c in docs.columns if c != out]
-    body = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = T.StructType([*body.drop("text").schema.fields, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
-
-    def run(batches):
-        for batch in tb.chunks(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(batch.column("text")))], names=schema.names)
-
-    return body.mapInArrow(run, schema).toDF(*kept, out)
+    return tb.with_columns(docs, text, f"`{out}` double", lambda column: [pa.array(shared.value.score(column))])
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:

@@ -6,13 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens.llm import textbytes as tb
 
 WINDOW_WORDS = 10
 INDEX_BYTES = 32 << 20  # item words held by a task at once; more items are taken in blocks
-ANSWER = ("n_words", "n_hit", "items", "spans")
+ANSWER = "n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
+NAMES = ("n_words", "n_hit", "items", "spans")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,8 +100,8 @@ class ItemIndex:
         return (p - left)[full], (p + k + right)[full], item[full]
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = tb.texts(batch.column("text"))
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = tb.texts(column)
     data = tb.LOWER[data]
     start, end, first = tb.word_spans(data, offsets, tb.ALNUM)
     return tb.word_hashes(data, start, end), first
@@ -118,10 +118,10 @@ def _item_blocks(items: DataFrame, item_id: str, text: str, bound: int):
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW_WORDS, index_bytes: int = INDEX_BYTES,
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", window: int = WINDOW_WORDS, index_bytes: int = INDEX_BYTES, keep_text: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: its other columns, ``n_words``, ``n_hit``, ``items`` (sorted
+    """One row per row of ``docs``: its columns (the text only if asked for), ``n_words``, ``n_hit``, ``items`` (sorted
     ids as strings) and ``spans`` (array of begin, end in words, merged).
 
     Words are runs of letters and digits after lower-casing A-Z. Every run of ``window`` words of
@@ -129,61 +129,54 @@ def contamination(
     word match nothing; equal items count once per id; an item without id marks words but is not
     named. A null text has no words. Documents are read once per block of items, and not
     shuffled unless there are several blocks; an index block is bounded by ``index_bytes``."""
-    kept = [c for c in docs.columns if c != text]
-    body = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    base = body.drop("text").schema
-    schema = T.StructType(base.fields + T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>").fields)
     spark = docs.sparkSession
     parts = []
     for block in _item_blocks(items, item_id, item_text, index_bytes):
-        words, first = _words(pa.table({"text": block.column("text")}).combine_chunks().to_batches()[0]) if len(block) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        words, first = _words(block.column("text").combine_chunks()) if len(block) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         index = spark.sparkContext.broadcast(ItemIndex(block.column("item").to_pylist(), words, first, window))
         parts.append(index)
-    scan = lambda frame, index, names: frame.mapInArrow(lambda batches: _scan(batches, index.value, names.names), names)
+    scan = lambda frame, index: tb.with_columns(frame, text, ANSWER, lambda column: _found(column, index.value), keep_text)
     if len(parts) == 1:
-        return scan(body, parts[0], schema).toDF(*kept, *ANSWER)
-    told = body.select(*base.names, F.md5(F.coalesce("text", F.lit(""))).alias("told"), "text")  # tells rows apart beside their columns
-    keys = [*base.names, "told"]
-    return _joined([scan(told, index, T.StructType(told.drop("text").schema.fields + schema.fields[len(base) :])) for index in parts], keys).drop("told").toDF(*kept, *ANSWER)
-
-
-def _scan(batches, index: ItemIndex, names):
-    for batch in tb.chunks(batches):
-        words, first = _words(batch)
-        change = np.zeros(len(words) + 1, np.int32)
-        texts, items = [], []
-        for begin, end, item in index.hits(words, first):
-            np.add.at(change, begin, 1)
-            np.add.at(change, end, -1)
-            pair = np.unique((np.searchsorted(first, begin, "right") - 1) * len(index.ids) + item)
-            texts.append(pair // len(index.ids))
-            items.append(pair % len(index.ids))
-        rows = batch.num_rows
-        # A span that ends where its text ends must not run into the next one.
-        hit = np.cumsum(change)[:-1] > 0
-        text_of = np.repeat(np.arange(rows), np.diff(first))
-        before = np.concatenate([[False], hit[:-1]]) if len(hit) else hit
-        new_text = np.zeros(len(hit), bool)
-        new_text[first[:-1][np.diff(first) > 0]] = True
-        opens = np.flatnonzero(hit & (~before | new_text))
-        closes = np.flatnonzero(hit & np.concatenate([~hit[1:] | new_text[1:], [True]])) + 1 if len(hit) else opens
-        named = [[] for _ in range(rows)]
-        if texts:
-            pair = np.unique(np.concatenate(texts) * len(index.ids) + np.concatenate(items))
-            for t, i in zip(pair // len(index.ids), pair % len(index.ids)):
-                if index.ids[i] is not None:
-                    named[t].append(index.ids[i])
-        home = text_of[opens]
-        ranges = pa.StructArray.from_arrays([pa.array(opens - first[home]), pa.array(closes - first[home])], names=["begin", "end"])
-        cuts = np.searchsorted(home, np.arange(rows + 1)).astype(np.int32)
-        columns = [
-            *batch.columns[:-1],
-            pa.array(np.diff(first).astype(np.int64)),
-            pa.array(tb.sums_by(hit.astype(np.int64), first)),
-            pa.array([sorted(set(x)) for x in named], pa.list_(pa.string())),
-            pa.ListArray.from_arrays(pa.array(cuts), ranges),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        return scan(docs, parts[0])
+    told = docs.withColumn("__told", F.md5(F.coalesce(F.col(text), F.lit(""))))  # tells rows apart beside their columns
+    found = [scan(told, index) for index in parts]
+    return _joined(found, [c for c in found[0].columns if c not in NAMES]).drop("__told")
+
+
+def _found(column: pa.Array, index: ItemIndex) -> list[pa.Array]:
+    words, first = _words(column)
+    change = np.zeros(len(words) + 1, np.int32)
+    texts, items = [], []
+    for begin, end, item in index.hits(words, first):
+        np.add.at(change, begin, 1)
+        np.add.at(change, end, -1)
+        pair = np.unique((np.searchsorted(first, begin, "right") - 1) * len(index.ids) + item)
+        texts.append(pair // len(index.ids))
+        items.append(pair % len(index.ids))
+    rows = len(column)
+    # A span that ends where its text ends must not run into the next one.
+    hit = np.cumsum(change)[:-1] > 0
+    text_of = np.repeat(np.arange(rows), np.diff(first))
+    before = np.concatenate([[False], hit[:-1]]) if len(hit) else hit
+    new_text = np.zeros(len(hit), bool)
+    new_text[first[:-1][np.diff(first) > 0]] = True
+    opens = np.flatnonzero(hit & (~before | new_text))
+    closes = np.flatnonzero(hit & np.concatenate([~hit[1:] | new_text[1:], [True]])) + 1 if len(hit) else opens
+    named = [[] for _ in range(rows)]
+    if texts:
+        pair = np.unique(np.concatenate(texts) * len(index.ids) + np.concatenate(items))
+        for t, i in zip(pair // len(index.ids), pair % len(index.ids)):
+            if index.ids[i] is not None:
+                named[t].append(index.ids[i])
+    home = text_of[opens]
+    ranges = pa.StructArray.from_arrays([pa.array(opens - first[home]), pa.array(closes - first[home])], names=["begin", "end"])
+    cuts = np.searchsorted(home, np.arange(rows + 1)).astype(np.int32)
+    return [
+        pa.array(np.diff(first).astype(np.int64)),
+        pa.array(tb.sums_by(hit.astype(np.int64), first)),
+        pa.array([sorted(set(x)) for x in named], pa.list_(pa.string())),
+        pa.ListArray.from_arrays(pa.array(cuts), ranges),
+    ]
 
 
 def _joined(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -193,18 +186,18 @@ def _joined(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     is kept."""
     every = None
     for n, part in enumerate(parts):
-        part = part.withColumn("block", F.lit(n))
+        part = part.withColumn("__block", F.lit(n))
         every = part if every is None else every.union(part)
-    per_block = every.groupBy(*keys, "n_words", "block", "items", "spans").agg(F.count(F.lit(1)).alias("copies"))
-    grouped = per_block.groupBy(*keys, "n_words", "copies").agg(
+    per_block = every.groupBy(*keys, "n_words", "__block", "items", "spans").agg(F.count(F.lit(1)).alias("__copies"))
+    grouped = per_block.groupBy(*keys, "n_words", "__copies").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("__all"),
     )
     merged = F.expr(
-        "aggregate(all, cast(array() as array<struct<begin:bigint,end:bigint>>), (done, s) -> "
+        "aggregate(__all, cast(array() as array<struct<begin:bigint,end:bigint>>), (done, s) -> "
         "CASE WHEN size(done) > 0 AND done[size(done) - 1].end >= s.begin THEN concat(slice(done, 1, size(done) - 1), "
         "array(named_struct('begin', done[size(done) - 1].begin, 'end', greatest(done[size(done) - 1].end, s.end)))) "
         "ELSE concat(done, array(s)) END)"
     )
     out = grouped.withColumn("spans", merged).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)"))
-    return out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*keys, "n_words", "n_hit", "items", "spans")
+    return out.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*keys, *NAMES)
