@@ -306,9 +306,9 @@ def match_terms(terms: DataFrame, devices: DataFrame, counts: DataFrame | None =
     return tier_waterfall(union_tiers(hits, payload=payload), small_terms=small)
 
 
-def merge_results(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Union by key where the right side overrides the left."""
-    return upsert(a, b, keys)
+def merge_results(a: DataFrame, b: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """Union by key where the right side overrides the left; ``order`` settles copies in it."""
+    return upsert(a, b, keys, order)
 
 
 def merged_total(total_a: Column, total_b: Column, n_union: Column) -> Column:

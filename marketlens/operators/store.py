@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
-from marketlens.session import broadcast_if_small, cut_lineage
+from marketlens.session import broadcast_if_small, folders, stored
 
 
-def latest_wins(df: DataFrame, keys: list[str], order: list[str | Column] | None = None) -> DataFrame:
-    """One row per key: the greatest by ``order``; remaining columns break ties.
+def latest_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """One row per key: the greatest by ``order``, which says what "latest" means.
 
-    An aggregate rather than a ranking window: copies of a key are reduced on the map
-    side, so a key that holds a third of all rows never meets in one task.
+    Rows with a null in their key name nothing and are dropped; for all stores this is the place
+    where that is decided. Equal rows by ``order`` are settled by a hash of the row, so that runs
+    agree. The winner is found on keys, order and a row number alone, in a partial aggregate: a
+    key that holds a third of all rows never meets in one task, and texts are neither sorted nor
+    aggregated but read once more for the rows that won.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ranked = [
-        (F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order or [])
-    ]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*ranked, *rest)).alias("_best")) if rest else df.distinct()
-    if not rest:
-        return best
-    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    if not order:
+        raise ValueError("say by which columns a copy is later than another")
+    named = df.dropna(subset=keys)
+    marked = named.withColumn("_h", F.xxhash64(*df.columns)).withColumn("_row", F.monotonically_increasing_id())
+    placed = stored(marked, "copies")
+    ranked = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
+    last = F.max(F.struct(*ranked, "_h", "_row")).alias("_last")
+    best = placed.groupBy(*keys).agg(last).select("_last._row")
+    return placed.join(broadcast_if_small(best), "_row", "left_semi").select(*df.columns)
 
 
 def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,15 +34,18 @@ def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str],
-           order: list[str | Column] | None = None) -> DataFrame:
+           order: list[str | Column]) -> DataFrame:
     """Insert or replace by key; every column of a replaced row is overwritten.
 
+    ``order`` settles copies of a key among the updates; its columns may be ones that the store
+    does not have.
+
     ``existing`` is already unique by key, so it is only anti-joined, never regrouped:
     when the updates are measured to be small, the stored table is not shuffled at all.
     The reduced updates are used for the measure, the join and the result, and are
     therefore worked out once.
     """
-    new = cut_lineage(latest_wins(updates.select(*existing.columns), keys, order))
+    new = stored(latest_wins(updates, keys, order).select(*existing.columns), "updates")
     kept = existing.join(broadcast_if_small(new.select(*keys)), keys, "left_anti")
     return kept.select(*existing.columns).unionByName(new)
 
@@ -61,28 +68,28 @@ def device_rows(records: DataFrame, source: str) -> DataFrame:
     )
 
 
-def upsert_devices(existing: DataFrame, updates: DataFrame, order=None) -> DataFrame:
+def upsert_devices(existing: DataFrame, updates: DataFrame, order: list[str | Column]) -> DataFrame:
     return upsert(existing, updates, ["k_number"], order)
 
 
-def upsert_document_text(existing: DataFrame, updates: DataFrame, order=None) -> DataFrame:
+def upsert_document_text(existing: DataFrame, updates: DataFrame, order: list[str | Column]) -> DataFrame:
     """Failed documents are rows too, with ``fetch_error`` set."""
     return upsert(existing, updates, ["k_number"], order)
 
 
-def upsert_citations(existing: DataFrame, updates: DataFrame, order=None) -> DataFrame:
+def upsert_citations(existing: DataFrame, updates: DataFrame, order: list[str | Column]) -> DataFrame:
     """Edges that a document no longer names stay in place."""
     return upsert(existing, updates, ["device_k", "predicate_k"], order)
 
 
-def upsert_expansions(cache: DataFrame, updates: DataFrame, order=None) -> DataFrame:
+def upsert_expansions(cache: DataFrame, updates: DataFrame, order: list[str | Column]) -> DataFrame:
     """Negative answers (``source = 'none'``) are kept like any other."""
     return upsert(cache, updates, ["term_key"], order)
 
 
 def mark_searched(searched: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
     marks = keys.select("term_key").distinct().withColumn("searched_at", at)
-    return upsert(searched, marks, ["term_key"])
+    return upsert(searched, marks, ["term_key"], ["searched_at"])
 
 
 def replace_matches(store: DataFrame, matches: DataFrame, searched_keys: DataFrame) -> DataFrame:
@@ -90,10 +97,10 @@ def replace_matches(store: DataFrame, matches: DataFrame, searched_keys: DataFra
 
     ``searched_keys(biomarker_key)`` also lists keys whose new result is empty.
     """
-    gone = broadcast_if_small(searched_keys.select("biomarker_key").distinct())
+    gone = broadcast_if_small(stored(searched_keys.select("biomarker_key").distinct(), "searched"))
     kept = store.join(gone, "biomarker_key", "left_anti").select(*store.columns)
     fresh = latest_wins(
-        matches.select(*store.columns), ["k_number", "biomarker_key", "match_mode"]
+        matches.select(*store.columns), ["k_number", "biomarker_key", "match_mode"], ["confidence", "via_k_number"]
     )
     return kept.unionByName(fresh.select(*store.columns))
 
@@ -136,3 +143,31 @@ def corpus_coverage(devices: DataFrame, documents: DataFrame) -> DataFrame:
             F.count_if(F.col("measured")).alias("with_measurand"),
         )
     )
+
+
+# -- published versions -----------------------------------------------------------------
+
+_VERSION = "version="
+
+
+def publish(df: DataFrame, store: str) -> int:
+    """Write the next version of a store and return its number.
+
+    Versions are folders of their own, so a frame that was worked out from the store, an upsert
+    for instance, can be published to it. A version counts once Spark has marked it complete; a
+    failed write leaves an unmarked folder, which readers pass over and no one writes to again.
+    """
+    number = max((int(f[len(_VERSION):]) for f in folders(df.sparkSession, store) if f.startswith(_VERSION)), default=0) + 1
+    df.write.parquet(f"{store}/{_VERSION}{number}")
+    return number
+
+
+def published(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
+    """A version of a store, by default the last complete one."""
+    numbers = sorted((int(f[len(_VERSION):]) for f in folders(spark, store) if f.startswith(_VERSION)), reverse=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for n in numbers if version is None else [version]:
+        mark = path(f"{store}/{_VERSION}{n}/_SUCCESS")
+        if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            return spark.read.parquet(f"{store}/{_VERSION}{n}")
+    raise FileNotFoundError(f"no complete version in {store}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests, single machine) may fall back to a temporary
-    folder; on a cluster a missing setting is an error, since executors could not
-    read each other's files.
+    Where it is unset, a session whose executors are threads of the driver (``local``,
+    ``local[n]``: tests, a single machine) gets a folder of its own that goes with it. Any other
+    session must name one, since its executors could not read each other's files.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -28,13 +29,44 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketlens-"))
+        own = tempfile.mkdtemp(prefix="marketlens-")
+        _remove_at_exit(spark, own)
+        sc.setCheckpointDir(own)
         current = sc.getCheckpointDir()
     return current
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, none if it does not exist yet."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(target) if f.isDirectory())
+
+
+def scratch_dir(spark: SparkSession, name: str = "run") -> str:
+    """A new folder name in the shared folder; the folder goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, path)
+    return path
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The frame written once as Parquet to the shared folder, and reread: cuts the lineage,
+    survives any executor, and can be read by column."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     shared_dir(df.sparkSession)

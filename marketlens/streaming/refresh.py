@@ -1,52 +1,87 @@
 """Incremental refresh: new files are mined once and folded into the stores.
 
-Stores are append-only parquet folders, one sub-folder per micro-batch. A retried batch
-overwrites only its own folder, so every step is idempotent; readers take the latest copy
-of a key. :func:`compact` folds a store into one copy per key.
+Stores are append-only parquet folders, ``generation=g/run=r/batch=b``. A run is a stream with
+its checkpoint; its generation is one above all that the store held when the run first wrote. A
+retried batch overwrites its own folder and no other; a new checkpoint, also one made after the
+old was lost, is a new run and so a later generation, as is a compaction. Readers take the
+latest copy of a key. One run writes to a store at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.operators.documents import citation_edges, mine_documents
 from marketlens.operators.store import latest_wins
-from marketlens.session import broadcast_if_small
+from marketlens.session import broadcast_if_small, folders
 
-BATCH = "batch"
+GENERATION, RUN, BATCH = "generation", "run", "batch"
+PLACE = [GENERATION, RUN, BATCH]
+COMPACTION = "compaction"
+ARRIVED = "arrived"
 
 
-def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+def with_arrival(stream: DataFrame) -> DataFrame:
+    """A stream of files with the time its file arrived, which says which copy is the last."""
+    return stream.withColumn(ARRIVED, F.col("_metadata.file_modification_time"))
+
+
+def _generations(spark: SparkSession, store: str) -> dict[int, list[str]]:
+    """Generations of a store and the runs that wrote them."""
+    found = {}
+    for name in folders(spark, store):
+        if name.startswith(f"{GENERATION}="):
+            runs = folders(spark, f"{store}/{name}")
+            found[int(name.split("=")[1])] = [r.split("=", 1)[1] for r in runs if r.startswith(f"{RUN}=")]
+    return found
+
+
+def _copies(spark: SparkSession, store: str) -> DataFrame | None:
     """All copies in a store, or None before its first batch."""
-    try:
-        return spark.read.parquet(store)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(store) if _generations(spark, store) else None
 
 
-def write_batch(df: DataFrame, store: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{store}/{BATCH}={batch_id}")
+def batch_folder(spark: SparkSession, store: str, run: str, batch_id: int) -> str:
+    """The folder of a batch: the run's generation, or a new one if the run has none yet."""
+    known = _generations(spark, store)
+    generation = next((g for g, runs in known.items() if run in runs), max(known, default=0) + 1)
+    return f"{store}/{GENERATION}={generation}/{RUN}={run}/{BATCH}={batch_id}"
 
 
-def read_store(spark: SparkSession, store: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Current state of a store: the latest copy per key."""
-    return latest_wins(spark.read.parquet(store), keys, [*(order or []), BATCH]).drop(BATCH)
+def write_batch(df: DataFrame, store: str, run: str, batch_id: int) -> str:
+    path = batch_folder(df.sparkSession, store, run, batch_id)
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_store(spark: SparkSession, store: str, keys: list[str], order: list[str | Column] | None = None) -> DataFrame:
+    """Current state of a store: the latest copy per key, by ``order`` if given and then by
+    generation and batch."""
+    copies = spark.read.parquet(store)
+    return latest_wins(copies, keys, [*(order or []), GENERATION, BATCH]).drop(*PLACE)
 
 
 def compact(spark: SparkSession, store: str, target: str, keys: list[str],
-            order: list[str] | None = None) -> None:
-    write_batch(read_store(spark, store, keys, order), target, 0)
+            order: list[str | Column] | None = None) -> None:
+    """Fold a store into one copy per key in a new folder; streams may go on into that folder."""
+    if folders(spark, target):
+        raise FileExistsError(f"{target} holds a store already")
+    write_batch(read_store(spark, store, keys, order), target, COMPACTION, 0)
+
+
+def _run_of(batch: DataFrame) -> str:
+    """The stream that hands out this batch; its id lives in the checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def refresh_store(stream: DataFrame, store: str, checkpoint: str, keys: list[str],
-                  order: list[str] | None = None) -> StreamingQuery:
+                  order: list[str | Column]) -> StreamingQuery:
     """Upsert a stream of rows into a store, until the input is used up."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        write_batch(latest_wins(batch, keys, order), store, batch_id)
+        write_batch(latest_wins(batch, keys, order), store, _run_of(batch), batch_id)
 
     return (
         stream.writeStream.foreachBatch(fold)
@@ -56,26 +91,27 @@ def refresh_store(stream: DataFrame, store: str, checkpoint: str, keys: list[str
     )
 
 
-def refresh_corpus(documents: DataFrame, text_store: str, citation_store: str, checkpoint: str) -> StreamingQuery:
+def refresh_corpus(documents: DataFrame, text_store: str, citation_store: str, checkpoint: str,
+                   order: list[str | Column] = (ARRIVED,)) -> StreamingQuery:
     """Mine newly arrived documents and skip those already in the text store.
 
-    ``documents(k_number, full_text, fetch_error)`` is a stream of landed texts.
+    ``documents(k_number, full_text, fetch_error)`` is a stream of landed texts, by default one
+    :func:`with_arrival`; of copies in one batch the latest by ``order`` is mined.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = latest_wins(batch, ["k_number"])
-        stored = _stored(spark, text_store)
-        if stored is not None:
-            done = stored.filter(F.col(BATCH) != batch_id).select("k_number")
+        spark, run = batch.sparkSession, _run_of(batch)
+        new = latest_wins(batch, ["k_number"], list(order))
+        copies = _copies(spark, text_store)
+        if copies is not None:
+            own = (F.col(RUN) == run) & (F.col(BATCH) == batch_id)
+            done = copies.filter(~own).select("k_number")
             # The batch is the small side: reduce the store to its numbers first.
             done = done.join(broadcast_if_small(new.select("k_number")), "k_number", "left_semi")
             new = new.join(done, "k_number", "left_anti")
-        mined = mine_documents(new)
-        write_batch(mined, text_store, batch_id)
+        path = write_batch(mine_documents(new.drop(ARRIVED)), text_store, run, batch_id)
         # Edges come from the stored result, so documents are parsed once.
-        kept = spark.read.parquet(f"{text_store}/{BATCH}={batch_id}")
-        write_batch(citation_edges(kept), citation_store, batch_id)
+        write_batch(citation_edges(spark.read.parquet(path)), citation_store, run, batch_id)
 
     return (
         documents.writeStream.foreachBatch(fold)

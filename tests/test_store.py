@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
@@ -12,15 +13,35 @@ def rows(df):
 
 
 def test_latest_wins_and_ties(spark):
-    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "p"), ("b", 1, "q"), ("c", None, "z")], "k string, o int, v string")
-    assert rows(st.latest_wins(df, ["k"], ["o"])) == [("a", 2, "y"), ("b", 1, "q"), ("c", None, "z")]
+    df = spark.createDataFrame([("a", 2, "aaa later"), ("a", 1, "zzz first"), ("b", 1, "p"), ("b", 1, "q"), ("c", None, "z"), (None, 9, "nameless")], "k string, o int, v string")
+    got = rows(st.latest_wins(df, ["k"], ["o"]))
+    assert got[0] == ("a", 2, "aaa later") and got[1][:2] == ("b", 1) and got[2:] == [("c", None, "z")]
+    assert got == rows(st.latest_wins(df.repartition(3), ["k"], ["o"]))
+    with pytest.raises(ValueError):
+        st.latest_wins(df, ["k"], [])
+
+
+def test_latest_wins_sorts_no_text(spark):
+    df = spark.createDataFrame([("a", 1, "long text")], "k string, o int, v string")
+    plan = st.latest_wins(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate" in line and "v#" in line for line in plan.splitlines())
+
+
+def test_publish_after_reading_the_same_store(spark, tmp_path):
+    path, new = str(tmp_path / "store"), spark.createDataFrame([("b", "2", 5), (None, "x", 9)], "k_number string, v string, at int")
+    st.publish(spark.createDataFrame([("a", "1"), ("b", "1")], "k_number string, v string"), path)
+    for _ in range(2):
+        st.publish(st.upsert(st.published(spark, path), new, ["k_number"], ["at"]), path)
+    assert rows(st.published(spark, path)) == [("a", "1"), ("b", "2")] and rows(st.published(spark, path, 1))[1] == ("b", "1")
+    (tmp_path / "store" / "version=9").mkdir()
+    assert rows(st.published(spark, path)) == [("a", "1"), ("b", "2")]
 
 
 def test_upsert_is_idempotent_and_overwrites_all_columns(spark):
     old = spark.createDataFrame([("a", "1", "keep"), ("b", "1", "gone")], "k_number string, v string, w string")
     new = spark.createDataFrame([("b", None, "2"), ("c", "3", None)], "k_number string, w string, v string")
-    once = st.upsert(old, new, ["k_number"])
-    assert rows(once) == rows(st.upsert(once, new, ["k_number"]))
+    once = st.upsert(old, new, ["k_number"], ["v"])
+    assert rows(once) == rows(st.upsert(once, new, ["k_number"], ["v"]))
     assert sorted((r["k_number"], r["v"], r["w"]) for r in once.collect()) == sorted([("a", "1", "keep"), ("b", "2", None), ("c", None, "3")], key=str)
 
 

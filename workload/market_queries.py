@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from marketlens.operators import documents as docs
 from marketlens.operators import market as mk
 from marketlens.operators import matching as m
-from marketlens.session import shared_dir
+from marketlens.session import scratch_dir
 from marketlens.sources.export import export_tables
 from workload import views as v
 from workload.registry import query
@@ -201,7 +200,7 @@ def _sides(spark, sf):
        ("v_sub_devices",))
 def g1(spark, sf):
     a, b = _sides(spark, sf)
-    return m.merge_results(a, b, ["k_number"])
+    return m.merge_results(a, b, ["k_number"], ["applicant"])
 
 
 @query("g1_merged_total", f"""
@@ -210,7 +209,7 @@ def g1(spark, sf):
 def g1_total(spark, sf):
     a, b = _sides(spark, sf)
     n = F.count("*").alias("n")
-    merged = m.merge_results(a, b, ["k_number"]).agg(n)
+    merged = m.merge_results(a, b, ["k_number"], ["applicant"]).agg(n)
     total = m.merged_total(a.agg(n).scalar(), b.agg(n).scalar(), F.col("n"))
     return merged.select(total.alias("total"))
 
@@ -262,7 +261,7 @@ def a14(spark, sf):
         "details": mk.record_rows(details),
         "unconfirmed_matches": mk.unconfirmed_matches(v.submission_matches(spark, sf)),
     }
-    path = f"{shared_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "export")
     written = export_tables(tables, path, "parquet", {"summary": "rank"})
     parts = [spark.read.parquet(p).agg(F.count("*").alias("n")).select(F.lit(s).alias("sheet"), "n") for s, p in written.items()]
     out = parts[0]

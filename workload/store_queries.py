@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
@@ -11,7 +9,7 @@ from marketlens.operators import documents as docs
 from marketlens.operators import listing as ls
 from marketlens.operators import market as mk
 from marketlens.operators import store as st
-from marketlens.session import shared_dir
+from marketlens.session import scratch_dir as scratch
 from marketlens.sources import scans as sc
 from marketlens.streaming import refresh as rf
 from workload import views as v
@@ -19,10 +17,6 @@ from workload.registry import query
 from workload.sql import k
 
 
-def scratch(spark) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 # -- scans ------------------------------------------------------------------------------
 
 
@@ -113,15 +107,16 @@ def _stored_devices(spark, sf):
 
 
 def _device_updates(spark, sf):
-    """A row per line item: several copies of a number, the last ship date wins."""
-    li = v.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
+    """A row per line item, in no order: several copies of a number, the last ship date wins."""
+    li = v.table(spark, sf, "lineitem").repartition(7, "l_partkey")
     return li.select(
         v.number(F.col("l_orderkey") + 10).alias("k_number"), F.col("l_linestatus").alias("decision_description"),
         F.col("l_returnflag").alias("panel"), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("at"))
 
 
-_NEW_DEVICES = f"""(SELECT {k('l_orderkey + 10')} AS k_number, arg_max(l_linestatus, (l_shipdate, l_partkey, l_suppkey, l_linenumber)) AS decision_description,
-  'R' AS panel FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
+_LAST = "(l_shipdate, l_partkey, l_suppkey, l_linenumber)"
+_NEW_DEVICES = f"""(SELECT {k('l_orderkey + 10')} AS k_number, arg_max(l_linestatus, {_LAST}) AS decision_description,
+  arg_max(l_returnflag, {_LAST}) AS panel FROM lineitem GROUP BY 1)"""
 
 
 @query("e1_latest_wins", f"SELECT * FROM {_NEW_DEVICES}")
@@ -133,8 +128,12 @@ def e1(spark, sf):
   SELECT * FROM {_NEW_DEVICES} n UNION ALL SELECT {k('o_orderkey')}, o_orderstatus, o_orderpriority FROM orders
   WHERE {k('o_orderkey')} NOT IN (SELECT k_number FROM {_NEW_DEVICES} n)""")
 def a8(spark, sf):
-    updates = st.latest_wins(_device_updates(spark, sf), ["k_number"], ["at"])
-    return st.upsert_devices(_stored_devices(spark, sf), updates)
+    """Published, upserted and published again, twice: the second run changes nothing."""
+    path = scratch(spark, "devices")
+    st.publish(_stored_devices(spark, sf), path)
+    for _ in range(2):
+        st.publish(st.upsert_devices(st.published(spark, path), _device_updates(spark, sf), ["at"]), path)
+    return st.published(spark, path)
 
 
 @query("a9_upsert_document_text", f"""
@@ -146,7 +145,7 @@ def a9(spark, sf):
         v.number("o_orderkey").alias("k_number"), F.lit("old").alias("text"), F.lit(None).cast("string").alias("fetch_error"))
     mined = docs.with_measurand(v.summary_text(spark, sf)).select(
         "k_number", F.coalesce("measurand_value", F.lit("none")).alias("text"), "fetch_error")
-    return st.upsert_document_text(existing, mined)
+    return st.upsert_document_text(existing, mined, ["text", "fetch_error"])
 
 
 _OLD_EDGES = f"(SELECT {k('l_orderkey')} AS device_k, {k('l_partkey')} AS predicate_k, max(l_returnflag) AS predicate_name FROM lineitem GROUP BY 1, 2)"
@@ -163,7 +162,7 @@ def a10(spark, sf):
         return li.groupBy(v.number("l_orderkey").alias("device_k"), v.number(cited).alias("predicate_k")).agg(F.max(name).alias("predicate_name"))
 
     fresh = li.select(v.number("l_orderkey").alias("device_k"), v.number("l_suppkey").alias("predicate_k"), F.col("l_linestatus").alias("predicate_name"))
-    return st.upsert_citations(edges("l_partkey", "l_returnflag"), fresh)
+    return st.upsert_citations(edges("l_partkey", "l_returnflag"), fresh, ["predicate_name"])
 
 
 @query("a11_replace_matches", """
@@ -187,7 +186,7 @@ def a12(spark, sf):
 
     fresh = terminology_answers(v.terminology_replies(spark, sf)).select(
         "term_key", "full", F.lit(None).cast("string").alias("search"), F.lit("umls").alias("source"))
-    return st.upsert_expansions(v.expansion_cache(spark, sf), fresh).select("term_key", "full", "source")
+    return st.upsert_expansions(v.expansion_cache(spark, sf), fresh, ["full"]).select("term_key", "full", "source")
 
 
 @query("a13_mark_searched", """
@@ -309,5 +308,21 @@ def i1_documents(spark, sf):
     base = scratch(spark)
     v.summary_text(spark, sf).drop("l_orderkey").repartition(3).write.parquet(f"{base}/landed")
     stream = spark.readStream.schema(sc.DOCUMENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed")
-    rf.refresh_corpus(stream, f"{base}/text", f"{base}/edges", f"{base}/progress").awaitTermination()
+    rf.refresh_corpus(rf.with_arrival(stream), f"{base}/text", f"{base}/edges", f"{base}/progress").awaitTermination()
     return rf.read_store(spark, f"{base}/edges", ["device_k", "predicate_k"])
+
+
+@query("i1_after_compaction", """
+  SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1""")
+def i1_after_compaction(spark, sf):
+    """Half of the events folded and compacted; a new stream, with a checkpoint of its own, goes
+    on in the compacted store with the other half."""
+    base, order = scratch(spark), ["ts", "event_id"]
+    events = v.table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    for half in (0, 1):
+        events.filter(F.pmod("event_id", F.lit(2)) == half).write.parquet(f"{base}/landed{half}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/landed{half}")
+        rf.refresh_store(stream, f"{base}/store{half}", f"{base}/progress{half}", ["user_id"], order).awaitTermination()
+        if not half:
+            rf.compact(spark, f"{base}/store0", f"{base}/store1", ["user_id"], order)
+    return rf.read_store(spark, f"{base}/store1", ["user_id"], order).select("user_id", "ts", "event_type")
