@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.functions.listing_html import LISTING_FIELDS, read_pages
+from marketlens.operators.market import cap_per_term
 from marketlens.operators.skew import salted_join
-from marketlens.session import fits_broadcast
+from marketlens.session import fits_broadcast, stored
 
 LISTING_SITE = "https://www.wadsworth.org"
 
@@ -56,10 +57,11 @@ def search_listing(terms: DataFrame, rows: DataFrame, analyte: str = "analyte")
     """
     plain = tx.antigen_of(tx.greek_to_latin(tx.strip_ws(F.col("term"))))
     wanted = terms.select("term", F.array_distinct(tx.words_of(tx.padded(plain))).alias("_wanted"))
-    wanted = wanted.select("*", F.explode("_wanted").alias("word"))
+    wanted = stored(wanted.select("*", F.explode_outer("_wanted").alias("word")).filter("word IS NOT NULL"), "wanted")
     listed = rows.withColumn("_words", F.array_distinct(tx.words_of(tx.padded(F.col(analyte)))))
     # A row holding several words of a term counts once: through the first of them.
-    words = listed.select("*", F.explode("_words").alias("word"))
+    # The outer form keeps the optimiser from adding a size test that tokenises a second time.
+    words = listed.select("*", F.explode_outer("_words").alias("word"))
     if fits_broadcast(wanted):
         pairs = words.join(F.broadcast(wanted), "word")
     else:
@@ -70,6 +72,11 @@ def search_listing(terms: DataFrame, rows: DataFrame, analyte: str = "analyte")
     )
 
 
+def listing_report(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """Per term the first ``k`` of its listing rows and the number of all of them."""
+    return cap_per_term(hits, ["term"], order, k)
+
+
 def zero_clearance_crosscheck(summary: DataFrame, rows: DataFrame, analyte: str = "analyte") -> DataFrame:
     """Terms nothing was cleared for, with their listed laboratory tests.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.session import cut_lineage
+from marketlens.plans.tiers import TIERS
+from marketlens.session import stored
 
 # The clearing decision, the crowded-market bound, the listing caps.
 CLEARED_DECISION = "Substantially Equivalent"
@@ -15,8 +17,16 @@ CROWDED_FROM = 10
 MAX_RECORDS = 300
 MAX_LISTING_ROWS = 50
 PAGE_SIZE = 100
+# The review panels in scope.
 PANELS_IN_SCOPE = ["IM", "CH", "HE", "MI", "PA", "TX"]
 
+# Records to a row of a nested result; all records are in some row.
+CHUNK_RECORDS = 1000
+
+# Labels of matches, best first.
+LABELS = [*TIERS, "ai-suggested", "umls", "gudid", "predicate", "other"]
+
+# Fixed value: where a record's page is.
 DETAIL_URL = "https://www.accessdata.fda.gov/scripts/cdrh/cfdocs/cfPMN/pmn.cfm?ID="
 
 
@@ -104,22 +114,31 @@ def subtract_confirmed(unconfirmed: DataFrame, confirmed: DataFrame, by: str = "
 # -- totals per term --------------------------------------------------------------------
 
 
+def _best_label(mode: str) -> tuple[Column, Column]:
+    """Rank of a label as an integer, for a minimum on hash tables, and the label of a rank.
+
+    Labels the engine does not know count last, as ``other``."""
+    labels = F.array(*[F.lit(x) for x in LABELS])
+    place = F.array_position(labels, F.col(mode)).cast("int")
+    rank = F.when(F.col(mode).isNotNull(), F.when(place > 0, place).otherwise(len(LABELS)))
+    return F.min(rank), F.get(labels, F.col("_label") - 1)
+
+
 def summarise(terms: DataFrame, facts: DataFrame, by: str = "term") -> DataFrame:
     """One row per term: submissions, cleared, crowded, applicants, latest approval.
 
-    ``facts`` hold a device once per term. The distinct count first groups by
-    (term, applicant), so a term with very many records is spread before it is totalled.
-    Where the facts carry the term's ``match_mode``, the row does too (``exact`` if none).
+    ``facts`` hold a device once per term. Where they carry a ``match_mode``, the row has the
+    best of the term's labels (``exact`` if it has no facts), however many labels there are.
     """
     cleared = is_cleared(F.col("decision_description"))
-    # A term has one label, so grouping by it changes nothing and keeps the aggregate on
-    # hash tables, which a maximum over text would not.
-    label = ["match_mode"] if "match_mode" in facts.columns else []
-    totals = facts.groupBy(by, *label).agg(
+    labelled = "match_mode" in facts.columns
+    rank, label = _best_label("match_mode") if labelled else (None, None)
+    totals = facts.groupBy(by).agg(
         F.count("k_number").alias("total_submissions"),
         F.count_if(cleared).alias("cleared_count"),
         F.count_distinct("applicant").alias("unique_applicants"),
         F.max(F.when(cleared, F.col("decision_date"))).alias("latest_approval"),
+        *([rank.alias("_label")] if labelled else []),
     )
     zero = F.lit(0).cast("long")
     counts = ["total_submissions", "cleared_count", "unique_applicants"]
@@ -129,7 +148,7 @@ def summarise(terms: DataFrame, facts: DataFrame, by: str = "term") -> DataFrame
             *terms.columns,
             *[F.coalesce(c, zero).alias(c) for c in counts],
             "latest_approval",
-            *[F.coalesce(c, F.lit("exact")).alias(c) for c in label],
+            *([F.coalesce(label, F.lit("exact")).alias("match_mode")] if labelled else []),
         )
         .withColumn("crowded", F.col("cleared_count") >= CROWDED_FROM)
     )
@@ -221,17 +240,16 @@ def sort_most_recent(summary: DataFrame) -> DataFrame:
     return summary.orderBy(*most_recent())
 
 
-def rank_terms(summary: DataFrame, order: list[Column]) -> DataFrame:
-    """Add ``rank`` in the given order without bringing all terms into one task.
+def rank_rows(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Add ``rank``, from 1, in the given order without bringing all rows into one task.
 
-    The range-partitioned sort is frozen by a checkpoint; a row's rank is the number of
-    rows in earlier partitions plus its place in its own.
+    The range-partitioned sort is written once; a row's rank is the number of rows in earlier
+    partitions plus its place in its own.
     """
-    place = F.monotonically_increasing_id()
-    ordered = cut_lineage(summary.orderBy(*order).withColumn("_at", place))
+    ordered = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
     sizes = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    # One row per partition of the sort, never per term.
+    # One row per partition of the sort, never per row of the table.
     before = sizes.select(
         "_p",
         F.coalesce(
@@ -246,14 +264,20 @@ def rank_terms(summary: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int = MAX_RECORDS) -> DataFrame:
+def rank_terms(summary: DataFrame, order: list[Column]) -> DataFrame:
+    """The summary with each term's ``rank`` in the given order."""
+    return rank_rows(summary, order)
+
+
+def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """At most ``n`` listed records per group, with the true ``total`` beside them.
 
-    Each limit is on a rank alone, which Spark also applies per task before the shuffle.
-    A first round keeps the best ``n`` of every 64th of the tasks, so that the one task
-    that settles a hot group gets few rows however many tasks fed it. The total is a
-    separate partial aggregate and covers all records.
+    The facts, which should be narrow, are written once and read for the list and the total.
+    Each limit is on a rank alone, which Spark also applies per task before the shuffle. A first
+    round keeps the best ``n`` of every 64th of the tasks, so that the one task that settles a
+    hot group gets few rows however many tasks fed it. The total covers all records.
     """
+    df = stored(df, "facts")
     totals = df.groupBy(*by).agg(F.count("*").alias("total"))
 
     def best(rows: DataFrame, within: list[str]) -> DataFrame:
@@ -265,26 +289,31 @@ def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int = MAX_RE
     return listed.join(totals, by)
 
 
-def top_k_with_total(df: DataFrame, order: list[Column | str], k: int = MAX_LISTING_ROWS) -> DataFrame:
+def top_k_with_total(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     """The first ``k`` rows, each with the number of all rows."""
     total = df.agg(F.count("*").alias("total")).scalar()
     return df.orderBy(*order).limit(k).withColumn("total", total)
 
 
-def page(df: DataFrame, order: list[str], skip: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
-    return df.orderBy(*order).offset(skip).limit(limit)
+def page(df: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
+    """Rows ``skip + 1`` to ``skip + limit`` of the order, found by rank: no task holds the rows
+    before them."""
+    ranked = rank_rows(df, order)
+    return ranked.filter((F.col("rank") > skip) & (F.col("rank") <= skip + limit)).orderBy("rank").drop("rank")
 
 
 # -- one document per term --------------------------------------------------------------
 
 
-def nested_result(terms: DataFrame, matches: DataFrame, devices: DataFrame,
-                  cap: int = MAX_RECORDS) -> DataFrame:
-    """One document per term: records, inferred matches and registry matches.
+def nested_result(terms: DataFrame, matches: DataFrame, devices: DataFrame, chunk: int = CHUNK_RECORDS) -> DataFrame:
+    """All records, inferred matches and registry matches of every term, in chunks.
 
-    ``matches(term, k_number, match_mode, confidence, via_k_number)``. Each list holds at
-    most ``cap`` records by number, which is the listing rule of a search; ``total``
-    counts all confirmed records.
+    ``matches(term, k_number, match_mode, confidence, via_k_number)`` give ``terms' columns,
+    kind, chunk_no, total, match_mode, entries``: the entries of a term and kind by number,
+    ``chunk`` to a row and all of them in some row, beside their ``total``. ``match_mode`` is the
+    best label of the term's confirmed records, ``exact`` if it has none. An entry holds
+    ``k_number, via_k_number, reason`` and the device's columns. A term without matches has one
+    row of kind ``records`` without entries. Chunks go by rank, so that no task holds a term.
     """
     kind = (
         F.when(F.col("confidence") == "confirmed", "records")
@@ -294,37 +323,74 @@ def nested_result(terms: DataFrame, matches: DataFrame, devices: DataFrame,
     known = matches.withColumn("kind", kind).filter(F.col("kind").isNotNull()).join(
         devices.select("k_number"), "k_number", "left_semi"
     )
+    facts = rank_rows(known.select("term", "kind", "k_number", "via_k_number", "match_mode"), ["term", "kind", "k_number"])
+    rank, label = _best_label("match_mode")
+    groups = facts.groupBy("term", "kind").agg(F.min("rank").alias("_first"), F.count("*").alias("total"))
+    best = facts.filter("kind = 'records'").groupBy("term").agg(rank.alias("_label")).select("term", label.alias("_best"))
+    placed = facts.join(groups, ["term", "kind"]).withColumn("chunk_no", F.floor((F.col("rank") - F.col("_first")) / chunk))
     device_cols = [c for c in devices.columns if c != "k_number"]
-    # Only the listed records meet the wide device rows.
-    listed = attach_devices(cap_per_term(known, ["term", "kind"], ["k_number"], cap), devices)
-    entry = F.struct("k_number", "via_k_number", "match_mode", *device_cols)
-    lists = listed.groupBy("term").pivot("kind", ["records", "inferred", "registry"]).agg(
-        F.sort_array(F.collect_list(entry)).alias("list"), F.max("total").alias("n")
+    entry = F.struct("k_number", "via_k_number", F.when(F.col("kind") == "inferred", "predicate").alias("reason"), *device_cols)
+    chunks = attach_devices(placed, devices).groupBy("term", "kind", "chunk_no").agg(
+        F.first("total").alias("total"), F.sort_array(F.collect_list(entry)).alias("entries")
     )
-    empty = F.array()
-    def named(c: str) -> Column:
-        return F.transform(
-            c, lambda e: F.struct(e["k_number"].alias("k_number"), *[e[d].alias(d) for d in device_cols])
+    found = terms.join(chunks, "term").join(best, "term", "left")
+    bare = terms.join(groups.select("term").distinct(), "term", "left_anti")
+    zero = F.lit(0).cast("long")
+    empty = F.array().cast(chunks.schema["entries"].dataType)
+    return found.select(
+        *terms.columns, "kind", "chunk_no", "total", F.coalesce("_best", F.lit("exact")).alias("match_mode"), "entries"
+    ).unionByName(bare.select(
+        *terms.columns, F.lit("records").alias("kind"), zero.alias("chunk_no"), zero.alias("total"),
+        F.lit("exact").alias("match_mode"), empty.alias("entries"),
+    ))
+
+
+# -- all filters together ---------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Filters:
+    """The filters of a results page. Unset ones let everything pass."""
+
+    panels: tuple[str, ...] = ()
+    from_month: str | None = None
+    to_month: str | None = None
+    applicant: str | None = None
+    show_only: tuple[str, ...] = ()
+    exclude_panels: tuple[str, ...] = ()
+    match_mode: str | None = None
+
+    def apply(self, details: DataFrame) -> DataFrame:
+        """Detail rows that pass all filters; summary and totals are worked out from these."""
+        if self.panels:
+            details = filter_panel_in(details, list(self.panels))
+        details = filter_date_window(details, self.from_month, self.to_month)
+        if self.applicant is not None:
+            details = filter_applicant(details, self.applicant)
+        details = filter_exclude_panels(filter_show_only(details, list(self.show_only)), list(self.exclude_panels))
+        return details if self.match_mode is None else filter_mode(details, self.match_mode)
+
+    def settings(self, spark: SparkSession) -> DataFrame:
+        """One row ``(setting, value)`` per filter; what is unset is "All"."""
+        rows = [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return spark.createDataFrame(
+            [(n, "; ".join(x) if isinstance(x, tuple) and x else x if isinstance(x, str) else "All") for n, x in rows],
+            "setting string, value string",
         )
 
-    device_type = "array<struct<k_number:string," + ",".join(
-        f"{c}:{devices.schema[c].dataType.simpleString()}" for c in device_cols
-    ) + ">>"
-    inferred = F.transform(
-        "inferred_list",
-        lambda e: F.struct(
-            F.struct(e["k_number"].alias("k_number"), *[e[d].alias(d) for d in device_cols]).alias("device"),
-            e["via_k_number"].alias("via_k_number"),
-            F.lit("predicate").alias("reason"),
-        ),
-    )
-    return terms.join(lists, "term", "left").select(
-        *terms.columns,
-        F.coalesce("records_n", F.lit(0).cast("long")).alias("total"),
-        F.coalesce(F.get("records_list", F.lit(0))["match_mode"], F.lit("exact")).alias("match_mode"),
-        F.coalesce(named("records_list"), empty.cast(device_type)).alias("records"),
-        F.coalesce(inferred, F.array().cast(
-            f"array<struct<device:{device_type[6:-1]},via_k_number:string,reason:string>>"
-        )).alias("inferred_matches"),
-        F.coalesce(named("registry_list"), empty.cast(device_type)).alias("registry_matches"),
-    )
+
+def report(terms: DataFrame, details: DataFrame, unconfirmed: DataFrame, filters: Filters, order: list[Column]) -> dict[str, DataFrame]:
+    """The tables of an export, all under the same filters.
+
+    ``details`` are confirmed facts with device columns, ``unconfirmed`` inferred ones.
+    """
+    shown = filters.apply(details)
+    # The match mode filter is about confirmed matches; inferred ones have modes of their own.
+    inferred = replace(filters, match_mode=None).apply(unconfirmed)
+    return {
+        "search_info": filters.settings(terms.sparkSession),
+        "summary": rank_terms(summarise(terms, shown), order),
+        "biomarker_applicants": biomarker_applicants(terms, shown),
+        "details": record_rows(shown),
+        "unconfirmed_matches": unconfirmed_matches(inferred),
+    }

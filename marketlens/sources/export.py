@@ -9,6 +9,17 @@ SHEETS = ["search_info", "summary", "biomarker_applicants", "details", "unconfir
 LISTING_SHEETS = ["lab_test_summary", "lab_test_details"]
 
 
+def listing_tables(terms: DataFrame, hits: DataFrame) -> dict[str, DataFrame]:
+    """The two tables of a listing search: tests and laboratories per term, and all rows.
+
+    ``hits(term, facilityName, ...)``; a term without any keeps a row of zeros."""
+    counts = hits.groupBy("term").agg(F.count("*").alias("tests"), F.count_distinct("facilityName").alias("facilities"))
+    zero = F.lit(0).cast("long")
+    summary = terms.select("term").join(counts, "term", "left").select(
+        "term", F.coalesce("tests", zero).alias("tests"), F.coalesce("facilities", zero).alias("facilities"))
+    return dict(zip(LISTING_SHEETS, (summary, hits)))
+
+
 def _flat(df: DataFrame, fmt: str) -> DataFrame:
     """CSV has no arrays: lists of names become one text."""
     if fmt != "csv":

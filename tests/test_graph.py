@@ -45,7 +45,7 @@ def test_random_graphs(spark, monkeypatch, split):
     from marketlens.operators import skew
 
     if split:  # a large frontier, with every cited device counted as hot
-        monkeypatch.setattr(gr, "BROADCAST_LIMIT_BYTES", 0)
+        monkeypatch.setattr(gr, "fits_broadcast", lambda df: False)
         monkeypatch.setattr(skew.salted_join, "__defaults__", (3,))
     rnd = random.Random(3)
     nodes = [f"k{i:03d}" for i in range(80)]
@@ -59,6 +59,6 @@ def test_salted_join_equals_join(spark):
 
     large = spark.createDataFrame([("hot" if i % 3 else f"c{i}", i) for i in range(300)], "k string, v int")
     other = spark.createDataFrame([("hot", 1), ("hot", 2), ("c0", 3), ("c3", 4), ("zz", 5)], "k string, w int")
-    got = sorted(tuple(r) for r in salted_join(large, other, ["k"], ["v"], hot_rows=50).select("k", "v", "w").collect())
+    got = sorted(tuple(r) for r in salted_join(large, other, ["k"], ["v"], hot_pairs=50).select("k", "v", "w").collect())
     assert got == sorted(tuple(r) for r in large.join(other, "k").select("k", "v", "w").collect())
-    assert salted_join(large, other, ["k"], ["v"], hot_rows=50).columns == ["k", "v", "w"]
+    assert salted_join(large, other, ["k"], ["v"], hot_pairs=50).columns == ["k", "v", "w"]

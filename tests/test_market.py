@@ -57,21 +57,45 @@ def test_cap_keeps_the_true_total(spark):
 def test_pages_and_top_k(spark):
     df = spark.range(120).select(F.col("id").alias("k"))
     assert [r["k"] for r in mk.page(df, ["k"], 100, 100).collect()] == list(range(100, 120))
-    top = mk.top_k_with_total(df, ["k"]).collect()
+    top = mk.top_k_with_total(df, ["k"], 50).collect()
     assert len(top) == 50 and {r["total"] for r in top} == {120}
 
 
 def test_nested_result(spark, devices):
     matches = spark.createDataFrame(
-        [("RF", "K900003", "exact", "confirmed", None), ("RF", "K900001", "predicate", "inferred", "K900003"), ("RF", "K900002", "gudid", "inferred", None)],
+        [("RF", "K900003", "wordform", "confirmed", None), ("RF", "K900002", "broad", "confirmed", None), ("RF", "DEN140001", "broad", "confirmed", None),
+         ("RF", "K900001", "predicate", "inferred", "K900003"), ("RF", "K041628", "gudid", "inferred", None)],
         "term string, k_number string, match_mode string, confidence string, via_k_number string")
     wanted = spark.createDataFrame([("RF",), ("none",)], "term string")
-    got = {r["term"]: r for r in mk.nested_result(wanted, matches, devices.select("k_number", "applicant")).collect()}
-    rf = got["RF"]
-    assert (rf["total"], rf["match_mode"], rf["records"][0]["k_number"]) == (1, "exact", "K900003")
-    assert (rf["inferred_matches"][0]["device"]["applicant"], rf["inferred_matches"][0]["via_k_number"]) == ("Acme", "K900003")
-    assert rf["registry_matches"][0]["k_number"] == "K900002"
-    assert (got["none"]["total"], got["none"]["records"], got["none"]["inferred_matches"]) == (0, [], [])
+    rows = mk.nested_result(wanted, matches, devices.select("k_number", "applicant"), chunk=2).collect()
+    got = {(r["term"], r["kind"], r["chunk_no"]): r for r in rows}
+    assert set(got) == {("RF", "records", 0), ("RF", "records", 1), ("RF", "inferred", 0), ("RF", "registry", 0), ("none", "records", 0)}
+    assert [e["k_number"] for n in (0, 1) for e in got["RF", "records", n]["entries"]] == ["DEN140001", "K900002", "K900003"]
+    assert {(r["total"], r["match_mode"]) for r in rows if r["kind"] == "records"} == {(3, "broad"), (0, "exact")}
+    cited = got["RF", "inferred", 0]["entries"][0]
+    assert (cited["applicant"], cited["via_k_number"], cited["reason"]) == ("Acme", "K900003", "predicate")
+    assert got["RF", "registry", 0]["entries"][0]["k_number"] == "K041628" and got["none", "records", 0]["entries"] == []
+
+
+def test_summary_has_one_row_per_term(spark):
+    facts = spark.createDataFrame([("t", "K1", "wordform"), ("t", "K2", "exact"), ("u", "K1", "umls"), ("w", "K1", "strange")], "term string, k_number string, match_mode string").selectExpr(
+        "*", "'a' AS applicant", "'Substantially Equivalent' AS decision_description", "date'2001-01-01' AS decision_date")
+    terms = spark.createDataFrame([("t",), ("u",), ("v",), ("w",)], "term string")
+    got = {r["term"]: (r["total_submissions"], r["match_mode"]) for r in mk.summarise(terms, facts).collect()}
+    assert got == {"t": (2, "exact"), "u": (1, "umls"), "v": (0, "exact"), "w": (1, "other")}
+
+
+def test_filters_apply_together(spark, terms, devices):
+    found = m.match_terms(terms, devices).join(terms, "term_id").select("term", "k_number", "match_mode")
+    details = mk.attach_devices(found, devices)
+    filters = mk.Filters(panels=("IM",), to_month="2011-03", applicant="Acme", exclude_panels=("SU",))
+    shown = filters.apply(details).collect()
+    assert shown and {(r["panel"], r["applicant"]) for r in shown} == {("IM", "Acme")}
+    one = mk.Filters(match_mode=shown[0]["match_mode"]).apply(details).collect()
+    assert one and {r["match_mode"] for r in one} == {shown[0]["match_mode"]}
+    tables = mk.report(terms.select("term"), details, details.limit(0).withColumn("confidence", F.lit("inferred")).withColumn("via_k_number", F.lit("")), filters, mk.fewest_approvals())
+    assert tables["summary"].agg(F.sum("total_submissions")).first()[0] == len(shown)
+    assert {(r["setting"], r["value"]) for r in tables["search_info"].collect()} >= {("panels", "IM"), ("from_month", "All"), ("applicant", "Acme")}
 
 
 def test_export(spark, terms, devices, tmp_path):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from marketlens.functions import text as tx
 from marketlens.operators import documents as docs
+from marketlens.operators import listing as ls
 from marketlens.operators import market as mk
 from marketlens.operators import matching as m
 from marketlens.session import scratch_dir
-from marketlens.sources.export import export_tables
+from marketlens.sources.export import export_tables, listing_tables
 from workload import views as v
 from workload.registry import query
+from workload.sql import CTE
 
 _TERM_K = "SELECT term, k_number FROM v_details"
 
@@ -118,32 +122,34 @@ def d8(spark, sf):
     return mk.unconfirmed_counts(v.submission_terms(spark, sf), v.submission_matches(spark, sf))
 
 
-_NESTED_LIST = """coalesce(string_agg({0}, '|' ORDER BY k_number) FILTER (WHERE kind = '{1}' AND r <= 300), '') AS {1}"""
-
-
 @query("d9_nested_result", f"""
-  WITH_FACTS SELECT t.term, count(*) FILTER (WHERE kind = 'records') AS total, 'exact' AS match_mode,
-    {_NESTED_LIST.format("k_number || ' ' || coalesce(applicant, '')", 'records')},
-    {_NESTED_LIST.format("k_number || ' ' || via_k_number", 'inferred')},
-    {_NESTED_LIST.format("k_number || ' ' || coalesce(panel, '')", 'registry')}
+  SELECT t.term, coalesce(kind, 'records') AS kind, coalesce(chunk_no, 0) AS chunk_no, coalesce(any_value(n), 0) AS total, 'exact' AS match_mode,
+    coalesce(string_agg(k_number || ' ' || coalesce(via_k_number, '') || ' ' || CASE kind WHEN 'inferred' THEN 'predicate' ELSE '' END || ' ' || coalesce(applicant, ''), '|'
+      ORDER BY k_number, via_k_number), '') AS entries
   FROM v_sub_terms t LEFT JOIN (
-    SELECT *, row_number() OVER (PARTITION BY term, kind ORDER BY k_number) AS r FROM (
-      SELECT m.*, d.applicant, d.panel, CASE match_mode WHEN 'exact' THEN 'records' WHEN 'predicate' THEN 'inferred' ELSE 'registry' END AS kind
-      FROM v_matches m JOIN v_sub_devices d USING (k_number))) USING (term) GROUP BY t.term""".replace("WITH_FACTS", ""),
+    SELECT *, (row_number() OVER (PARTITION BY term, kind ORDER BY k_number) - 1) // {mk.CHUNK_RECORDS} AS chunk_no, count(*) OVER (PARTITION BY term, kind) AS n FROM (
+      SELECT m.*, d.applicant, CASE match_mode WHEN 'exact' THEN 'records' WHEN 'predicate' THEN 'inferred' ELSE 'registry' END AS kind
+      FROM v_matches m JOIN v_sub_devices d USING (k_number))) USING (term) GROUP BY t.term, kind, chunk_no""",
        ("v_sub_terms", "v_matches", "v_sub_devices"))
 def d9(spark, sf):
+    """Every record of every term in some chunk."""
     out = mk.nested_result(v.submission_terms(spark, sf), v.submission_matches(spark, sf), v.submission_devices(spark, sf))
     none = F.lit("")
+    line = F.transform("entries", lambda e: F.concat_ws(" ", e["k_number"], *[F.coalesce(e[c], none) for c in ("via_k_number", "reason", "applicant")]))
+    return out.select("term", "kind", "chunk_no", "total", "match_mode", F.array_join(line, "|").alias("entries"))
 
-    def joined(c, fn):
-        return F.array_join(F.transform(c, fn), "|")
 
-    return out.select(
-        "term", "total", "match_mode",
-        joined("records", lambda e: F.concat(e["k_number"], F.lit(" "), F.coalesce(e["applicant"], none))).alias("records"),
-        joined("inferred_matches", lambda e: F.concat(e["device"]["k_number"], F.lit(" "), e["via_k_number"])).alias("inferred"),
-        joined("registry_matches", lambda e: F.concat(e["k_number"], F.lit(" "), F.coalesce(e["panel"], none))).alias("registry"),
-    )
+@query("d1_summary_of_several_labels", """
+  SELECT t.term, count(f.k_number) AS total_submissions, coalesce(['exact', 'broad', 'wordform', 'umls'][min(f.r)], 'exact') AS match_mode
+  FROM v_sub_terms t LEFT JOIN (SELECT term, k_number, 1 + CAST(substr(k_number, 7, 1) AS INT) % 3 + CASE WHEN k_number LIKE '%5' THEN 1 ELSE 0 END AS r FROM v_details) f USING (term)
+  GROUP BY t.term""", ("v_sub_terms", "v_details"))
+def d1_labels(spark, sf):
+    """Facts of one term under several labels: still one row, with the best of them."""
+    last = F.substring("k_number", 7, 1).cast("int")
+    place = last % 3 + F.when(last == 5, 1).otherwise(0)
+    label = F.get(F.array(*[F.lit(x) for x in ("exact", "broad", "wordform", "umls")]), place)
+    details = v.submission_details(spark, sf).withColumn("match_mode", label)
+    return mk.summarise(v.submission_terms(spark, sf), details).select("term", "total_submissions", "match_mode")
 
 
 @query("e3_rank_terms", """
@@ -156,7 +162,7 @@ def e3(spark, sf):
   SELECT term, k_number, total FROM (SELECT term, k_number, count(*) OVER (PARTITION BY term) AS total,
     row_number() OVER (PARTITION BY term ORDER BY k_number) AS r FROM v_details) WHERE r <= 300""", ("v_details",))
 def e4(spark, sf):
-    return mk.cap_per_term(_facts(v.submission_details(spark, sf)), ["term"], ["k_number"])
+    return mk.cap_per_term(_facts(v.submission_details(spark, sf)), ["term"], ["k_number"], mk.MAX_RECORDS)
 
 
 @query("f1_sort_fewest_approvals", """
@@ -176,12 +182,12 @@ def f2(spark, sf):
   SELECT analyte, p_partkey, (SELECT count(*) FROM v_list_rows) AS total FROM v_list_rows ORDER BY analyte, p_partkey LIMIT 50""",
        ("v_list_rows",))
 def f3(spark, sf):
-    return mk.top_k_with_total(v.listing_rows(spark, sf).select("analyte", "p_partkey"), ["analyte", "p_partkey"])
+    return mk.top_k_with_total(v.listing_rows(spark, sf).select("analyte", "p_partkey"), ["analyte", "p_partkey"], mk.MAX_LISTING_ROWS)
 
 
 @query("f4_page", "SELECT k_number, device_name FROM v_sub_devices ORDER BY k_number LIMIT 100 OFFSET 200", ("v_sub_devices",))
 def f4(spark, sf):
-    return mk.page(v.submission_devices(spark, sf).select("k_number", "device_name"), ["k_number"], skip=200)
+    return mk.page(v.submission_devices(spark, sf).select("k_number", "device_name"), ["k_number"], skip=200, limit=mk.PAGE_SIZE)
 
 
 _SIDE_A = "(SELECT k_number, 'a' AS side, applicant FROM v_sub_devices WHERE panel = 'HIGH' OR panel = 'LOW')"
@@ -245,29 +251,53 @@ def c10(spark, sf):
     return docs.measurand_verdict(details, mined).select("p_partkey", "k_number", "verdict")
 
 
+CTE["v_shown"] = (["v_details"], """SELECT * FROM v_details WHERE decision_date BETWEEN DATE '1993-02-01' AND DATE '1997-10-31'
+    AND (panel IS NULL OR panel <> 'LOW') AND (lower(term) LIKE '%ring%' OR lower(applicant) LIKE '%1%')""")
+CTE["v_shown_totals"] = (["v_sub_terms", "v_shown"], """
+    SELECT t.term, count(k_number) AS n, count(*) FILTER (WHERE decision_description LIKE 'Substantially Equivalent%') AS c,
+      count(DISTINCT applicant) AS a, max(decision_date) FILTER (WHERE decision_description LIKE 'Substantially Equivalent%') AS latest,
+      coalesce(array_to_string(list_sort(list_distinct(list(applicant) FILTER (WHERE applicant IS NOT NULL))), ';'), '') AS names
+    FROM v_sub_terms t LEFT JOIN v_shown USING (term) GROUP BY 1""")
+CTE["v_list_hits"] = (["v_list_rows"], """
+    SELECT t.term, r.p_partkey FROM (SELECT DISTINCT p_name AS term FROM part) t JOIN v_list_rows r
+    ON len(list_intersect(string_split(t.term, ' '), string_split(lower(r.analyte), ' '))) > 0""")
+
+
 @query("a14_export_tables", """
-  SELECT 'summary' AS sheet, count(*) AS n FROM v_sub_terms UNION ALL SELECT 'biomarker_applicants', count(*) FROM v_sub_terms
-  UNION ALL SELECT 'details', count(*) FROM v_details UNION ALL SELECT 'search_info', count(*) FROM v_sub_terms
-  UNION ALL SELECT 'unconfirmed_matches', count(*) FROM v_matches WHERE confidence = 'inferred'""",
-       ("v_sub_terms", "v_details", "v_matches"))
+  SELECT 'search_info' AS sheet, unnest(['panels|All', 'from_month|1993-02', 'to_month|1997-10', 'applicant|All', 'show_only|RING; 1', 'exclude_panels|LOW', 'match_mode|All']) AS line
+  UNION ALL SELECT 'summary', concat_ws('|', row_number() OVER (ORDER BY c, term), term, n, c, a, coalesce(CAST(latest AS VARCHAR), '-'), CASE WHEN n > 0 THEN 'exact' ELSE 'exact' END) FROM v_shown_totals
+  UNION ALL SELECT 'biomarker_applicants', concat_ws('|', term, n, a, names) FROM v_shown_totals
+  UNION ALL SELECT 'details', concat_ws('|', term, k_number, device_name, coalesce(applicant, '-'), decision_description, CAST(decision_date AS VARCHAR),
+    'https://www.accessdata.fda.gov/scripts/cdrh/cfdocs/cfPMN/pmn.cfm?ID=' || k_number) FROM v_shown
+  UNION ALL SELECT 'unconfirmed_matches', concat_ws('|', term, k_number, coalesce(via_k_number, '-'), CASE match_mode WHEN 'predicate' THEN 'inferred via predicate' ELSE 'found via device registry' END)
+    FROM v_matches JOIN v_sub_devices d USING (k_number) WHERE confidence = 'inferred' AND decision_date BETWEEN DATE '1993-02-01' AND DATE '1997-10-31'
+    AND (panel IS NULL OR panel <> 'LOW') AND (lower(term) LIKE '%ring%' OR lower(applicant) LIKE '%1%')
+  UNION ALL SELECT 'lab_test_summary', concat_ws('|', term, count(h.p_partkey)) FROM (SELECT DISTINCT p_name AS term FROM part) t LEFT JOIN v_list_hits h USING (term) GROUP BY term
+  UNION ALL SELECT 'lab_test_details', concat_ws('|', term, p_partkey) FROM v_list_hits""", ("v_shown", "v_shown_totals", "v_matches", "v_sub_devices", "v_list_hits"))
 def a14(spark, sf):
-    """All five tables written for one search and counted as read back."""
+    """All seven tables of one filtered search, written and read back line by line."""
     terms, details = v.submission_terms(spark, sf), v.submission_details(spark, sf)
-    summary = mk.rank_terms(mk.summarise(terms, details), mk.fewest_approvals())
-    tables = {
-        "search_info": terms.withColumn("sort", F.lit("fewest approvals")),
-        "summary": summary,
-        "biomarker_applicants": mk.biomarker_applicants(terms, details),
-        "details": mk.record_rows(details),
-        "unconfirmed_matches": mk.unconfirmed_matches(v.submission_matches(spark, sf)),
+    unconfirmed = mk.attach_devices(v.submission_matches(spark, sf).filter("confidence = 'inferred'"), v.submission_devices(spark, sf))
+    filters = mk.Filters(from_month="1993-02", to_month="1997-10", show_only=("RING", "1"), exclude_panels=("LOW",))
+    names = v.table(spark, sf, "part").select(F.concat(F.lit("Anti-"), F.col("p_name"), F.lit(" IgG")).alias("term")).distinct()
+    hits = ls.search_listing(names, v.listing_rows(spark, sf).withColumn("facilityName", F.col("status")))
+    tables = mk.report(terms, details, unconfirmed, filters, mk.fewest_approvals()) | listing_tables(names, hits)
+    written = export_tables(tables, scratch_dir(spark, "export"), "parquet", {"summary": "rank"})
+    plain = tx.antigen_of(F.col("term")).alias("term")
+    shown = {
+        "search_info": ["setting", "value"],
+        "summary": ["rank", "term", "total_submissions", "cleared_count", "unique_applicants", "latest_approval", "match_mode"],
+        "biomarker_applicants": ["term", "total_submissions", "unique_applicants", F.array_join("applicants", ";")],
+        "details": ["term", "k_number", "device_name", "applicant", "decision_description", "decision_date", "record_url"],
+        "unconfirmed_matches": ["term", "k_number", "via_k_number", "match_type"],
+        "lab_test_summary": [plain, "tests"],
+        "lab_test_details": [plain, "p_partkey"],
     }
-    path = scratch_dir(spark, "export")
-    written = export_tables(tables, path, "parquet", {"summary": "rank"})
-    parts = [spark.read.parquet(p).agg(F.count("*").alias("n")).select(F.lit(s).alias("sheet"), "n") for s, p in written.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = []
+    for sheet, path in written.items():
+        texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")) for c in shown[sheet]]
+        parts.append(spark.read.parquet(path).select(F.lit(sheet).alias("sheet"), F.concat_ws("|", *texts).alias("line")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("market_table", """

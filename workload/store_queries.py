@@ -287,6 +287,18 @@ def c9_search(spark, sf):
     return found.select(tx.antigen_of(F.col("term")).alias("term"), "p_partkey")
 
 
+@query("c9_listing_report", """
+  SELECT term, p_partkey, total FROM (SELECT t.term, r.p_partkey, count(*) OVER (PARTITION BY t.term) AS total,
+      row_number() OVER (PARTITION BY t.term ORDER BY r.p_partkey) AS place
+    FROM (SELECT DISTINCT p_name AS term FROM part) t JOIN v_list_rows r
+      ON len(list_intersect(string_split(t.term, ' '), string_split(lower(r.analyte), ' '))) > 0) WHERE place <= 50""", ("v_list_rows",))
+def c9_report(spark, sf):
+    """Per term the first fifty listing rows and the number of all."""
+    names = v.table(spark, sf, "part").select(F.concat(F.lit("Anti-"), F.col("p_name"), F.lit(" IgG")).alias("term")).distinct()
+    hits = ls.search_listing(names, v.listing_rows(spark, sf)).select(tx.antigen_of(F.col("term")).alias("term"), "p_partkey")
+    return ls.listing_report(hits, mk.MAX_LISTING_ROWS, ["p_partkey"])
+
+
 # -- incremental refresh ----------------------------------------------------------------
 
 
