@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,6 +29,21 @@ FIELD_CLASSES = {
 
 LISTING_FIELDS = [*FIELD_CLASSES, "detailLink"]
 
+
+@dataclass(frozen=True)
+class Selectors:
+    """Which elements of a page hold its rows, their fields, their link and the header, each a
+    class or a tag, fields and links as a path inside the row."""
+
+    row: str = ROW_CLASS
+    fields: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(FIELD_CLASSES))
+    link: tuple[str, ...] = LINK_PATH
+    header: tuple[str, ...] = HEADER_PATH
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.fields, "detailLink"]
+
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input",
     "link", "meta", "param", "source", "track", "wbr",
@@ -38,9 +54,9 @@ _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGN
 class ListingReader(HTMLParser):
     """Collects the rows of one page and its header text; entities stay as written."""
 
-    def __init__(self, fields=None):
+    def __init__(self, selectors: Selectors):
         super().__init__(convert_charrefs=False)
-        self.fields = FIELD_CLASSES if fields is None else fields
+        self.at = selectors
         self.rows: list[dict] = []
         self.header = ""
         self._open: list[tuple[str, frozenset]] = []
@@ -59,9 +75,9 @@ class ListingReader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         classes = frozenset((dict(attrs).get("class") or "").split())
         self._open.append((tag, classes))
-        if ROW_CLASS in classes:
-            self.rows.append({**dict.fromkeys(self.fields, ""), "detailLink": ""})
-        if tag == "a" and self.rows and self._inside((ROW_CLASS, *LINK_PATH)):
+        if self.at.row in classes or self.at.row == tag:
+            self.rows.append(dict.fromkeys(self.at.columns, ""))
+        if tag == self.at.link[-1] and self.rows and self._inside((self.at.row, *self.at.link)):
             href = _HREF.search(self.get_starttag_text() or "")
             self.rows[-1]["detailLink"] = next((g for g in href.groups() if g is not None), "") if href else ""
         if tag in _VOID:
@@ -81,12 +97,12 @@ class ListingReader(HTMLParser):
     def handle_data(self, data):
         if not self._open:
             return
-        if self._inside(HEADER_PATH):
+        if self._inside(self.at.header):
             self.header += data
         if self.rows:
-            for field, path in self.fields.items():
-                if self._inside((ROW_CLASS, *path)):
-                    self.rows[-1][field] += data
+            for name, path in self.at.fields.items():
+                if self._inside((self.at.row, *path)):
+                    self.rows[-1][name] += data
 
     def handle_entityref(self, name):
         self.handle_data(f"&{name};")
@@ -95,22 +111,22 @@ class ListingReader(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
-def read_listing(html: str | None) -> tuple[str, list[dict]]:
-    reader = ListingReader()
+def read_listing(html: str | None, selectors: Selectors = Selectors()) -> tuple[str, list[dict]]:
+    reader = ListingReader(selectors)
     reader.feed(html or "")
     reader.close()
     return reader.header, reader.rows
 
 
-def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_pages(batches: Iterator[pd.DataFrame], selectors: Selectors) -> Iterator[pd.DataFrame]:
     """Batches of ``url, html`` into batches of raw rows."""
     for batch in batches:
         out = []
         for url, html in zip(batch["url"], batch["html"]):
-            header, rows = read_listing(html)
+            header, rows = read_listing(html, selectors)
             place = {"url": url, "header": header, "rows_on_page": len(rows)}
             out.extend({**place, "row_no": i, **row} for i, row in enumerate(rows))
-        yield pd.DataFrame(out, columns=["url", "header", "row_no", "rows_on_page", *LISTING_FIELDS])
+        yield pd.DataFrame(out, columns=["url", "header", "row_no", "rows_on_page", *selectors.columns])
 
 
 # Workers need not have this package installed.

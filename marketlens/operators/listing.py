@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
-from marketlens.functions.listing_html import LISTING_FIELDS, read_pages
+from marketlens.functions.listing_html import Selectors, read_pages
 from marketlens.operators.market import cap_per_term
 from marketlens.operators.skew import salted_join
 from marketlens.session import fits_broadcast, stored
@@ -25,18 +25,19 @@ def parse_total(header: Column, fallback: Column) -> Column:
     return F.coalesce(F.when(digits != "", digits.try_cast("bigint")), fallback.cast("bigint"))
 
 
-def extract_listing_rows(pages: DataFrame) -> DataFrame:
-    """One cleaned row per listing entry of ``pages(url, html)``.
+def extract_listing_rows(pages: DataFrame, selectors: Selectors = Selectors()) -> DataFrame:
+    """One cleaned row per listing entry of ``pages(url, html)``, by default of a listing as the
+    site lays it out.
 
     Pages without the row marker never leave the JVM. Elements nest, so the rest goes
     through an HTML reader in Arrow batches, page by page.
     """
     schema = "url string, header string, row_no int, rows_on_page int, " + ", ".join(
-        f"{f} string" for f in LISTING_FIELDS
+        f"{f} string" for f in selectors.columns
     )
-    listed = pages.select("url", "html").filter(F.contains("html", F.lit("views-row")))
-    rows = listed.mapInPandas(read_pages, schema)
-    cleaned = [tx.flatten_ws(F.col(f)).alias(f) for f in LISTING_FIELDS if f != "detailLink"]
+    listed = pages.select("url", "html").filter(F.contains("html", F.lit(selectors.row)))
+    rows = listed.mapInPandas(lambda batches: read_pages(batches, selectors), schema)
+    cleaned = [tx.flatten_ws(F.col(f)).alias(f) for f in selectors.fields]
     link = absolutise_url(tx.flatten_ws(F.col("detailLink"))).alias("detailLink")
     return rows.select(
         "url", "row_no", *cleaned, link, parse_total(F.col("header"), F.col("rows_on_page")).alias("total")

@@ -68,10 +68,11 @@ def _w(i: int) -> str:
 
 
 _cte("v_words", r"""
-  SELECT item_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda z: z <> '') AS w
-  FROM benchmark""")
+  SELECT item_id, win, w[9 * win + 1 : 9 * win + 9] AS w FROM (
+    SELECT item_id, w, unnest(range(greatest(1, (len(w) + 8) // 9))) AS win FROM (
+      SELECT item_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda z: z <> '') AS w FROM benchmark))""")
 _cte("v_terms", f"""
-  SELECT item_id * 8 + f AS term_id,
+  SELECT (item_id * 1048576 + win) * 8 + f AS term_id,
     CASE f WHEN 0 THEN {_w(1)} || ' ' || {_w(2)} || ' ' || {_w(3)} WHEN 1 THEN 'anti ' || {_w(2)}
       WHEN 2 THEN 'Anti-' || {_w(3)} WHEN 3 THEN {_w(4)} || ' IgG'
       WHEN 4 THEN lower(substr({_w(5)},1,2)) || {cap(_w(6))} WHEN 5 THEN 'src' || item_id
@@ -168,7 +169,7 @@ _cte("v_lines", """
   SELECT DISTINCT l_orderkey, p_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey""")
 _cte("v_first", "SELECT l_orderkey, arg_min(p_name, p_partkey) AS name FROM v_lines GROUP BY 1", "v_lines")
 _cte("v_cites", f"""
-  SELECT l_orderkey, {k('l_orderkey')} AS device_k, {k('p_partkey')} AS predicate_k, p_name AS predicate_name
+  SELECT l_orderkey, {k('l_orderkey')} AS device_k, {k('p_partkey % 1000000')} AS predicate_k, p_name AS predicate_name
   FROM v_lines WHERE l_orderkey % 11 <> 3""", "v_lines")
 _cte("v_measured", f"""
   SELECT l_orderkey, {k('l_orderkey')} AS k_number,

@@ -260,6 +260,17 @@ def h31(spark, sf):
         "url", "row_no", "facilityName", "analyte", "status", "detailLink", "total")
 
 
+@query("h31_page_items", """
+  SELECT url, row_no, trim(regexp_replace(items[row_no + 1], '^<li><a href="[^"]*">|</a></li>$', '', 'g')) AS name,
+    regexp_replace(regexp_extract(items[row_no + 1], 'href="([^"]*)"', 1), '^/', 'https://www.wadsworth.org/') AS link, len(items) AS total
+  FROM (SELECT url, items, unnest(range(len(items))) AS row_no FROM (
+    SELECT url, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS items FROM pages))""")
+def h31_items(spark, sf):
+    """Every list item of every given page, read from its whole HTML."""
+    rows = ls.extract_listing_rows(v.spread_table(spark, sf, "pages"), v.PAGE_ITEMS)
+    return rows.select("url", "row_no", F.col("facilityName").alias("name"), F.col("detailLink").alias("link"), "total")
+
+
 @query("b13_filter_status", "SELECT p_partkey FROM v_list_rows WHERE status = 'Conditionally Approved'", ("v_list_rows",))
 def b13(spark, sf):
     return ls.filter_status(v.listing_rows(spark, sf), "conditionally_approved").select("p_partkey")

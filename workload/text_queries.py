@@ -15,9 +15,12 @@ from workload import views as v
 from workload.registry import query
 from workload.sql import WS, antigen, k, mode, strip_anti, strip_iso, tokens, words
 
-_GREEK_SQL = "t"
-for _letter, _name in tx.GREEK_LETTERS.items():
-    _GREEK_SQL = f"replace({_GREEK_SQL}, '{_letter}', '{_name}')"
+# The letters and their names, written out here so that the SQL does not follow the code.
+_GREEK_SQL = (
+    "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t,"
+    " 'α', 'alpha'), 'Α', 'Alpha'), 'β', 'beta'), 'Β', 'Beta'), 'γ', 'gamma'), 'Γ', 'Gamma'), 'δ', 'delta'), 'Δ', 'Delta'),"
+    " 'κ', 'kappa'), 'Κ', 'Kappa'), 'λ', 'lambda'), 'Λ', 'Lambda'), 'μ', 'mu'), 'Μ', 'Mu')"
+)
 
 
 def _forms(name, expr, sql):
@@ -178,14 +181,22 @@ def h22(spark, sf):
         "k_number", "m.label", "m.value")
 
 
-@query("h23_lines_until_next_section", """
-  SELECT l_orderkey, 'Predicate Name 510(k) Number|' || string_agg(p_name || ' ' || predicate_k, '|' ORDER BY predicate_k) AS section
-  FROM (SELECT c.*, c.predicate_name AS p_name FROM v_cites c) WHERE l_orderkey % 4 = 0 GROUP BY 1""", ("v_cites",))
+_K = k("p_partkey % 1000000")
+
+
+@query("h23_lines_until_next_section", f"""
+  SELECT l_orderkey, CASE l_orderkey % 4 WHEN 0 THEN 'Predicate Name 510(k) Number|' ELSE '' END ||
+    string_agg(CASE l_orderkey % 4 WHEN 0 THEN p_name || ' ' || {_K} WHEN 1 THEN p_name WHEN 2 THEN {_K} || ' - ' || p_name
+      ELSE p_name || ' (' || {_K} || ')' END, '|' ORDER BY p_partkey) AS section
+  FROM v_lines WHERE l_orderkey % 11 <> 3 GROUP BY 1""", ("v_lines",))
 def h23(spark, sf):
+    """The section of predicates in every document, whatever its template."""
     d = v.summary_text(spark, sf).withColumn("ls", dc.text_lines(F.col("full_text")))
-    at = F.array_position("ls", "A Predicate Device Names and 510(k) numbers").cast("int") - 1
-    return d.filter(F.array_contains("ls", "A Predicate Device Names and 510(k) numbers")).select(
-        "l_orderkey", F.array_join(dc.lines_until_next_section(F.col("ls"), at), "|").alias("section"))
+    heads = ["A Predicate Device Names and 510(k) numbers", "1. Predicate device name(s):", "Predicate 510(k) Number(s):",
+             "Predicate device name (Predicate 510(k) number):"]
+    head = F.get(F.array(*[F.lit(h) for h in heads]), (F.col("l_orderkey") % 4).cast("int"))
+    d = d.withColumn("at", F.array_position(F.transform("ls", lambda x: F.trim(x)), head).cast("int") - 1).filter("at >= 0")
+    return d.select("l_orderkey", F.array_join(F.transform(dc.lines_until_next_section(F.col("ls"), F.col("at")), lambda x: F.trim(x)), "|").alias("section"))
 
 
 def _citations(name, template, fn):
@@ -209,12 +220,17 @@ def e6(spark, sf):
 
 
 @query("h28_contains_any_word", f"""
-  SELECT page_id, CAST(len(list_intersect({words("regexp_extract(html, '<title>([^<]*)</title>', 1)")},
-    {words("regexp_extract(html, '<li><a href=\"(/[^\"]*)\"', 1)")})) > 0 AS INT) AS hit FROM pages""")
+  SELECT page_id, CAST(len(list_intersect({words("array_to_string(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), ' ')")},
+    {words("array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), ' ')")})) > 0 AS INT) AS in_links,
+    CAST(len(list_intersect({words("split_part(url, '://', 2)")}, {words("html")})) > 0 AS INT) AS in_page FROM pages""")
 def h28(spark, sf):
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    link = F.regexp_extract("html", '<li><a href="(/[^"]*)"', 1)
-    return v.table(spark, sf, "pages").select("page_id", tx.contains_any_word(title, link).cast("int").alias("hit"))
+    """Words of the headings among those of all links, words of the address among the page's."""
+    heads = F.array_join(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), 1), " ")
+    links = F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), " ")
+    address = F.split_part("url", F.lit("://"), F.lit(2))
+    return v.spread_table(spark, sf, "pages").select(
+        "page_id", tx.contains_any_word(heads, links).cast("int").alias("in_links"),
+        tx.contains_any_word(address, F.col("html")).cast("int").alias("in_page"))
 
 
 @query("h29_parse_model_reply", """
@@ -234,13 +250,14 @@ def h30(spark, sf):
 
 
 @query("h32_absolutise_url", """
-  SELECT page_id, 'https://www.wadsworth.org' || regexp_extract(html, '<li><a href="(/[^"]*)"', 1) AS link,
-    CASE WHEN url LIKE '/%' THEN 'https://www.wadsworth.org' || url ELSE url END AS other FROM pages
-  WHERE regexp_extract(html, '<li><a href="(/[^"]*)"', 1) <> '' """)
+  SELECT page_id, place, CASE WHEN href LIKE '/%' THEN 'https://www.wadsworth.org' || href ELSE href END AS link FROM (
+    SELECT page_id, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS place FROM (
+      SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) || [url] AS hrefs FROM pages))""")
 def h32(spark, sf):
-    link = F.regexp_extract("html", '<li><a href="(/[^"]*)"', 1)
-    return v.table(spark, sf, "pages").filter(link != "").select(
-        "page_id", ls.absolutise_url(link).alias("link"), ls.absolutise_url(F.col("url")).alias("other"))
+    """Every link of every page, and the page's own address."""
+    links = F.concat(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), F.array("url"))
+    return v.table(spark, sf, "pages").select("page_id", F.posexplode(links).alias("place", "href")).select(
+        "page_id", "place", ls.absolutise_url(F.col("href")).alias("link"))
 
 
 @query("h33_parse_total", """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions.listing_html import Selectors
 from marketlens.sources.scans import spread
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,9 +55,13 @@ def term_forms(spark, sf) -> DataFrame:
 
 
 def terms(spark, sf) -> DataFrame:
-    """``term_id, term, full, search``: eight kinds of term from every benchmark text."""
+    """``term_id, term, full, search``: eight kinds of term from every nine words of every
+    benchmark text, up to its last word."""
     words = F.array_remove(F.split("text", r"[^\p{L}\p{N}]+"), "")
-    b = table(spark, sf, "benchmark").select("item_id", words.alias("w"))
+    b = table(spark, sf, "benchmark").select("item_id", words.alias("all"))
+    last = F.greatest(F.ceil(F.size("all") / 9), F.lit(1)) - 1
+    b = b.select("item_id", "all", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("at"))
+    b = b.select("item_id", "at", F.slice("all", F.col("at") * 9 + 1, 9).alias("w"))
 
     def w(i: int) -> Column:
         return F.coalesce(F.get("w", F.lit(i - 1)), F.lit("x"))
@@ -73,8 +78,8 @@ def terms(spark, sf) -> DataFrame:
     ]
     full = F.concat_ws(" ", w(7), w(8))
     search = F.concat(full, F.lit("/"), w(9), F.lit(", antibody/anti"), w(2), F.lit("/(anti)"))
-    return b.select("item_id", full.alias("full"), search.alias("search"), F.posexplode(F.array(*forms)).alias("f", "term")).select(
-        (F.col("item_id") * 8 + F.col("f")).alias("term_id"),
+    return b.select("item_id", "at", full.alias("full"), search.alias("search"), F.posexplode(F.array(*forms)).alias("f", "term")).select(
+        ((F.col("item_id") * 1048576 + F.col("at")) * 8 + F.col("f")).alias("term_id"),
         "term",
         F.when(F.col("f") % 4 != 3, F.col("full")).alias("full"),
         F.when(F.col("f") % 4 < 2, F.col("search")).alias("search"),
@@ -186,7 +191,8 @@ def summary_text(spark, sf) -> DataFrame:
     rows = order_lines(spark, sf).groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("n"), F.col("p_name").alias("name")))).alias("r")
     )
-    k = lambda r: F.format_string("K%06d", r["n"])
+    # A number has six digits in the documents, so part keys are taken modulo a million.
+    k = lambda r: F.format_string("K%06d", r["n"] % 1_000_000)
 
     def lines(fn) -> Column:
         return F.array_join(F.transform("r", fn), "\n")
@@ -366,6 +372,10 @@ def listing_pages(spark, sf) -> DataFrame:
     return pg.select("page_id", F.col("url"), html.alias("html"))
 
 
+# A given page read as a listing: its list items are the rows, its links the names.
+PAGE_ITEMS = Selectors(row="li", fields={"facilityName": ("a",)}, link=("a",), header=("h1",))
+
+
 def listing_rows(spark, sf) -> DataFrame:
     """Every part as an already extracted listing row."""
     p = table(spark, sf, "part")
