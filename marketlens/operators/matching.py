@@ -4,7 +4,8 @@ The work per record is done where the record was read. Each clause is looked up
 one anchor word; a record's words probe the clause table (a broadcast hash join when the
 table was measured to fit), and the candidate clause is then tested against the record's
 own fields inside the same stage, so that only satisfied ``(term, tier, record)`` facts are
-shuffled. With a clause table too large for that, texts are joined once by record key.
+shuffled. With a clause table too large for that, numbers of records and
+conditions meet first, and texts are joined once by row number.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from marketlens.functions import text as tx
 from marketlens.operators.skew import salted_join
 from marketlens.operators.store import upsert
 from marketlens.plans import tiers as pl
-from marketlens.session import cut_lineage, fits_broadcast
+from marketlens.session import fits_broadcast, stored
 
 SEARCH_FIELDS = ["device_name", "statement_or_summary", "openfda_device_names"]
 REGISTRY_FIELDS = ["device_description", "brand_name"]
@@ -98,13 +99,18 @@ def with_antibody_requirement(satisfied: Column, mode: Column) -> Column:
     return carried & satisfied
 
 
+def worded(corpus: DataFrame) -> DataFrame:
+    """The corpus with antibody flags and the distinct words of each record."""
+    return antibody_flags(corpus).withColumn("words", _words(F.col("whole"))).drop("whole")
+
+
+def _counts(words: DataFrame) -> DataFrame:
+    return words.select(F.explode_outer("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 def token_counts(corpus: DataFrame) -> DataFrame:
     """Number of records each word occurs in; sharpens the choice of anchors."""
-    return (
-        corpus.select(F.explode_outer(_words(_all(F.col("texts")))).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-    )
+    return _counts(corpus.select(_words(_all(F.col("texts"))).alias("words")))
 
 
 # -- phrases against records ------------------------------------------------------------
@@ -159,24 +165,22 @@ def _in_text() -> Column:
     return worth & F.when(one_field, same).otherwise(across)
 
 
-def _lookup(corpus: DataFrame, key: list[str], conditions: DataFrame, small: bool,
-            keep: list[str]) -> DataFrame:
-    """Records x conditions through the anchor word: ``keep`` and the users' columns."""
-    flagged = antibody_flags(corpus)
-    worded = flagged.withColumn("words", _words(F.col("whole"))).drop("whole")
+def _lookup(records: DataFrame, conditions: DataFrame, small: bool, keep: list[str]) -> DataFrame:
+    """Records x conditions through the anchor word: ``keep`` and the users' columns.
+
+    ``records`` are :func:`worded`; for the way with large condition tables they are
+    :func:`_numbered` too.
+    """
     carried = with_antibody_requirement(_words_present(), F.col("anti"))
     # The outer form of explode and inline is used because the inner form makes the
     # optimiser add a size filter, which would normalise every text a second time. Rows
     # without a word have no partner in the join.
     if small:
-        candidates = worded.withColumn("anchor", F.explode_outer("words")).join(
+        candidates = records.withColumn("anchor", F.explode_outer("words")).join(
             F.broadcast(conditions), "anchor"
         )
     else:
-        # Large condition tables: ship (word, key) postings instead of text, then bring
-        # each candidate to its record, whose key is unique and so cannot be hot there.
-        postings = worded.select(*key, F.explode_outer("words").alias("anchor"))
-        candidates = salted_join(postings, conditions, ["anchor"], salt_by=key).join(worded, key)
+        candidates = _candidates(records, conditions)
     # The text goes on only with those candidates that have to be looked up in it.
     hard = _needs_text()
     slim = candidates.filter(carried).select(
@@ -190,31 +194,67 @@ def _lookup(corpus: DataFrame, key: list[str], conditions: DataFrame, small: boo
     )
 
 
-def anchor_clauses(clauses: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Clauses with their anchors, worked out once and frozen.
+def _numbered(records: DataFrame) -> DataFrame:
+    """Records written once with a row number: copies of a record and records without a key
+    stay rows of their own."""
+    return stored(records.withColumn("_row", F.monotonically_increasing_id()), "records")
+
+
+def _candidates(records: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Records with the conditions whose anchor they hold, for large condition tables.
 
-    The choice of anchors reads the clauses twice, so these are frozen first.
+    Only numbers travel until a pair is likely: (word, row) postings meet (anchor, condition),
+    pairs that lack the condition's longest other word are cut by the same postings, and what
+    remains is brought to its condition and to its record, whose row number is unique.
     """
-    return cut_lineage(
-        pl.with_anchor(cut_lineage(clauses), counts).select(
+    numbered = stored(conditions.withColumn("_condition", F.monotonically_increasing_id()), "conditions")
+    postings = records.select("_row", F.explode_outer("words").alias("anchor")).filter("anchor IS NOT NULL")
+    wanted = numbered.select("anchor", "_condition", F.get("need", F.lit(0)).alias("second"))
+    pairs = salted_join(postings, wanted, ["anchor"], salt_by=["_row"]).drop("anchor")
+    held = postings.withColumnRenamed("anchor", "second")
+    sure = pairs.filter("second IS NULL").unionByName(pairs.join(held, ["_row", "second"], "left_semi").select(pairs.columns))
+    named = salted_join(sure.drop("second"), numbered, ["_condition"], salt_by=["_row"])
+    return named.join(records, "_row").drop("_row", "_condition")
+
+
+def anchor_clauses(clauses: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Clauses with their anchors, written once, as the next steps read them more than once."""
+    return stored(
+        pl.with_anchor(clauses, counts).select(
             "anchor", "term_id", "tier", "clause_no", "scope", "anti",
             F.array_sort("phrases").alias("phrases"),
-        )
+        ),
+        "anchors",
     )
 
 
+def _hits(corpus: DataFrame, clauses: DataFrame, keep: list[str], small: bool | None,
+          counts: DataFrame | None) -> DataFrame:
+    """The way by the measured size of the clauses; either gives the same rows."""
+    if "anchor" not in clauses.columns:
+        clauses = stored(clauses, "clauses")  # read twice by the choice of anchors
+    if small is None:
+        small = fits_broadcast(clauses)
+    records = worded(corpus)
+    if not small:
+        records = _numbered(records)
+    if "anchor" not in clauses.columns:
+        if counts is None and not small:
+            counts = _counts(records)
+        clauses = anchor_clauses(clauses, counts)
+    return _lookup(records, _conditions(clauses, small), small, keep)
+
+
 def satisfied_clauses(corpus: DataFrame, clauses: DataFrame, key: str = "k_number",
                       payload: list[str] | None = None, small: bool | None = None,
                       counts: DataFrame | None = None) -> DataFrame:
     """AND of a clause's phrases, decided inside the record: ``key, payload..., term_id,
     tier, clause_no``.
 
-    No grouping is needed, since all the evidence for one record is in the row at hand.
+    No grouping is needed, since all the evidence for one record is in the row at hand. A large
+    clause table chooses its anchors by the words' counts in the corpus.
     """
-    anchored = clauses if "anchor" in clauses.columns else anchor_clauses(clauses, counts)
-    if small is None:
-        small = fits_broadcast(anchored)
-    return _lookup(corpus, [key], _conditions(anchored, small), small, [key, *(payload or [])])
+    return _hits(corpus, clauses, [key, *(payload or [])], small, counts)
 
 
 def phrase_hits(phrases: DataFrame, corpus: DataFrame, key: str = "k_number",
@@ -231,13 +271,10 @@ def phrase_hits(phrases: DataFrame, corpus: DataFrame, key: str = "k_number",
         F.lit(tx.NONE).alias("anti"),
         F.array(tx.padded(F.col("phrase"))).alias("phrases"),
     ).filter(F.element_at("phrases", 1) != " ")
-    anchored = anchor_clauses(clauses)
-    if small is None:
-        small = fits_broadcast(anchored)
     one_field = corpus.select(key, F.posexplode_outer("texts").alias("field", "text")).select(
         key, "field", F.array("text").alias("texts")
     )
-    hits = _lookup(one_field, [key, "field"], _conditions(anchored, small), small, [key, "field"])
+    hits = _hits(one_field, clauses, [key, "field"], small, None)
     return hits.select(F.col("term_id").alias("phrase_id"), key, "field")
 
 
@@ -298,11 +335,13 @@ def match_terms(terms: DataFrame, devices: DataFrame, counts: DataFrame | None =
     with the devices afterwards.
     """
     corpus = searchable(devices, payload=payload) if corpus is None else corpus
-    anchored = anchor_clauses(pl.compile_terms(terms), counts)
+    clauses = stored(pl.compile_terms(terms), "clauses")
     # The table of what each term found has at most one row per clause: where the clauses
     # were measured to fit a broadcast, so does it.
-    small = fits_broadcast(anchored)
-    hits = satisfied_clauses(corpus, anchored, payload=payload, small=small)
+    small = fits_broadcast(clauses)
+    if small:
+        clauses = anchor_clauses(clauses, counts)
+    hits = satisfied_clauses(corpus, clauses, payload=payload, small=small, counts=counts)
     return tier_waterfall(union_tiers(hits, payload=payload), small_terms=small)
 
 

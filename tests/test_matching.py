@@ -116,3 +116,33 @@ def test_matching_plan_never_shuffles_text(terms, devices):
     exchanges = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
     assert len(exchanges) >= 1 and all("k_number" in ln or "anchor" in ln for ln in exchanges)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_null_and_repeated_keys(spark, small):
+    """Every record answers for itself, whatever its key."""
+    devices = spark.createDataFrame(
+        [("K1", "gad kit"), ("K1", "gad assay"), (None, "the gad"), ("K2", "other"), ("K1", "gad kit")],
+        "k_number string, device_name string").selectExpr("*", "cast(null as string) AS statement_or_summary", "cast(null as array<string>) AS openfda_device_names")
+    corpus = m.searchable(devices)
+    clauses = spark.createDataFrame(
+        [(1, 1, 0, "any", "none", [" gad "]), (2, 1, 0, "any", "none", [" gad ", " kit "])],
+        "term_id int, tier int, clause_no int, scope string, anti string, phrases array<string>")
+    got = sorted((r["term_id"], r["k_number"] or "-") for r in m.satisfied_clauses(corpus, clauses, small=small).collect())
+    assert got == [(1, "-"), (1, "K1"), (1, "K1"), (1, "K1"), (2, "K1"), (2, "K1")]
+    phrases = spark.createDataFrame([(1, "gad")], "phrase_id int, phrase string")
+    assert m.phrase_hits(phrases, corpus, small=small).count() == 4
+
+
+def test_a_word_of_every_record_in_many_clauses(spark, monkeypatch):
+    from marketlens.operators import skew
+
+    monkeypatch.setattr(skew.salted_join, "__defaults__", (50,))
+    devices = spark.range(60).selectExpr(
+        "printf('K%06d', id) AS k_number", "concat('hot word', id % 7) AS device_name", "cast(null as string) AS statement_or_summary", "cast(null as array<string>) AS openfda_device_names")
+    clauses = spark.range(40).selectExpr("cast(id as int) AS term_id", "1 AS tier", "0 AS clause_no", "'any' AS scope", "'none' AS anti", "array(' hot ', concat(' word', id % 10, ' ')) AS phrases")
+    rows = {}
+    for small in (True, False):
+        hits = m.satisfied_clauses(m.searchable(devices), clauses, small=small)
+        rows[small] = sorted((r["term_id"], r["k_number"]) for r in hits.collect())
+    assert rows[True] == rows[False] and len(rows[True]) == sum(1 for t in range(40) for k in range(60) if t % 10 == k % 7)

@@ -93,12 +93,29 @@ def e2(spark, sf):
 @query("e2_tier_waterfall_large_plan", "SELECT term_id, k_number, label AS match_mode FROM v_match", ("v_match",))
 def e2_large(spark, sf):
     """The way taken when the clause table does not fit a broadcast; anchors by corpus counts."""
-    corpus = m.searchable(v.devices(spark, sf))
     clauses = pl.compile_terms(v.terms(spark, sf))
-    sat = m.satisfied_clauses(corpus, clauses, small=False, counts=m.token_counts(corpus))
+    sat = m.satisfied_clauses(m.searchable(v.devices(spark, sf)), clauses, small=False)
     return m.tier_waterfall(m.union_tiers(sat)).select("term_id", "k_number", "match_mode")
 
 
+def _untidy(spark, sf):
+    """Records with keys that are missing or name several of them."""
+    key = F.when(F.col("doc_id") % 3 > 0, F.expr("printf('K%06d', doc_id - doc_id % 5)"))
+    d = v.table(spark, sf, "documents").select("doc_id", key.alias("key"))
+    return v.devices(spark, sf).join(d, F.col("k_number") == v.number("doc_id")).select(
+        F.col("key").alias("k_number"), "device_name", "statement_or_summary", "openfda_device_names")
+
+
+for _name, _small in (("c8_hits_with_untidy_keys", True), ("c8_hits_with_untidy_keys_large_plan", False)):
+    @query(_name, """
+      SELECT coalesce(CASE WHEN doc_id % 3 > 0 THEN printf('K%06d', doc_id - doc_id % 5) END, '-') AS k_number, term_id, tier, count(*) AS n
+      FROM v_sat JOIN documents ON k_number = printf('K%06d', doc_id) GROUP BY ALL""", ("v_sat",))
+    def c8_untidy(spark, sf, small=_small):
+        clauses = pl.compile_terms(v.terms(spark, sf))
+        sat = m.satisfied_clauses(m.searchable(_untidy(spark, sf)), clauses, small=small)
+        return sat.groupBy("k_number", "term_id", "tier").agg(F.count("*").alias("n")).withColumn("k_number", F.coalesce("k_number", F.lit("-")))
+
+
 # -- registry ---------------------------------------------------------------------------
 
 
