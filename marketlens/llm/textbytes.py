@@ -1,4 +1,4 @@
-"""Arrow texts as byte arrays: words, exact XXH64 of slices, bounded chunks, stored tables.
+"""Arrow texts as byte arrays: words, exact XXH64 of slices, bounded chunks.
 
 Tasks see texts as one UTF-8 buffer with offsets, so a word is a pair of positions and work on
 millions of words is a handful of array operations. Delimiters are ASCII in every word rule
@@ -8,7 +8,6 @@ code points.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.session import shared_dir
 
 CHUNK_BYTES = 2 << 20  # text handled at once in a task; a longer single text forms its own chunk
 
@@ -206,17 +204,3 @@ def bit_counts(h: np.ndarray, made: np.ndarray) -> np.ndarray:
         part = np.add.reduceat(lanes, begin) if len(begin) else lanes
         out[:, bit::8] = sums_by(part.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), piece_of)
     return out
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once as Parquet to the folder that all executors share, and reread.
-
-    Unlike cached blocks it outlives any executor. The folder goes when the driver's JVM ends,
-    since plans made from it are run later."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
