@@ -25,8 +25,7 @@ MEASURAND_LABELS = [
     r"Intended Use",
 ]
 LABEL_WORDS = ["Measurand", "Analyte", "Type", "Intended"]
-SECTION_HEAD = r"[A-Z]\.?\s*"
-SECTION_BODY = r"s?\s*:\s*([\s\S]{1,400}?)\s*(?=[A-Z]\.?\s+[A-Z][a-z]|$)"
+SECTION = r"[A-Z]\.?\s*(<label>)s?\s*:\s*([\s\S]{1,400}?)\s*(?=[A-Z]\.?\s+[A-Z][a-z]|$)"
 
 # Headers, rows and section markers of the four citation templates.
 NUMBER = r"K\d{6}|DEN\d{6}"
@@ -83,11 +82,14 @@ def extract_measurand(text: Column) -> Column:
     """
 
     def section(flat: Column, label: str) -> Column:
-        pattern = f"{SECTION_HEAD}({label}){SECTION_BODY}"
-        value = F.trim(F.regexp_extract(flat, pattern, 2)).alias("value")
+        # The text is searched once per label; label and value are read from the short match.
+        pattern = SECTION.replace("<label>", label)
         return _let(
-            F.regexp_extract(flat, pattern, 1),
-            lambda name: F.when(name != "", F.struct(name.alias("label"), value)),
+            F.regexp_extract(flat, pattern, 0),
+            lambda found: F.when(found != "", F.struct(
+                F.regexp_extract(found, pattern, 1).alias("label"),
+                F.trim(F.regexp_extract(found, pattern, 2)).alias("value"),
+            )),
         )
 
     worth = reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in LABEL_WORDS])
