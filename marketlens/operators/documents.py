@@ -19,6 +19,7 @@ def pick_document(fetch_log: DataFrame) -> DataFrame:
         F.min(F.when(good, F.struct("ordinal", "url"))).alias("first"),
         F.max(F.struct("ordinal", "status")).alias("last"),
     )
+    # Fixed value: the words of the error, which stores and reports show.
     error = F.concat(
         F.lit("no decision document found (last status: "),
         F.coalesce(F.col("last.status").cast("string"), F.lit("None")),

@@ -349,3 +349,27 @@ def i1_after_compaction(spark, sf):
         if not half:
             rf.compact(spark, f"{base}/store0", f"{base}/store1", ["user_id"], order)
     return rf.read_store(spark, f"{base}/store1", ["user_id"], order).select("user_id", "ts", "event_type")
+
+
+@query("i1_corpus_refresh", """
+  SELECT panel AS advisory_committee, count(*) AS in_scope, count(m.k_number) AS fetched, count(*) FILTER (WHERE m.k_number IS NULL) AS to_fetch,
+    count(*) FILTER (WHERE m.l_orderkey % 11 = 3) AS errors, count(m.value) AS with_measurand, count(c.n) AS citing, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS citations
+  FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'IM' WHEN '2-HIGH' THEN 'CH' WHEN '5-LOW' THEN 'MI' END AS panel FROM orders)
+    LEFT JOIN v_measured m ON o_orderkey = l_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM v_cites GROUP BY 1) c ON o_orderkey = c.l_orderkey
+  WHERE panel IS NOT NULL GROUP BY 1""", ("v_measured", "v_cites"))
+def i1_corpus(spark, sf):
+    """Half of the texts, then all: devices, documents, citations and coverage in two refreshes."""
+    base = scratch(spark)
+    panel = F.when(F.col("o_orderpriority") == "1-URGENT", "IM").when(F.col("o_orderpriority") == "2-HIGH", "CH").when(F.col("o_orderpriority") == "5-LOW", "MI").otherwise("SU")
+    none = F.lit(None).cast("string")
+    records = v.table(spark, sf, "orders").select(
+        v.number("o_orderkey").alias("k_number"), F.col("o_orderpriority").alias("device_name"), none.alias("statement_or_summary"),
+        F.struct(F.col("o_orderstatus").alias("device_name")).alias("openfda"), none.alias("applicant"), none.alias("decision_description"),
+        F.col("o_orderdate").cast("string").alias("decision_date"), panel.alias("advisory_committee"), none.alias("advisory_committee_description"), none.alias("product_code"))
+    texts = v.summary_text(spark, sf)
+    rf.refresh_all(records, texts.filter(F.col("l_orderkey") % 2 == 0).drop("l_orderkey"), base, ["full_text"])
+    coverage = rf.refresh_all(records, texts.drop("l_orderkey"), base, ["full_text"])
+    edges = st.published(spark, f"{base}/citations").groupBy(F.col("device_k").alias("k_number")).agg(F.count("*").alias("n"))
+    cited = st.published(spark, f"{base}/devices").join(edges, "k_number").groupBy("advisory_committee").agg(
+        F.count("*").alias("citing"), F.sum("n").alias("citations"))
+    return coverage.join(cited, "advisory_committee", "left").fillna(0, ["citing", "citations"])
