@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,22 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in tasks, also where it is not installed on the workers: it
+    is sent once per session as ``addPyFile`` sends a file."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    if any(os.path.basename(f) == f"{name}.zip" for f in spark.sparkContext.listFiles):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, file)
+                out.write(path, os.path.join(name, os.path.relpath(path, package)))
+    spark.sparkContext.addPyFile(target)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     shared_dir(df.sparkSession)
