@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import chat, langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
+from marketlens.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: (ship_package(spark), fn(spark, sf_dir))[1]
         if sql is not None:
             SQL[name] = sql
         return fn
