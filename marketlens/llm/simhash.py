@@ -141,7 +141,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     like others and take the class's id (null if the class has no other). Equal texts have equal
     fingerprints and so one class. An empty table gives an empty result."""
     rows = stored(simhash(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words), "fingerprints")
-    roots = components(fingerprint_links(rows)).toDF("fp", "root")
+    return classes(rows, fingerprint_links(rows))
+
+
+def classes(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows(doc_id, fp)`` with the smallest ``doc_id`` of each row's class under ``links(a, b)``
+    of values of ``fp``."""
+    roots = components(links).toDF("fp", "root")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classed = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
