@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 import zlib
 
 import numpy as np
@@ -21,20 +23,30 @@ MAX_COLUMNS = 3000
 COLUMNS_PER_PRICING = 24
 
 @functools.cache
-def encoding(path: str):
+def encoding(path: str, added: tuple[tuple[str, int], ...] = ()):
     """The byte-level vocabulary of ranks at ``path``; its ids are those of the same vocabulary
-    in other libraries."""
+    in other libraries. ``added`` are strings with an id of their own."""
     import tiktoken
     from public_tokenizers import PATTERN
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
-def text_ids(path: str, text: str) -> bytes:
-    """The ids of a text, little-endian 32-bit; strings of special tokens are ordinary text."""
-    return encoding(path).encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of the JSON of the same name beside the ranks, none if there is no JSON."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return ()
+    with open(beside, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+
+
+def text_ids(path: str, text: str, added: tuple[tuple[str, int], ...] = ()) -> bytes:
+    """The ids of a text, little-endian 32-bit; but for those ``added``, strings of special tokens
+    are ordinary text."""
+    return encoding(path, added).encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
 
 # ---------------------------------------------------------------------------------------------
@@ -168,7 +180,7 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int, most_padding: int = 0
 PIECES = "part long, doc_id long, doc_tokens long, full long, before long, rest long, rank long, crcs array<long>, rest_ids binary"
 
 
-def _tokenise(batches, path: str, room: int):
+def _tokenise(batches, path: str, room: int, added: tuple[tuple[str, int], ...]):
     """One row per document: its full sequences with their checksums, and the rest's ids.
 
     ``before`` numbers the full sequences and ``rank`` the rests of a length, within the task."""
@@ -180,7 +192,7 @@ def _tokenise(batches, path: str, room: int):
     for batch in tb.chunks(batches):
         out = {name.split()[0]: [] for name in PIECES.split(", ")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = text_ids(path, text or "") + tail
+            ids = text_ids(path, text or "", added) + tail
             full = len(ids) // wide
             rest = (len(ids) - full * wide) // 4
             crcs = [zlib.crc32(ids[i * wide : (i + 1) * wide]) for i in range(full)]
@@ -200,7 +212,8 @@ def pack(
 ) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``: one row per piece.
 
-    ``tokenizer`` is the path of a byte-level vocabulary of ranks. A document is its ids and an
+    ``tokenizer`` is the path of a byte-level vocabulary of ranks; the added tokens of the JSON
+    beside it are found inside texts, as its own library finds them. A document is its ids and an
     end id; a null text is empty, so every row has at least one id. Full sequences are cut off
     each document; the lengths of the rests form a histogram of fewer than ``room`` rows, over
     which patterns are generated. Rests are ranked within their length and the ranks dealt out to
@@ -210,7 +223,8 @@ def pack(
     are packed like others. Ids are stored for rests only, as some of them are cut later."""
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(body.mapInArrow(lambda batches: _tokenise(batches, tokenizer, room), PIECES), "pieces")
+    added = added_tokens(tokenizer)
+    rows = stored(body.mapInArrow(lambda batches: _tokenise(batches, tokenizer, room, added), PIECES), "pieces")
 
     # Numbers given within a task become numbers over all tasks by the counts of earlier tasks.
     per_task = rows.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full"))

@@ -78,3 +78,19 @@ def test_padding_may_be_allowed_and_ids_missing(spark, docs):
     rows = packing.pack(docs("a b", "c", ids=[None, None]), tokenizer()).collect()
     assert sum(r.length for r in rows) == 5
     assert packing.pack(docs(), tokenizer()).count() == 0
+
+
+def test_added_tokens_are_those_of_the_unmodified_tokenizer(spark, docs):
+    plain = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"a{mark}{mark}\n", f"  {mark}  x", "<|endoftext|", f"word {mark} " * 700, "no mark", f"<{mark}> 漢{mark}ü"]
+    added = packing.added_tokens(tokenizer())
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.text_ids(tokenizer(), text, added), "<u4").tolist() == ids
+    whole = {r.doc_id: r for r in packing.pack(docs(*texts), tokenizer()).collect() if r.start == 0}
+    for i, text in enumerate(texts):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        assert whole[i].doc_tokens == len(ids)
+        assert whole[i].ids_crc32 == zlib.crc32(np.array(ids[: whole[i].length], "<u4").tobytes())
+    assert packing.text_ids(tokenizer(), mark) != packing.text_ids(tokenizer(), mark, added)
