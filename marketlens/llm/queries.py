@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
+from marketlens.llm import chat, collocations, langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
 from marketlens.session import ship_package
 
@@ -139,3 +139,31 @@ def op6(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trial = spark.createDataFrame([(-7, 0, "user", _TRIAL), (-7, 1, "assistant", _TRIAL)], given.schema)
     return chat.read_back(chat.prefix_tree(given.union(trial), tokenizer()), tokenizer())
+
+
+_PHRASE_F = """
+  p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(%s, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  g AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+  n AS (SELECT lang, count(*) AS n FROM g GROUP BY 1),
+  f1 AS (SELECT lang, a, count(*) AS f FROM g GROUP BY ALL),
+  f2 AS (SELECT lang, a, b, count(*) AS f FROM g WHERE b IS NOT NULL GROUP BY ALL),
+  f3 AS (SELECT lang, a, b, c, count(*) AS f FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)""" % ascii_lower("text")
+
+
+@query("op11_collocations", f"""
+  WITH {_PHRASE_F},
+  inside AS (SELECT lang, a, b, max(f) AS most FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY 1, 2, 3),
+  short AS (SELECT f2.lang, a || ' ' || b AS phrase, f2.f AS a, x.f AS l, y.f AS r
+    FROM f2 JOIN f1 x USING (lang, a) JOIN (SELECT lang, a AS b, f FROM f1) y USING (lang, b) LEFT JOIN inside USING (lang, a, b)
+    WHERE f2.f >= 10 AND (most IS NULL OR 100 * most < 50 * f2.f)),
+  cuts AS (SELECT lang, a || ' ' || b || ' ' || c AS phrase, f3.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2
+    FROM f3 JOIN f1 x USING (lang, a) JOIN (SELECT lang, a AS b, b AS c, f FROM f2) yz USING (lang, b, c)
+      JOIN f2 xy USING (lang, a, b) JOIN (SELECT lang, a AS c, f FROM f1) z USING (lang, c)),
+  scored AS (SELECT lang, phrase, a, l, r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS score FROM short
+    UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)
+    FROM (SELECT *, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l1 AS HUGEINT) * r1) AS s1, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l2 AS HUGEINT) * r2) AS s2 FROM cuts))
+  SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored) JOIN n USING (lang) WHERE rank <= 2000""")
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
