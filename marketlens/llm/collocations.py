@@ -13,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ COVERED = 50  # percent of a candidate's occurrences inside a longer one from wh
 CHUNK_BYTES = 16 << 20  # text whose suffixes are counted together before they are sent
 GROUP_SUFFIXES = 2_000_000  # suffixes of a group: what one subtree is built from
 HELD_SUFFIXES = 4_000_000  # distinct suffixes read before they are merged into the subtree
-PACK_ROWS = 4096  # suffixes in one row
+PACK_ROWS = 8192  # suffixes in one row
 HOT_SHARE = 2.0**-15  # of all words: a prefix with as many may be too frequent for one group
 SALTS = 64  # parts of a language whose best phrases are found first
 UNKNOWN = "und"
@@ -49,8 +48,12 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hashed(words: list) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+def _hashed(words: pa.Array) -> np.ndarray:
+    """Hash of each of the words, a binary array with 64-bit offsets."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return tb.xxh64(raw, at[:-1], np.diff(at))
 
 
 @dataclass
@@ -64,61 +67,98 @@ class Suffixes:
     count: np.ndarray
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grouped(cols: list, sizes: list, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of numbers below ``sizes`` in ascending order, and how often they occur."""
+    if float(np.prod([float(n) for n in sizes])) < 2.0**62:
+        key = cols[0]
+        for c, n in zip(cols[1:], sizes[1:]):
+            key = key * n + c
+        if count is None:
+            key = np.sort(key)
+        else:
+            order = np.argsort(key)
+            key, count = key[order], count[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        total = np.diff(np.append(new, len(key))) if count is None else np.add.reduceat(count, new) if len(new) else count
+        key, out = key[new], []
+        for n in reversed(sizes[1:]):
+            key, last = np.divmod(key, n)
+            out.append(last)
+        return np.stack([key, *reversed(out)]), total
+    # Too many to number in 64 bits: the first columns' distinct values are numbered first.
+    lead, of = np.unique(np.stack(cols[:2]), axis=1, return_inverse=True)
+    rows, total = _grouped([of.ravel(), *cols[2:]], [lead.shape[1], *sizes[2:]], count)
+    return np.vstack([lead[:, rows[0]], rows[1:]]), total
+
+
 def _merged(langs: pa.Array, words: pa.Array, rows: np.ndarray, count: np.ndarray) -> Suffixes:
     """Equal suffixes as one; equal words and languages get one number first."""
     langs, words = langs.dictionary_encode(), words.dictionary_encode()
-    lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    word = np.concatenate([[0], words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])
+    word = np.concatenate([[0], _numbers(words.indices) + 1])
     size = len(words.dictionary) + 1
-    path = lang[rows[0]] if len(lang) else np.zeros(0, np.int64)
-    cols = [path, *(word[r] for r in rows[1:])]
-    for c in cols[1:]:  # at most as many numbers as rows, so products stay far below 64 bits
-        _, path = np.unique(path, return_inverse=True)
-        path = path * size + c
-    _, at, of = np.unique(path, return_index=True, return_inverse=True)
-    total = np.zeros(len(at), np.int64)
-    np.add.at(total, of, count)
-    return Suffixes(langs.dictionary, words.dictionary, np.stack([c[at] for c in cols]), total)
-
-
-def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of all texts in order, the text of each, and the piece of each."""
-    data, offsets = tb.texts(column)
+    cols = [_numbers(langs.indices)[rows[0]], *(word[r] for r in rows[1:])]
+    rows, total = _grouped(cols, [len(langs.dictionary), size, size, size], count)
+    return Suffixes(langs.dictionary, words.dictionary, rows, total)
+
+
+@dataclass
+class Words:
+    """Words of a chunk in order: their numbers, languages (as numbers) and pieces."""
+
+    langs: pa.Array
+    words: pa.Array
+    at: np.ndarray
+    lang: np.ndarray
+    piece: np.ndarray
+
+
+def _words(langs: pa.Array, texts: pa.Array) -> Words:
+    data, offsets = tb.texts(texts)
     data = tb.LOWER[data]
     start, end, first = tb.word_spans(data, offsets, IN_WORD)
-    edge = IS_BREAK[data].astype(np.int64)
-    edge[offsets[:-1][offsets[:-1] < len(data)]] = 1
-    piece = np.cumsum(edge)[start] if len(start) else np.zeros(0, np.int64)
-    body = data[IN_WORD[data]]
+    edge = IS_BREAK[data]
+    edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+    piece = np.cumsum(edge, dtype=np.int32)[start] if len(start) else np.zeros(0, np.int32)
     ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
-    return words, np.repeat(np.arange(len(first) - 1), np.diff(first)), piece
+    body = np.ascontiguousarray(data[IN_WORD[data]])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
+    langs = pc.fill_null(langs.cast(pa.large_binary()), UNKNOWN.encode()).dictionary_encode()
+    lang = np.repeat(_numbers(langs.indices), np.diff(first))
+    return Words(langs.dictionary, words.dictionary, _numbers(words.indices) + 1, lang, piece)
+
+
+def _following(w: Words, by: int) -> np.ndarray:
+    """The word ``by`` places on in the same piece, 0 where there is none."""
+    out = np.zeros(len(w.at), np.int64)
+    if len(out) > by:
+        out[:-by] = np.where(w.piece[by:] == w.piece[:-by], w.at[by:], 0)
+    return out
 
 
 def suffixes(langs: pa.Array, texts: pa.Array) -> Suffixes:
     """The truncated suffixes that begin at each word, within their piece."""
-    words, text, piece = _words(texts)
-    langs = pc.fill_null(langs.cast(pa.large_string()), UNKNOWN)
-    words = words.dictionary_encode()
-    n = len(words)
-    at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    rows = np.zeros((4, n), np.int64)
-    rows[0], rows[1] = text, at
-    for j in (1, 2):
-        same = np.flatnonzero(piece[j:] == piece[:-j])
-        rows[j + 1, same] = at[same + j]
-    return _merged(langs, words.dictionary, rows, np.ones(n, np.int64))
-
-
-def _prefixes(found: Suffixes) -> np.ndarray:
-    """Hash of the first, the first two and all three words of each suffix, language included."""
-    word = np.concatenate([np.zeros(1, np.uint64), _hashed(found.words.to_pylist())])
-    h = _hashed([x.encode() for x in found.langs.to_pylist()])[found.rows[0]] if len(found.langs) else np.zeros(0, np.uint64)
-    out = []
-    for r in found.rows[1:]:
-        h = _mixed(h, word[r])
-        out.append(h)
-    return np.stack(out)
+    w = _words(langs, texts)
+    size = len(w.words) + 1
+    rows, count = _grouped([w.lang, w.at, _following(w, 1), _following(w, 2)], [len(w.langs), size, size, size], None)
+    return Suffixes(w.langs, w.words, rows, count)
+
+
+class Hashes:
+    """Hashes of prefixes: language and first word, and with one word more."""
+
+    def __init__(self, langs: pa.Array, words: pa.Array):
+        self.lang = _hashed(langs)
+        self.word = np.concatenate([np.zeros(1, np.uint64), _hashed(words)])
+
+    def of(self, lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
+        h = self.lang[lang]
+        for w in words:
+            h = _mixed(h, self.word[w])
+        return h
 
 
 def _in_sorted(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -131,23 +171,25 @@ def _prefix_counts(batches):
     """(prefix, lang, n): of each chunk the prefixes of one and two words with a good share of its
     words, and under prefix 0 all words of each language."""
     for batch in tb.chunks(batches, limit=CHUNK_BYTES):
-        found = suffixes(batch.column("lang"), batch.column("text"))
-        if not len(found.count):
+        w = _words(batch.column("lang"), batch.column("text"))
+        if not len(w.at):
             continue
-        least = max(2, int(found.count.sum() * HOT_SHARE / 2))
-        h = _prefixes(found)
-        keys, n = [], []
-        for depth in (0, 1):
-            have = found.rows[depth + 1] > 0
-            key, of = np.unique(h[depth][have], return_inverse=True)
-            total = np.bincount(of, found.count[have], len(key)).astype(np.int64)
-            keys.append(key[total >= least])
-            n.append(total[total >= least])
-        each = np.bincount(found.rows[0], found.count, len(found.langs)).astype(np.int64)
-        langs = pa.concat_arrays([pa.nulls(sum(map(len, keys)), pa.large_string()), found.langs])
-        keys.append(np.zeros(len(each), np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), langs.cast(pa.string()), pa.array(np.concatenate([*n, each]))], names=["prefix", "lang", "n"])
+        least = max(2, int(len(w.at) * HOT_SHARE / 2))
+        size, hashes = len(w.words) + 1, Hashes(w.langs, w.words)
+        one, of = np.unique(w.lang * size + w.at, return_inverse=True)
+        n1 = np.bincount(of)
+        often = np.flatnonzero((n1 >= least)[of])  # only what begins with a frequent word can be frequent
+        two, n2 = _grouped([w.lang[often], w.at[often], _following(w, 1)[often]], [len(w.langs), size, size], None)
+        two, n2 = two[:, (two[2] > 0) & (n2 >= least)], n2[(two[2] > 0) & (n2 >= least)]
+        one, n1 = one[n1 >= least], n1[n1 >= least]
+        keys = [hashes.of(one // size, one % size), hashes.of(*two), np.zeros(len(w.langs), np.uint64)]
+        langs = pa.concat_arrays([pa.nulls(len(one) + len(n2), pa.large_binary()), w.langs])
+        n = np.concatenate([n1, n2, np.bincount(w.lang, minlength=len(w.langs))]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), _strings(langs), pa.array(n)], names=["prefix", "lang", "n"])
+
+
+def _strings(column: pa.Array) -> pa.Array:
+    return column.cast(pa.large_string()).cast(pa.string())
 
 
 @dataclass
@@ -157,11 +199,17 @@ class Partition:
     groups: int
     hot: np.ndarray
 
-    def split(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def split(self, found: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Group of each suffix, and whether its first word and its first two are spread over groups."""
-        hot1 = _in_sorted(self.hot, h[0])
-        hot2 = hot1 & _in_sorted(self.hot, h[1])
-        key = np.where(hot2, h[2], np.where(hot1, h[1], h[0]))
+        hashes = Hashes(found.langs, found.words)
+        key = hashes.of(*found.rows[:2])
+        hot1 = _in_sorted(self.hot, key)
+        hot2 = np.zeros(len(key), bool)
+        at = np.flatnonzero(hot1)
+        key[at] = _mixed(key[at], hashes.word[found.rows[2, at]])
+        at = at[_in_sorted(self.hot, key[at])]
+        hot2[at] = True
+        key[at] = _mixed(key[at], hashes.word[found.rows[3, at]])
         return (key % np.uint64(self.groups)).astype(np.int64), hot1, hot2
 
 
@@ -182,13 +230,19 @@ def partition(rows: DataFrame, budget: int = GROUP_SUFFIXES) -> tuple[Partition,
 
 def _packed(found: Suffixes, rows: np.ndarray) -> list:
     """Some suffixes of one language as one row: its words, and the numbers in them."""
-    parts = found.rows[1:, rows]
-    used, at = np.unique(parts, return_inverse=True)
-    none = bool(len(used)) and used[0] == 0
-    words = found.words.take(pa.array(used[1 if none else 0 :] - 1)).to_pylist()
-    at = at.reshape(parts.shape) + (0 if none else 1)
-    kind = "<u2" if len(used) < 65535 else "<u4"
-    return [b" ".join(words), at.astype(kind).tobytes(), found.count[rows].astype("<u4" if len(rows) and found.count[rows].max() < 1 << 32 else "<u8").tobytes()]
+    parts = pa.array(found.rows[1:, rows].ravel()).dictionary_encode()
+    used, at = _numbers(parts.dictionary), _numbers(parts.indices)
+    zero = np.flatnonzero(used == 0)
+    if len(zero):  # no word keeps the number 0
+        at = np.where(at == zero[0], 0, at + (at < zero[0]))
+        used = np.delete(used, zero[0])
+    else:
+        at = at + 1
+    words = found.words.take(pa.array(used - 1))
+    words = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", words.type))
+    count = found.count[rows]
+    wide = "<u1" if count.max() < 256 else "<u4" if count.max() < 1 << 32 else "<u8"
+    return [words[0].as_py(), at.astype("<u2" if len(used) < 65535 else "<u4").tobytes(), count.astype(wide).tobytes()]
 
 
 SENT = "grp long, lang string, suffixes int, words binary, paths binary, counts binary"
@@ -201,15 +255,15 @@ def _sent(batches, how: Partition):
         found = suffixes(batch.column("lang"), batch.column("text"))
         if not len(found.count):
             continue
-        group = how.split(_prefixes(found))[0]
-        lang = found.rows[0]
-        order = np.lexsort((lang, group))  # stable, so suffixes stay in their order
-        cut = np.flatnonzero(np.diff(group[order]) | np.diff(lang[order])) + 1
+        group, lang = how.split(found)[0], found.rows[0]
+        key = group * len(found.langs) + lang
+        order = np.argsort(key.astype(np.min_scalar_type(how.groups * len(found.langs))), kind="stable")  # suffixes stay in their order
+        cut = np.flatnonzero(np.diff(key[order])) + 1
         out = []
         for part in np.split(order, cut):
             for lo in range(0, len(part), PACK_ROWS):
                 piece = part[lo : lo + PACK_ROWS]
-                out.append([int(group[piece[0]]), found.langs[int(lang[piece[0]])].as_py(), len(piece), *_packed(found, piece)])
+                out.append([int(group[piece[0]]), found.langs[int(lang[piece[0]])].as_py().decode(), len(piece), *_packed(found, piece)])
         for lo in range(0, len(out), 256):
             cols = list(zip(*out[lo : lo + 256]))
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -224,11 +278,11 @@ def _unpacked(rows: list) -> Suffixes:
         n = r["suffixes"]
         path = np.frombuffer(r["paths"], "<u2" if len(r["paths"]) == 6 * n else "<u4").reshape(3, n).astype(np.int64)
         paths.append(np.vstack([np.full((1, n), i), np.where(path > 0, path + seen, 0)]))
-        counts.append(np.frombuffer(r["counts"], "<u4" if len(r["counts"]) == 4 * n else "<u8").astype(np.int64))
+        counts.append(np.frombuffer(r["counts"], f"<u{len(r['counts']) // n}").astype(np.int64))
         words += mine
         seen += len(mine)
-        langs.append(r["lang"])
-    return _merged(pa.array(langs, pa.large_string()), pa.array(words, pa.large_binary()), np.hstack(paths), np.concatenate(counts))
+        langs.append(r["lang"].encode())
+    return _merged(pa.array(langs, pa.large_binary()), pa.array(words, pa.large_binary()), np.hstack(paths), np.concatenate(counts))
 
 
 def _joined(a: Suffixes | None, b: Suffixes) -> Suffixes:
@@ -246,22 +300,23 @@ NODES = "lang string, w1 string, w2 string, w3 string, f long, part boolean"
 def _nodes(tree: Suffixes, how: Partition, least: int):
     """The nodes of a subtree: a phrase of one to three words and the leaves under it. Of a prefix
     that other groups share any number counts (``part``), of others ``least`` or more."""
-    _, hot1, hot2 = how.split(_prefixes(tree))
+    _, hot1, hot2 = how.split(tree)
     shared = [hot1, hot2, np.zeros(len(hot1), bool)]
+    new = np.zeros(len(hot1), bool)  # a suffix that begins a node; those under a node are a run
+    new[0] = True
+    new[1:] = tree.rows[0, 1:] != tree.rows[0, :-1]
     for depth in (1, 2, 3):
-        have = np.flatnonzero(tree.rows[depth] > 0)
-        if not len(have):
+        new[1:] |= tree.rows[depth, 1:] != tree.rows[depth, :-1]
+        at = np.flatnonzero(new)
+        f = np.add.reduceat(tree.count, at)
+        part = shared[depth - 1][at]
+        keep = (tree.rows[depth, at] > 0) & (part | (f >= least))
+        at, f, part = at[keep], f[keep], part[keep]
+        if not len(at):
             continue
-        path = tree.rows[: depth + 1, have]  # suffixes are sorted, so those under a node are a run
-        new = np.concatenate([[0], np.flatnonzero((np.diff(path, axis=1) != 0).any(axis=0)) + 1])
-        f = np.add.reduceat(tree.count[have], new)
-        part = shared[depth - 1][have[new]]
-        keep = np.flatnonzero(part | (f >= least))
-        path = path[:, new[keep]]
-        words = [tree.words.take(pa.array(path[j] - 1)).cast(pa.large_string()).cast(pa.string()) if j <= depth else pa.nulls(len(keep), pa.string()) for j in (1, 2, 3)]
+        words = [_strings(tree.words.take(pa.array(tree.rows[j, at] - 1))) if j <= depth else pa.nulls(len(at), pa.string()) for j in (1, 2, 3)]
         yield pa.RecordBatch.from_arrays(
-            [tree.langs.take(pa.array(path[0])).cast(pa.string()), *words, pa.array(f[keep]), pa.array(part[keep])],
-            names=[x.split()[0] for x in NODES.split(", ")])
+            [_strings(tree.langs.take(pa.array(tree.rows[0, at]))), *words, pa.array(f), pa.array(part)], names=[x.split()[0] for x in NODES.split(", ")])
 
 
 def _subtrees(batches, how: Partition, least: int, held_rows: int):
@@ -327,7 +382,6 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     word is cut or dropped however long a text is. Empty tables give an empty result. Numbers are
     exact: scores are worked out in decimals of 38 digits, enough for ``a`` below 10^15."""
     counts, words = phrase_counts(docs, lang, text, least, budget)
-    whole = lambda c: F.col(c).cast("decimal(15,0)")
     score = lambda a, l, r: F.expr(f"(cast(1000000 as decimal(7,0)) * (cast({a} as decimal(15,0)) * cast({a} as decimal(15,0)))) div (cast({l} as decimal(15,0)) * cast({r} as decimal(15,0)))")
     one = counts.filter("w2 IS NULL").select("lang", "w1", "f")
     two = counts.filter("w2 IS NOT NULL AND w3 IS NULL").select("lang", "w1", "w2", "f")
