@@ -24,8 +24,8 @@ LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases returned for a language
 COVERED = 50  # percent of a candidate's occurrences inside a longer one from which it goes
 CHUNK_BYTES = 16 << 20  # text whose suffixes are counted together before they are sent
-GROUP_SUFFIXES = 2_000_000  # suffixes of a group: what one subtree is built from
-HELD_SUFFIXES = 4_000_000  # distinct suffixes read before they are merged into the subtree
+GROUP_SUFFIXES = 1_000_000  # suffixes of a group: what one subtree is built from
+HELD_SUFFIXES = 500_000  # suffixes read before they are merged into the subtree
 PACK_ROWS = 8192  # suffixes in one row
 HOT_SHARE = 2.0**-15  # of all words: a prefix with as many may be too frequent for one group
 SALTS = 64  # parts of a language whose best phrases are found first
@@ -270,19 +270,16 @@ def _sent(batches, how: Partition):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def _unpacked(rows: list) -> Suffixes:
+def _unpacked(rows: pa.RecordBatch) -> Suffixes:
     """Rows of :func:`_packed` as one set of suffixes, with equal ones merged."""
-    words, paths, counts, langs, seen = [], [], [], [], 0
-    for i, r in enumerate(rows):
-        mine = r["words"].split(b" ") if r["words"] else []
-        n = r["suffixes"]
-        path = np.frombuffer(r["paths"], "<u2" if len(r["paths"]) == 6 * n else "<u4").reshape(3, n).astype(np.int64)
-        paths.append(np.vstack([np.full((1, n), i), np.where(path > 0, path + seen, 0)]))
-        counts.append(np.frombuffer(r["counts"], f"<u{len(r['counts']) // n}").astype(np.int64))
-        words += mine
-        seen += len(mine)
-        langs.append(r["lang"].encode())
-    return _merged(pa.array(langs, pa.large_binary()), pa.array(words, pa.large_binary()), np.hstack(paths), np.concatenate(counts))
+    words = pc.split_pattern(rows.column("words").cast(pa.large_binary()), b" ")
+    before = np.cumsum(_numbers(pc.list_value_length(words)))
+    paths, counts = [], []
+    for i, (n, path, count) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("suffixes", "paths", "counts")))):
+        path = np.frombuffer(path, f"<u{len(path) // (3 * n)}").reshape(3, n).astype(np.int64)
+        paths.append(np.vstack([np.full((1, n), i), np.where(path > 0, path + (before[i - 1] if i else 0), 0)]))
+        counts.append(np.frombuffer(count, f"<u{len(count) // n}").astype(np.int64))
+    return _merged(rows.column("lang").cast(pa.large_binary()), words.flatten(), np.hstack(paths), np.concatenate(counts))
 
 
 def _joined(a: Suffixes | None, b: Suffixes) -> Suffixes:
@@ -319,26 +316,29 @@ def _nodes(tree: Suffixes, how: Partition, least: int):
             [_strings(tree.langs.take(pa.array(tree.rows[0, at]))), *words, pa.array(f), pa.array(part)], names=[x.split()[0] for x in NODES.split(", ")])
 
 
+def _pieces(batches, most: int):
+    """(group, rows): the rows of a group in pieces of about ``most`` suffixes."""
+    for batch in batches:
+        group, size = batch.column("grp").to_numpy(), np.cumsum(batch.column("suffixes").to_numpy().astype(np.int64))
+        lo = 0
+        while lo < len(group):
+            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right"))
+            hi = min(max(hi, lo + 1), int(np.searchsorted(group, group[lo], "right")))
+            yield int(group[lo]), batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _subtrees(batches, how: Partition, least: int, held_rows: int):
     """Packed suffixes sorted by group to the nodes of each group's subtrees.
 
-    What is read is merged into the subtree whenever ``held_rows`` suffixes have come, so a task
-    holds the distinct suffixes of a group, however often they occur."""
-    group, tree, held, rows = None, None, [], 0
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["grp"] != group:
-                if held:
-                    tree = _joined(tree, _unpacked(held))
-                if tree is not None:
-                    yield from _nodes(tree, how, least)
-                group, tree, held, rows = r["grp"], None, [], 0
-            held.append(r)
-            rows += r["suffixes"]
-            if rows >= held_rows:
-                tree, held, rows = _joined(tree, _unpacked(held)), [], 0
-    if held:
-        tree = _joined(tree, _unpacked(held))
+    What is read is merged into the subtree piece by piece, so a task holds the distinct suffixes
+    of a group, however often they occur."""
+    group, tree = None, None
+    for now, rows in _pieces(batches, held_rows):
+        if now != group and tree is not None:
+            yield from _nodes(tree, how, least)
+            tree = None
+        group, tree = now, _joined(tree, _unpacked(rows))
     if tree is not None:
         yield from _nodes(tree, how, least)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, collocations, langid, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
+from marketlens.llm import chat, collocations, langid, lexical, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
 from marketlens.session import ship_package
 
@@ -167,3 +167,22 @@ _PHRASE_F = """
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored) JOIN n USING (lang) WHERE rank <= 2000""")
 def op11(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+_TERMS = rf"regexp_extract_all({ascii_lower('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_lexical", f"""
+  WITH t AS (SELECT doc_id, unnest({_TERMS}) AS w FROM documents),
+  tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+  dn AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+  g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM dn),
+  df AS (SELECT w, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, g GROUP BY w, nn),
+  it AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS w FROM benchmark),
+  m AS (SELECT doc_id, 10 + (90 * n * nn) // ll AS m FROM dn, g),
+  s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM it JOIN df USING (w) JOIN tf USING (w) JOIN m USING (doc_id) GROUP BY ALL)
+  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
+def op12(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
