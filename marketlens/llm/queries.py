@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, collocations, langid, lexical, licenses, multiset, packing, pitman_yor, simhash, toxicity, urls, winnowing
+from marketlens.llm import chat, collocations, langid, lexical, licenses, multiset, neighbours, packing, pitman_yor, simhash, toxicity, urls, winnowing
 from marketlens.llm.letters import remainder
 from marketlens.session import ship_package
 
@@ -186,3 +186,13 @@ _TERMS = rf"regexp_extract_all({ascii_lower('text')}, '[^\x00-\x2F\x3A-\x40\x5B-
   FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
 def op12(spark, sf_dir):
     return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_neighbours")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = neighbours.training_rows(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    found = neighbours.scored(docs, neighbours.train(rows, neighbours.rarity(docs)))
+    return found.select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
