@@ -66,7 +66,22 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     survives any executor, and can be read by column."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that :func:`stored` returned, once all that read them is written
+    as well; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            remove_folder(df.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> None:
