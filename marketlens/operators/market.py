@@ -379,8 +379,25 @@ class Filters:
         )
 
 
-def report(terms: DataFrame, details: DataFrame, unconfirmed: DataFrame, filters: Filters, order: list[Column]) -> dict[str, DataFrame]:
-    """The tables of an export, all under the same filters.
+# Sort orders by the names they have on screen.
+FEWEST_APPROVALS, MOST_RECENT = "Fewest approvals", "Most recent approval"
+
+
+def sort_orders() -> dict[str, list[Column]]:
+    return {FEWEST_APPROVALS: fewest_approvals(), MOST_RECENT: most_recent()}
+
+
+def search_info(terms: DataFrame, filters: Filters, order: str, at: str) -> DataFrame:
+    """``(setting, value)``, how an export came about: when, the sort order, the state of every filter,
+    and a row for each biomarker that was searched."""
+    when = terms.sparkSession.createDataFrame([("searched_at", at), ("sort_order", order)], "setting string, value string")
+    asked = terms.select(F.lit("biomarker").alias("setting"), F.col("term").alias("value"))
+    return when.unionByName(filters.settings(terms.sparkSession)).unionByName(asked)
+
+
+def report(terms: DataFrame, details: DataFrame, unconfirmed: DataFrame, filters: Filters, order: str, at: str) -> dict[str, DataFrame]:
+    """The tables of an export, all under the same filters and in the order named (one of
+    :func:`sort_orders`); ``at`` is the time of the search as it is to be shown.
 
     ``details`` are confirmed facts with device columns, ``unconfirmed`` inferred ones.
     """
@@ -388,8 +405,8 @@ def report(terms: DataFrame, details: DataFrame, unconfirmed: DataFrame, filters
     # The match mode filter is about confirmed matches; inferred ones have modes of their own.
     inferred = replace(filters, match_mode=None).apply(unconfirmed)
     return {
-        "search_info": filters.settings(terms.sparkSession),
-        "summary": rank_terms(summarise(terms, shown), order),
+        "search_info": search_info(terms, filters, order, at),
+        "summary": rank_terms(summarise(terms, shown), sort_orders()[order]),
         "biomarker_applicants": biomarker_applicants(terms, shown),
         "details": record_rows(shown),
         "unconfirmed_matches": unconfirmed_matches(inferred),

@@ -162,12 +162,17 @@ def publish(df: DataFrame, store: str) -> int:
     return number
 
 
+def complete_versions(spark: SparkSession, store: str) -> list[int]:
+    """Numbers of the versions of a store that were written to their end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    numbers = sorted(int(f[len(_VERSION):]) for f in folders(spark, store) if f.startswith(_VERSION))
+    marks = [(n, path(f"{store}/{_VERSION}{n}/_SUCCESS")) for n in numbers]
+    return [n for n, mark in marks if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)]
+
+
 def published(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
     """A version of a store, by default the last complete one."""
-    numbers = sorted((int(f[len(_VERSION):]) for f in folders(spark, store) if f.startswith(_VERSION)), reverse=True)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for n in numbers if version is None else [version]:
-        mark = path(f"{store}/{_VERSION}{n}/_SUCCESS")
-        if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
-            return spark.read.parquet(f"{store}/{_VERSION}{n}")
-    raise FileNotFoundError(f"no complete version in {store}")
+    numbers = complete_versions(spark, store)
+    if not numbers or version is not None and version not in numbers:
+        raise FileNotFoundError(f"no complete version in {store}")
+    return spark.read.parquet(f"{store}/{_VERSION}{numbers[-1] if version is None else version}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.operators import store as st
+from marketlens.operators.commits import Change
 from marketlens.operators.documents import citation_edges, mine_documents
 from marketlens.operators.market import PANELS_IN_SCOPE
 from marketlens.operators.store import latest_wins
@@ -125,33 +126,41 @@ def refresh_corpus(documents: DataFrame, text_store: str, citation_store: str, c
 
 
 def fold_version(store: str, updates: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """Upsert into a published store, or begin it, and return the new version."""
+    """Upsert into a published store, or begin it, and return the new version. A store whose first
+    write failed has no complete version and is begun."""
     spark = updates.sparkSession
-    if folders(spark, store):
+    if st.complete_versions(spark, store):
         st.publish(st.upsert(st.published(spark, store), updates, keys, order), store)
     else:
         st.publish(latest_wins(updates, keys, order), store)
     return st.published(spark, store)
 
 
+def _folded(change: Change, store: str, updates: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    held = change.read(store)
+    return change.put(store, latest_wins(updates, keys, order) if held is None else st.upsert(held, updates, keys, order))
+
+
 def refresh_all(records: DataFrame, landed: DataFrame, base: str, order: list[str | Column],
                 panels: list[str] = PANELS_IN_SCOPE, retry_errors: bool = False) -> DataFrame:
     """The whole refresh as one job: devices in scope, documents still to do, what is mined from
     them, and how far the corpus is covered.
 
     ``records`` are clearance records, ``landed(k_number, full_text, fetch_error, ...)`` the texts
-    at hand, of which the latest by ``order`` counts. The published stores ``devices``,
-    ``documents`` and ``citations`` in ``base`` go one version on. Documents mined before are not
-    read again; failed ones only if asked for.
+    at hand, of which the latest by ``order`` counts. The stores ``devices``, ``documents`` and
+    ``citations`` in ``base`` go on in one commit, so a document is never marked done without its
+    citations. Documents mined before are not read again; failed ones only if asked for.
     """
     spark = records.sparkSession
-    devices = fold_version(f"{base}/devices", st.device_rows(scope_corpus(records, panels), "510k"), ["k_number"], ["source"])
-    known = landed.select("k_number", "fetch_error").limit(0)
-    if folders(spark, f"{base}/documents"):
-        known = st.published(spark, f"{base}/documents")
+    change = Change(spark, base)
+    devices = _folded(change, "devices", st.device_rows(scope_corpus(records, panels), "510k"), ["k_number"], ["source"])
+    known = change.read("documents")
+    if known is None:
+        known = landed.select("k_number", "fetch_error").limit(0)
     todo = st.pending_documents(devices, known, panels, retry_errors)
     new = latest_wins(landed.join(broadcast_if_small(stored(todo, "todo")), "k_number", "left_semi"), ["k_number"], order)
     mined = stored(mine_documents(new), "mined")
-    documents = fold_version(f"{base}/documents", mined, ["k_number"], ["k_number"])
-    fold_version(f"{base}/citations", citation_edges(mined), ["device_k", "predicate_k"], ["predicate_name"])
+    documents = _folded(change, "documents", mined, ["k_number"], ["k_number"])
+    _folded(change, "citations", citation_edges(mined), ["device_k", "predicate_k"], ["predicate_name"])
+    change.commit()
     return st.corpus_coverage(devices, documents)

@@ -93,7 +93,7 @@ def test_filters_apply_together(spark, terms, devices):
     assert shown and {(r["panel"], r["applicant"]) for r in shown} == {("IM", "Acme")}
     one = mk.Filters(match_mode=shown[0]["match_mode"]).apply(details).collect()
     assert one and {r["match_mode"] for r in one} == {shown[0]["match_mode"]}
-    tables = mk.report(terms.select("term"), details, details.limit(0).withColumn("confidence", F.lit("inferred")).withColumn("via_k_number", F.lit("")), filters, mk.fewest_approvals())
+    tables = mk.report(terms.select("term"), details, details.limit(0).withColumn("confidence", F.lit("inferred")).withColumn("via_k_number", F.lit("")), filters, mk.FEWEST_APPROVALS, "2024-05-06")
     assert tables["summary"].agg(F.sum("total_submissions")).first()[0] == len(shown)
     assert {(r["setting"], r["value"]) for r in tables["search_info"].collect()} >= {("panels", "IM"), ("from_month", "All"), ("applicant", "Acme")}
 

@@ -259,12 +259,13 @@ CTE["v_shown_totals"] = (["v_sub_terms", "v_shown"], """
       coalesce(array_to_string(list_sort(list_distinct(list(applicant) FILTER (WHERE applicant IS NOT NULL))), ';'), '') AS names
     FROM v_sub_terms t LEFT JOIN v_shown USING (term) GROUP BY 1""")
 CTE["v_list_hits"] = (["v_list_rows"], """
-    SELECT t.term, r.p_partkey FROM (SELECT DISTINCT p_name AS term FROM part) t JOIN v_list_rows r
-    ON len(list_intersect(string_split(t.term, ' '), string_split(lower(r.analyte), ' '))) > 0""")
+    SELECT DISTINCT term, p_partkey FROM (SELECT DISTINCT p_name AS term, unnest(string_split(p_name, ' ')) AS word FROM part)
+    JOIN (SELECT p_partkey, unnest(string_split(lower(analyte), ' ')) AS word FROM v_list_rows) USING (word)""")
 
 
 @query("a14_export_tables", """
-  SELECT 'search_info' AS sheet, unnest(['panels|All', 'from_month|1993-02', 'to_month|1997-10', 'applicant|All', 'show_only|RING; 1', 'exclude_panels|LOW', 'match_mode|All']) AS line
+  SELECT 'search_info' AS sheet, unnest(['searched_at|2024-05-06 07:08', 'sort_order|Fewest approvals', 'panels|All', 'from_month|1993-02', 'to_month|1997-10', 'applicant|All', 'show_only|RING; 1', 'exclude_panels|LOW', 'match_mode|All']) AS line
+  UNION ALL SELECT 'search_info', 'biomarker|' || term FROM v_sub_terms
   UNION ALL SELECT 'summary', concat_ws('|', row_number() OVER (ORDER BY c, term), term, n, c, a, coalesce(CAST(latest AS VARCHAR), '-'), CASE WHEN n > 0 THEN 'exact' ELSE 'exact' END) FROM v_shown_totals
   UNION ALL SELECT 'biomarker_applicants', concat_ws('|', term, n, a, names) FROM v_shown_totals
   UNION ALL SELECT 'details', concat_ws('|', term, k_number, device_name, coalesce(applicant, '-'), decision_description, CAST(decision_date AS VARCHAR),
@@ -273,7 +274,7 @@ CTE["v_list_hits"] = (["v_list_rows"], """
     FROM v_matches JOIN v_sub_devices d USING (k_number) WHERE confidence = 'inferred' AND decision_date BETWEEN DATE '1993-02-01' AND DATE '1997-10-31'
     AND (panel IS NULL OR panel <> 'LOW') AND (lower(term) LIKE '%ring%' OR lower(applicant) LIKE '%1%')
   UNION ALL SELECT 'lab_test_summary', concat_ws('|', term, count(h.p_partkey)) FROM (SELECT DISTINCT p_name AS term FROM part) t LEFT JOIN v_list_hits h USING (term) GROUP BY term
-  UNION ALL SELECT 'lab_test_details', concat_ws('|', term, p_partkey) FROM v_list_hits""", ("v_shown", "v_shown_totals", "v_matches", "v_sub_devices", "v_list_hits"))
+  UNION ALL SELECT 'lab_test_details', concat_ws('|', term, p_partkey) FROM v_list_hits""", ("v_shown", "v_shown_totals", "v_matches", "v_sub_devices", "v_list_hits", "v_sub_terms"))
 def a14(spark, sf):
     """All seven tables of one filtered search, written and read back line by line."""
     terms, details = v.submission_terms(spark, sf), v.submission_details(spark, sf)
@@ -281,7 +282,7 @@ def a14(spark, sf):
     filters = mk.Filters(from_month="1993-02", to_month="1997-10", show_only=("RING", "1"), exclude_panels=("LOW",))
     names = v.table(spark, sf, "part").select(F.concat(F.lit("Anti-"), F.col("p_name"), F.lit(" IgG")).alias("term")).distinct()
     hits = ls.search_listing(names, v.listing_rows(spark, sf).withColumn("facilityName", F.col("status")))
-    tables = mk.report(terms, details, unconfirmed, filters, mk.fewest_approvals()) | listing_tables(names, hits)
+    tables = mk.report(terms, details, unconfirmed, filters, mk.FEWEST_APPROVALS, "2024-05-06 07:08") | listing_tables(names, hits)
     written = export_tables(tables, scratch_dir(spark, "export"), "parquet", {"summary": "rank"})
     plain = tx.antigen_of(F.col("term")).alias("term")
     shown = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
+from marketlens.operators import commits as cm
 from marketlens.operators import documents as docs
 from marketlens.operators import listing as ls
 from marketlens.operators import market as mk
@@ -369,7 +370,8 @@ def i1_corpus(spark, sf):
     texts = v.summary_text(spark, sf)
     rf.refresh_all(records, texts.filter(F.col("l_orderkey") % 2 == 0).drop("l_orderkey"), base, ["full_text"])
     coverage = rf.refresh_all(records, texts.drop("l_orderkey"), base, ["full_text"])
-    edges = st.published(spark, f"{base}/citations").groupBy(F.col("device_k").alias("k_number")).agg(F.count("*").alias("n"))
-    cited = st.published(spark, f"{base}/devices").join(edges, "k_number").groupBy("advisory_committee").agg(
+    last = cm.state(spark, base)
+    edges = last.read(spark, "citations").groupBy(F.col("device_k").alias("k_number")).agg(F.count("*").alias("n"))
+    cited = last.read(spark, "devices").join(edges, "k_number").groupBy("advisory_committee").agg(
         F.count("*").alias("citing"), F.sum("n").alias("citations"))
     return coverage.join(cited, "advisory_committee", "left").fillna(0, ["citing", "citations"])
