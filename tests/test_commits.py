@@ -46,8 +46,8 @@ def _kill_at(monkeypatch, step):
     """The job dies after its ``step``-th folder is written, or at the last before its manifest is."""
     done, written, placed = [], cm.Change._written, cm._put_in_place
 
-    def dying(self, store, df):
-        folder = written(self, store, df)
+    def dying(self, store, df, *by):
+        folder = written(self, store, df, *by)
         done.append(store)
         if len(done) == step:
             raise Killed

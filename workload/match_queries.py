@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import evidence as ev
 from marketlens.operators import graph as gr
+from marketlens.operators import index as ix
 from marketlens.operators import matching as m
 from marketlens.operators import resolve as rs
 from marketlens.plans import tiers as pl
-from marketlens.session import cut_lineage
+from marketlens.session import cut_lineage, scratch_dir
 from workload import views as v
 from workload.registry import query
 from workload.sql import norm
@@ -98,6 +99,33 @@ def e2_large(spark, sf):
     return m.tier_waterfall(m.union_tiers(sat)).select("term_id", "k_number", "match_mode")
 
 
+def _indexed(spark, sf):
+    """An index of the devices, added in two deltas; the second replaces some of the first, whose
+    texts were others then."""
+    devices, base = v.devices(spark, sf), scratch_dir(spark, "index")
+    late = F.pmod(F.xxhash64("k_number"), F.lit(3)) == 0
+    old = devices.filter(late).withColumn("device_name", F.concat(F.lit("former "), "device_name"))
+    ix.add(spark, base, devices.filter(~late).unionByName(old))
+    return ix.add(spark, base, devices.filter(late))
+
+
+@query("c8_indexed_phrase_hits", f"""
+  SELECT term_id AS phrase_id, k_number, field FROM (
+    SELECT term_id, k_number, unnest(list_filter([0, 1, 2], lambda i: contains([f1, f2, f3][i + 1], p))) AS field
+    FROM (SELECT term_id, {norm('term')} AS p FROM v_terms), v_texts WHERE p <> ' ')""", ("v_terms", "v_texts"))
+def c8_indexed(spark, sf):
+    """From a kept positional index; no text is normalised or moved by the search."""
+    phrases = v.terms(spark, sf).select(F.col("term_id").alias("phrase_id"), F.col("term").alias("phrase"))
+    return ix.phrase_hits(spark, _indexed(spark, sf), phrases)
+
+
+@query("e2_indexed_tier_waterfall", "SELECT term_id, k_number, label AS match_mode FROM v_match", ("v_match",))
+def e2_indexed(spark, sf):
+    """All tiers from the kept index."""
+    sat = ix.satisfied_clauses(spark, _indexed(spark, sf), pl.compile_terms(v.terms(spark, sf)))
+    return m.tier_waterfall(m.union_tiers(sat)).select("term_id", "k_number", "match_mode")
+
+
 def _untidy(spark, sf):
     """Records with keys that are missing or name several of them."""
     key = F.when(F.col("doc_id") % 3 > 0, F.expr("printf('K%06d', doc_id - doc_id % 5)"))
