@@ -9,18 +9,24 @@ from marketlens.functions import text as tx
 from marketlens.session import broadcast_if_small, folders, stored
 
 
-def latest_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+def latest_wins(df: DataFrame, keys: list[str], order: list[str | Column], narrow: bool = False) -> DataFrame:
     """One row per key: the greatest by ``order``, which says what "latest" means.
 
     Rows with a null in their key name nothing and are dropped; for all stores this is the place
     where that is decided. Equal rows by ``order`` are settled by a hash of the row, so that runs
     agree. The winner is found on keys, order and a row number alone, in a partial aggregate: a
     key that holds a third of all rows never meets in one task, and texts are neither sorted nor
-    aggregated but read once more for the rows that won.
+    aggregated but read once more for the rows that won. ``narrow`` says that rows are a few short
+    values: these go through the partial aggregate whole, and nothing is written. Both ways give
+    the same rows.
     """
     if not order:
         raise ValueError("say by which columns a copy is later than another")
     named = df.dropna(subset=keys)
+    if narrow:
+        by = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
+        last = F.max_by(F.struct(*df.columns), F.struct(*by, F.xxhash64(*df.columns))).alias("_last")
+        return named.groupBy(*keys).agg(last).select("_last.*")
     marked = named.withColumn("_h", F.xxhash64(*df.columns)).withColumn("_row", F.monotonically_increasing_id())
     placed = stored(marked, "copies")
     ranked = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
@@ -34,7 +40,7 @@ def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str],
-           order: list[str | Column]) -> DataFrame:
+           order: list[str | Column], narrow: bool = False) -> DataFrame:
     """Insert or replace by key; every column of a replaced row is overwritten.
 
     ``order`` settles copies of a key among the updates; its columns may be ones that the store
@@ -43,9 +49,9 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str],
     ``existing`` is already unique by key, so it is only anti-joined, never regrouped:
     when the updates are measured to be small, the stored table is not shuffled at all.
     The reduced updates are used for the measure, the join and the result, and are
-    therefore worked out once.
+    therefore worked out once. ``narrow`` as for :func:`latest_wins`.
     """
-    new = stored(latest_wins(updates, keys, order).select(*existing.columns), "updates")
+    new = stored(latest_wins(updates, keys, order, narrow).select(*existing.columns), "updates")
     kept = existing.join(broadcast_if_small(new.select(*keys)), keys, "left_anti")
     return kept.select(*existing.columns).unionByName(new)
 
@@ -79,17 +85,17 @@ def upsert_document_text(existing: DataFrame, updates: DataFrame, order: list[st
 
 def upsert_citations(existing: DataFrame, updates: DataFrame, order: list[str | Column]) -> DataFrame:
     """Edges that a document no longer names stay in place."""
-    return upsert(existing, updates, ["device_k", "predicate_k"], order)
+    return upsert(existing, updates, ["device_k", "predicate_k"], order, narrow=True)
 
 
 def upsert_expansions(cache: DataFrame, updates: DataFrame, order: list[str | Column]) -> DataFrame:
     """Negative answers (``source = 'none'``) are kept like any other."""
-    return upsert(cache, updates, ["term_key"], order)
+    return upsert(cache, updates, ["term_key"], order, narrow=True)
 
 
 def mark_searched(searched: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
     marks = keys.select("term_key").distinct().withColumn("searched_at", at)
-    return upsert(searched, marks, ["term_key"], ["searched_at"])
+    return upsert(searched, marks, ["term_key"], ["searched_at"], narrow=True)
 
 
 def replace_matches(store: DataFrame, matches: DataFrame, searched_keys: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def replace_matches(store: DataFrame, matches: DataFrame, searched_keys: DataFra
     gone = broadcast_if_small(stored(searched_keys.select("biomarker_key").distinct(), "searched"))
     kept = store.join(gone, "biomarker_key", "left_anti").select(*store.columns)
     fresh = latest_wins(
-        matches.select(*store.columns), ["k_number", "biomarker_key", "match_mode"], ["confidence", "via_k_number"]
+        matches.select(*store.columns), ["k_number", "biomarker_key", "match_mode"], ["confidence", "via_k_number"], narrow=True
     )
     return kept.unionByName(fresh.select(*store.columns))
 

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,14 @@ def test_mark_searched(spark):
 def test_relabel(spark):
     df = spark.createDataFrame([("expansion", "local-llm"), ("expansion", "umls"), ("exact", "umls")], "m string, s string")
     assert [r[0] for r in df.select(tx.relabel_mode(F.col("m"), F.col("s"))).collect()] == ["ai-suggested", "umls", "exact"]
+
+
+def test_narrow_rows_win_as_wide_ones(spark):
+    draw = random.Random(4)
+    pick = lambda *x: draw.choice(x)
+    rows = [(pick("a", "b", None, f"c{i % 9}"), pick(1, 2, None), pick("x", "", None, f"y{i % 5}")) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "k string, t int, v string").repartition(5)
+    for order in (["t"], [-F.col("t"), "v"], [F.lit(0)]):
+        got, want = (st.latest_wins(df, ["k"], order, narrow=n) for n in (True, False))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert st.latest_wins(df.limit(0), ["k"], ["t"], narrow=True).count() == 0
