@@ -84,6 +84,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files of a frame that :func:`stored` returned; no job is run."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in tasks, also where it is not installed on the workers: it
     is sent once per session as ``addPyFile`` sends a file."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marketlens.operators import standing as sd
 from marketlens.operators import store as st
 from marketlens.operators.commits import Change
 from marketlens.operators.documents import citation_edges, mine_documents
@@ -125,6 +126,21 @@ def refresh_corpus(documents: DataFrame, text_store: str, citation_store: str, c
     )
 
 
+def follow(records: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
+    """Let a stream of records meet the standing searches in ``base``, until the input is used up.
+    A batch goes by its stream's name and number, so that a retried one is not folded again."""
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        sd.fold(batch.sparkSession, base, batch, f"{_run_of(batch)}/{batch_id}")
+
+    return (
+        records.writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def fold_version(store: str, updates: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Upsert into a published store, or begin it, and return the new version. A store whose first
     write failed has no complete version and is begun."""

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketlens.operators import citing as ci
+from marketlens.operators import commits as cm
 from marketlens.operators import evidence as ev
 from marketlens.operators import graph as gr
 from marketlens.operators import index as ix
 from marketlens.operators import matching as m
 from marketlens.operators import resolve as rs
+from marketlens.operators import standing as sd
 from marketlens.plans import tiers as pl
 from marketlens.session import cut_lineage, scratch_dir
+from marketlens.streaming import refresh as rf
 from workload import views as v
 from workload.registry import query
 from workload.sql import norm
@@ -126,6 +130,41 @@ def e2_indexed(spark, sf):
     return m.tier_waterfall(m.union_tiers(sat)).select("term_id", "k_number", "match_mode")
 
 
+def _standing(spark, sf):
+    """Terms watched before and after devices arrive in three batches; every second device came with
+    another name first. Returns the folder and the number of the commit before the last batch."""
+    base, devices, terms = scratch_dir(spark, "standing"), v.devices(spark, sf), v.terms(spark, sf)
+    part = lambda n, key: F.pmod(F.xxhash64(key), F.lit(n))
+    early = devices.withColumn("device_name", F.concat(F.lit("antibody "), "device_name"))
+    landed = f"{base}/landed"
+    sd.watch(spark, base, terms.filter(part(2, "term_id") == 0))
+    early.filter(part(2, "k_number") == 0).coalesce(1).write.parquet(f"{landed}/0")
+    sd.fold(spark, base, spark.read.schema(devices.schema).parquet(f"{landed}/0"))
+    sd.watch(spark, base, terms.filter(part(2, "term_id") == 1))
+    before = cm.state(spark, base).number
+    devices.repartition(2, part(2, "k_number")).write.parquet(f"{landed}/1")
+    stream = spark.readStream.schema(devices.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/1")
+    rf.follow(stream, base, f"{base}/progress").awaitTermination()
+    return base, before
+
+
+@query("i2_standing_searches", "SELECT term_id, k_number, label AS match_mode FROM v_match", ("v_match",))
+def i2(spark, sf):
+    """Kept searches met by new and by changed devices, batch by batch: as one search over all."""
+    base, _ = _standing(spark, sf)
+    return sd.matches(spark, cm.state(spark, base)).select("term_id", "k_number", "match_mode")
+
+
+@query("i2_standing_changes", "SELECT term_id, k_number, label AS now FROM v_match", ("v_match",))
+def i2_changes(spark, sf):
+    """The matches before the last batches with what has changed since put in."""
+    base, before = _standing(spark, sf)
+    keys = ["term_id", "k_number"]
+    held = sd.matches(spark, cm.state(spark, base, before)).select(*keys, F.col("match_mode").alias("now"))
+    news = sd.changed(spark, base, before)
+    return held.join(news, keys, "left_anti").unionByName(news.filter("now IS NOT NULL").select(*keys, "now"))
+
+
 def _untidy(spark, sf):
     """Records with keys that are missing or name several of them."""
     key = F.when(F.col("doc_id") % 3 > 0, F.expr("printf('K%06d', doc_id - doc_id % 5)"))
@@ -218,6 +257,22 @@ def c5(spark, sf):
     return gr.propagate_citations(v.citation_seeds(spark, sf), cut_lineage(v.edges(spark, sf)))
 
 
+@query("c5_citations_by_change", _HOP_SQL, ("v_hop3",))
+def c5_by_change(spark, sf):
+    """Half of the edges and some seeds that go again, then the others: as if from all at once."""
+    base, some = scratch_dir(spark, "citing"), F.pmod(F.xxhash64("k_number"), F.lit(2)) == 0
+    seeds = v.citation_seeds(spark, sf).select("term_id", "k_number")
+    edges = cut_lineage(v.edges(spark, sf)).select("device_k", "predicate_k")
+    half = F.pmod(F.xxhash64("device_k"), F.lit(2)) == 0
+    wrong = seeds.filter(some).withColumn("term_id", (F.col("term_id") % 7 + 1).cast(seeds.schema["term_id"].dataType))
+    gone = lambda yes: F.lit(yes).alias("gone")
+    turned = edges.filter(~half).select(F.col("predicate_k").alias("device_k"), F.col("device_k").alias("predicate_k"))
+    ci.advance(spark, base, seeds.filter(some).unionByName(wrong).select("*", gone(False)), edges.filter(half).unionByName(turned).select("*", gone(False)))
+    ci.advance(spark, base, seeds.filter(~some).select("*", gone(False)).unionByName(wrong.join(seeds, ["term_id", "k_number"], "left_anti").select("*", gone(True))),
+               edges.select("*", gone(False)).unionByName(turned.join(edges, ["device_k", "predicate_k"], "left_anti").select("*", gone(True))))
+    return ci.reached(spark, cm.state(spark, base))
+
+
 @query("e5_pick_via", """
   SELECT f.term_id, e.device_k AS k_number, min(f.k_number) AS via_k_number
   FROM v_seeds f JOIN v_edges e ON e.predicate_k = f.k_number GROUP BY 1, 2""", ("v_seeds", "v_edges"))
