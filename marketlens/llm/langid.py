@@ -15,6 +15,8 @@ from marketlens.llm.letters import SortedTable, gram_hash, letters, spelled, wor
 ORDER = 5
 DISCOUNT = 0.75
 TRAIN_CHARS = 4_000_000  # characters that one language's model is fitted to (about)
+ALL_CHARS = 64_000_000  # characters that the models of all languages are fitted to, which bounds what the driver holds
+ENOUGH_DOCS = 64  # drawn documents of a language from which some are kept back to calibrate its rejection
 LEAST_SPREAD = 0.15  # of the cost of a letter between documents, in nats
 MOST_ODD = 8.0  # spreads above the mean cost from which a text counts as none of the languages
 UNKNOWN = "und"
@@ -49,7 +51,7 @@ def _gram_counts(batches):
                 seen = np.bincount(number, times[long], len(grams)).astype(np.int64)
                 spelling = own[(full[where] - n + 1)[:, None] + np.arange(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams)), pa.array(np.full(len(grams), n)), pa.array([row.astype("<u4").tobytes() for row in spelling], pa.binary()), pa.array(seen)],
+                    [pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), n)), pa.array([row.astype("<u4").tobytes() for row in spelling], pa.binary()), pa.array(seen)],
                     names=["lang", "n", "gram", "seen"])
 
 
@@ -179,31 +181,42 @@ def _assembled(by_lang: dict[str, dict[int, dict[bytes, int]]]) -> LanguageModel
     return LanguageModels(langs, tables, logs, contexts, backs, floor)
 
 
-def train(docs: DataFrame, only: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_chars: int = TRAIN_CHARS) -> LanguageModels:
+def train(docs: DataFrame, only: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_chars: int = TRAIN_CHARS,
+          all_chars: int = ALL_CHARS) -> LanguageModels:
     """Models of all languages that label documents with letters (null labels are left out).
 
-    A language with more than about ``train_chars`` characters is fitted to documents drawn by a
-    hash of their id; counting is distributed, and the bounded counts make the models. An eighth
-    of the drawn documents is kept back to learn what a letter costs in documents of the
-    language, by which a text can be rejected."""
+    A language with more than about ``train_chars`` characters, or its even share of ``all_chars``,
+    is fitted to documents drawn by a hash of their id, always the one of least hash among them;
+    counting is distributed, and the bounded counts make the models. Of a language with
+    ``ENOUGH_DOCS`` drawn documents an eighth is kept back to learn what a letter costs in its
+    documents, by which a text can be rejected; a language with fewer is learned from all of them
+    and rejects nothing."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if only is not None:
         rows = rows.filter(only)
-    chars = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n")).collect()}
-    if not chars:
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+    size = F.sum(F.length("text").cast("long")).alias("chars")
+    known = sorted(tuple(r) for r in rows.groupBy("lang").agg(size, F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect())
+    if not known:
         return _assembled({})
-    part = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(chars.items()) for x in (k, int((1 << 20) * min(1.0, train_chars / max(1, n))))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
-    drawn = rows.filter(draw < part)
-    kept_back = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8)) == 0
+    most = min(train_chars, all_chars / len(known))
+
+    def of_lang(values):
+        return F.element_at(F.create_map(*[F.lit(x) for (k, *_), v in zip(known, values) for x in (k, v)]), F.col("lang"))
+
+    shares = [min(1.0, most / n) for _, n, *_ in known]
+    drawn = rows.filter((draw < of_lang([int((1 << 40) * x) for x in shares])) | (draw == of_lang([least for *_, least in known])))
+    spare = of_lang([n * x >= ENOUGH_DOCS for x, (_, _, n, _) in zip(shares, known)])
+    kept_back = spare & (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8)) == 0) & (draw != of_lang([least for *_, least in known]))
     counted = drawn.filter(~kept_back).select("text", "lang").mapInArrow(_gram_counts, "lang string, n long, gram binary, seen long")
     counts = counted.groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")).toArrow()
     by_lang: dict = {}
     for k, n, g, c in zip(*(counts.column(x).to_pylist() for x in ("lang", "n", "gram", "seen"))):
         by_lang.setdefault(k, {}).setdefault(n, {})[g] = c
     models = _assembled(by_lang)
-    models.typical = np.tile([2.0, 0.5], (len(models.langs), 1))
+    models.typical = np.tile([0.0, np.inf], (len(models.langs), 1))  # rejects nothing
     if not models.langs:
         return models
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -229,6 +242,11 @@ def train(docs: DataFrame, only: Column | None = None, text: str = "text", lang:
     return models
 
 
+def rejected() -> Column:
+    """Whether a text of :func:`identified` is in none of the learned languages."""
+    return (F.col("lang_pred") == UNKNOWN) | (F.col("lang_odd") > MOST_ODD)
+
+
 def identified(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
     """The frame with ``lang_pred``, ``lang_score`` (0 to 1) and ``lang_odd`` added.
 

@@ -96,7 +96,8 @@ def op8(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identified(docs.select("doc_id", "text"), langid.train(docs, remainder("doc_id", 3) != 1))
-    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+                        F.col("lang_odd").alias("odd"), langid.rejected().alias("rejected"))
 
 
 @query("op9_pitman_yor")

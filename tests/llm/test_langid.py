@@ -1,9 +1,11 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.llm import langid
 from marketlens.llm.letters import letters, remainder, spelled
@@ -95,6 +97,59 @@ def test_nothing_learned(spark, docs):
     assert [(r.lang_pred, r.lang_score) for r in rows] == [("und", 0.0)] * 2
 
 
+def kneser_ney(texts):
+    """Probability of a code after a context by the textbook recursion, from plain counts."""
+    grams = {n: Counter() for n in range(1, langid.ORDER + 1)}
+    for word in (w for t in texts for w in t.split()):
+        codes = "\0" + word + "\0"
+        for end in range(1, len(codes)):
+            for n in range(1, min(langid.ORDER, end + 1) + 1):
+                grams[n][codes[end - n + 1 : end + 1]] += 1
+
+    def count(n):
+        if n == langid.ORDER:
+            return grams[n]
+        before = Counter(g[1:] for g in grams[n + 1])
+        return Counter({g: c if g[0] == "\0" and n > 1 else before[g] for g, c in grams[n].items()})
+
+    counts = {n: count(n) for n in grams}
+
+    def p(code, context):
+        n = len(context) + 1
+        follow = {g: c for g, c in counts[n].items() if g[:-1] == context}
+        lower = p(code, context[1:]) if context else 1 / (len(follow) + 1)
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(follow.get(context + code, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(follow) / total * lower
+
+    return p
+
+
+def test_costs_equal_an_independent_kneser_ney(corpus):
+    some = corpus.filter("doc_id < 24")
+    learned = langid.train(some)
+    asked = ["katomi", "to", "schtei", "verq", "leu", "k"]
+    codes, _, _ = letters(pa.array([" ".join(asked)]))
+    _, words, own = spelled(codes)
+    cost, _ = learned.word_costs(own)
+    for k, lang in enumerate(learned.langs):
+        p = kneser_ney([r.text for r in some.filter(F.col("lang") == lang).collect()])
+        for at, word in enumerate(asked):
+            s = "\0" + word + "\0"
+            want = -sum(math.log(p(s[i], s[max(0, i - langid.ORDER + 1) : i])) for i in range(1, len(s)))
+            assert cost[words[at], k] == pytest.approx(want, rel=1e-9), (lang, word)
+
+
+def test_no_language_is_lost(spark, docs):
+    """Languages of one document each, one of them far beyond the share, and of documents without letters."""
+    rows = [(i, f"{'abcdefghijklmnopqrst'[i] * 3} wort", f"l{i:02d}") for i in range(20)] + [(50, "zu " * 4000, "long"), (51, "12 34", "none")]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_chars=200, all_chars=4000)
+    assert learned.langs == sorted([f"l{i:02d}" for i in range(20)] + ["long"])
+    found = langid.identified(docs("aaa", "zu zu", "qqq"), learned).filter(~langid.rejected()).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in found] == ["l00", "long", "l16"]
+
+
 def test_query_on_given_tables(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
