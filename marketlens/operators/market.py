@@ -37,17 +37,35 @@ def is_cleared(decision: Column) -> Column:
 # -- filters ----------------------------------------------------------------------------
 
 
+def _in_panels(panels: list[str], column: str = "panel") -> Column:
+    return F.col(column).isin(*panels)
+
+
+def _in_window(from_month: str | None, to_month: str | None, column: str = "decision_date") -> list[Column]:
+    first = [F.col(column) >= F.to_date(F.lit(from_month + "-01"))] if from_month else []
+    return first + ([F.col(column) <= F.last_day(F.to_date(F.lit(to_month + "-01")))] if to_month else [])
+
+
+def _names_one(names: list[str]) -> Column:
+    tests = [
+        F.contains(F.lower(c), F.lower(F.lit(n))) for n in names for c in ("term", "applicant")
+    ]
+    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+
+
+def _not_in_panels(panels: list[str]) -> Column:
+    return F.col("panel").isNull() | ~F.col("panel").isin(*panels)
+
+
 def filter_panel_in(df: DataFrame, panels: list[str], column: str = "panel") -> DataFrame:
-    return df.filter(F.col(column).isin(*panels))
+    return df.filter(_in_panels(panels, column))
 
 
 def filter_date_window(df: DataFrame, from_month: str | None = None, to_month: str | None = None,
                        column: str = "decision_date") -> DataFrame:
     """Keep dates from the first day of ``from_month`` to the last of ``to_month`` (``yyyy-MM``)."""
-    if from_month:
-        df = df.filter(F.col(column) >= F.to_date(F.lit(from_month + "-01")))
-    if to_month:
-        df = df.filter(F.col(column) <= F.last_day(F.to_date(F.lit(to_month + "-01"))))
+    for test in _in_window(from_month, to_month, column):
+        df = df.filter(test)
     return df
 
 
@@ -57,17 +75,12 @@ def filter_applicant(df: DataFrame, name: str) -> DataFrame:
 
 def filter_show_only(df: DataFrame, names: list[str]) -> DataFrame:
     """Keep rows whose term or applicant contains one of the names, in any case."""
-    if not names:
-        return df
-    tests = [
-        F.contains(F.lower(c), F.lower(F.lit(n))) for n in names for c in ("term", "applicant")
-    ]
-    return df.filter(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests]))
+    return df.filter(_names_one(names)) if names else df
 
 
 def filter_exclude_panels(df: DataFrame, panels: list[str]) -> DataFrame:
     """Drop ruled-out panels; records without a panel stay."""
-    return df.filter(F.col("panel").isNull() | ~F.col("panel").isin(*panels)) if panels else df
+    return df.filter(_not_in_panels(panels)) if panels else df
 
 
 def filter_confirmed(matches: DataFrame) -> DataFrame:
@@ -360,15 +373,29 @@ class Filters:
     exclude_panels: tuple[str, ...] = ()
     match_mode: str | None = None
 
-    def apply(self, details: DataFrame) -> DataFrame:
-        """Detail rows that pass all filters; summary and totals are worked out from these."""
+    def passes(self) -> dict[str, Column]:
+        """Per filter that is set, the test that a row shown must meet (null: it does not)."""
+        tests: dict[str, Column] = {}
         if self.panels:
-            details = filter_panel_in(details, list(self.panels))
-        details = filter_date_window(details, self.from_month, self.to_month)
+            tests["panels"] = _in_panels(list(self.panels))
+        window = _in_window(self.from_month, self.to_month)
+        if window:
+            tests["dates"] = reduce(lambda a, b: a & b, window)
         if self.applicant is not None:
-            details = filter_applicant(details, self.applicant)
-        details = filter_exclude_panels(filter_show_only(details, list(self.show_only)), list(self.exclude_panels))
-        return details if self.match_mode is None else filter_mode(details, self.match_mode)
+            tests["applicant"] = F.col("applicant") == self.applicant
+        if self.show_only:
+            tests["show_only"] = _names_one(list(self.show_only))
+        if self.exclude_panels:
+            tests["exclude_panels"] = _not_in_panels(list(self.exclude_panels))
+        if self.match_mode is not None:
+            tests["match_mode"] = F.col("match_mode") == self.match_mode
+        return tests
+
+    def apply(self, details: DataFrame) -> DataFrame:
+        """Detail rows that pass all filters; summary and totals are worked out from these."""
+        for test in self.passes().values():
+            details = details.filter(test)
+        return details
 
     def settings(self, spark: SparkSession) -> DataFrame:
         """One row ``(setting, value)`` per filter; what is unset is "All"."""
@@ -379,6 +406,46 @@ class Filters:
         )
 
 
+# Menus of a results page: the column whose values a menu lists, and the filters set through it.
+MENUS = {
+    "applicant": ("applicant", {"applicant"}),
+    "panel": ("panel", {"panels", "exclude_panels"}),
+    "match_mode": ("match_mode", {"match_mode"}),
+}
+
+
+def facets_under_filters(details: DataFrame, filters: Filters, weight: Column | None = None) -> DataFrame:
+    """Values for the filter menus while filters are set: ``facet, value, n, shown``.
+
+    A menu counts the rows that pass all *other* filters, so that what its own filter hides can
+    still be chosen; ``shown`` counts those that pass its own as well. Every row gets a mask of the
+    filters it fails, and one pass with one map-side combined aggregate fills all menus. Values that
+    the other filters hide entirely, and nulls, are not listed. ``weight`` is the number of facts a
+    row stands for, one by default.
+    """
+    tests = filters.passes()
+    bits = {name: 1 << i for i, name in enumerate(tests)}
+    failed = reduce(
+        lambda a, b: a + b,
+        [F.when(F.coalesce(test, F.lit(False)), 0).otherwise(bits[name]) for name, test in tests.items()],
+        F.lit(0),
+    )
+    rows = details.select(
+        *[c for c, _ in MENUS.values()], (F.lit(1) if weight is None else weight).cast("long").alias("_n"), failed.alias("_failed")
+    )
+    listed = []
+    for facet, (column, own) in MENUS.items():
+        others = sum(bit for name, bit in bits.items() if name not in own)
+        open_ = F.col("_failed").bitwiseAND(F.lit(others)) == 0
+        listed.append(F.struct(F.lit(facet).alias("facet"), F.when(open_, F.col(column)).alias("value")))
+    return (
+        rows.select(F.inline(F.array(*listed)), "_n", "_failed")
+        .filter(F.col("value").isNotNull())
+        .groupBy("facet", "value")
+        .agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_failed") == 0, F.col("_n")).otherwise(0)).alias("shown"))
+    )
+
+
 # Sort orders by the names they have on screen.
 FEWEST_APPROVALS, MOST_RECENT = "Fewest approvals", "Most recent approval"
 

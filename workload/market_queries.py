@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
+from marketlens.operators import cells as ce
 from marketlens.operators import documents as docs
 from marketlens.operators import listing as ls
 from marketlens.operators import market as mk
 from marketlens.operators import matching as m
-from marketlens.session import scratch_dir
+from marketlens.operators import pages as pg
+from marketlens.session import scratch_dir, stored
 from marketlens.sources.export import export_tables, listing_tables
 from workload import views as v
 from workload.registry import query
@@ -114,6 +116,58 @@ def d7(spark, sf):
     return mk.facets(v.submission_details(spark, sf))
 
 
+# One query per menu: the filters in FILTERS but the menu's own, and the count under all of them.
+FILTERS = mk.Filters(from_month="1993-02", to_month="1997-10", panels=("URGENT", "HIGH", "LOW"), exclude_panels=("LOW",), show_only=("RING", "#00000000"))
+_DATED = "decision_date BETWEEN DATE '1993-02-01' AND DATE '1997-10-31'"
+_NAMED = "(lower(term) LIKE '%ring%' OR lower(applicant) LIKE '%#00000000%')"
+_PANELLED = "(panel IN ('URGENT', 'HIGH', 'LOW') AND panel NOT IN ('LOW'))"
+_MENUS = f"""
+  SELECT 'applicant' AS facet, applicant AS value, count(*) AS n, count(*) AS shown FROM v_details
+  WHERE applicant IS NOT NULL AND {_DATED} AND {_NAMED} AND {_PANELLED} GROUP BY 2
+  UNION ALL SELECT 'panel', panel, count(*), count(*) FILTER (WHERE {_PANELLED}) FROM v_details
+  WHERE panel IS NOT NULL AND {_DATED} AND {_NAMED} GROUP BY 2
+  UNION ALL SELECT 'match_mode', match_mode, count(*), count(*) FROM v_details
+  WHERE match_mode IS NOT NULL AND {_DATED} AND {_NAMED} AND {_PANELLED} GROUP BY 2"""
+
+
+@query("d7_facets_under_filters", _MENUS, ("v_details",))
+def d7_under_filters(spark, sf):
+    return mk.facets_under_filters(v.submission_details(spark, sf), FILTERS)
+
+
+@query("d7_facets_from_cells", _MENUS, ("v_details",))
+def d7_from_cells(spark, sf):
+    return ce.menus(stored(ce.cells(v.submission_details(spark, sf)), "cells"), FILTERS)
+
+
+@query("d3_totals_from_cells", f"""
+  SELECT t.term, count(d.k_number) AS total_submissions,
+    count(*) FILTER (WHERE d.decision_description LIKE 'Substantially Equivalent%') AS cleared_count,
+    count(DISTINCT d.applicant) AS unique_applicants,
+    CAST(max(d.decision_date) FILTER (WHERE d.decision_description LIKE 'Substantially Equivalent%') AS VARCHAR) AS latest_approval,
+    count(*) FILTER (WHERE d.decision_description LIKE 'Substantially Equivalent%') >= 10 AS crowded
+  FROM v_sub_terms t LEFT JOIN (SELECT * FROM v_details WHERE {_DATED} AND {_NAMED} AND {_PANELLED}) d USING (term) GROUP BY t.term""",
+       ("v_sub_terms", "v_details"))
+def d3_from_cells(spark, sf):
+    """Totals under filters from kept cells, the later half of the devices added as a change."""
+    details = v.submission_details(spark, sf)
+    early = F.xxhash64("k_number") % 2 == 0
+    old, new = stored(ce.cells(details.filter(early)), "cells"), ce.cells(details.filter(~early))
+    kept = stored(ce.merged(old, new), "cells")
+    return _dates(ce.summarise(v.submission_terms(spark, sf), kept, FILTERS), "latest_approval")
+
+
+@query("d3_applicants_estimated", """
+  SELECT t.term, count(d.k_number) AS total_submissions, true AS within_error
+  FROM v_sub_terms t LEFT JOIN v_details d USING (term) GROUP BY t.term""", ("v_sub_terms", "v_details"))
+def d3_estimated(spark, sf):
+    """Distinct applicants by sketch, each within four standard errors (and one) of the count."""
+    terms, kept = v.submission_terms(spark, sf), stored(ce.cells(v.submission_details(spark, sf)), "cells")
+    right = ce.summarise(terms, kept).select("term", F.col("unique_applicants").alias("right"))
+    near = F.abs(F.col("unique_applicants") - F.col("right")) <= 1 + 4 * ce.SKETCH_ERROR * F.col("right")
+    return ce.summarise(terms, ce.sketched(kept)).join(right, "term").select("term", "total_submissions", near.alias("within_error"))
+
+
 @query("d8_unconfirmed_counts", """
   SELECT t.term, count(*) FILTER (WHERE match_mode = 'predicate') AS via_predicate,
     count(*) FILTER (WHERE match_mode = 'gudid') AS via_registry
@@ -190,6 +244,20 @@ def f4(spark, sf):
     return mk.page(v.submission_devices(spark, sf).select("k_number", "device_name"), ["k_number"], skip=200, limit=mk.PAGE_SIZE)
 
 
+@query("f4_page_after_key", """
+  SELECT row_number() OVER (ORDER BY applicant NULLS FIRST, k_number) AS rank, applicant, k_number, device_name
+  FROM v_sub_devices WHERE k_number IS NOT NULL QUALIFY rank BETWEEN 601 AND 800""", ("v_sub_devices",))
+def f4_after(spark, sf):
+    """Page by key: the hundred rows after rank 700's key, and those before it by rank, from a kept layout."""
+    path = scratch_dir(spark, "pages")
+    listed = v.submission_devices(spark, sf).select("applicant", "k_number", "device_name").filter("k_number IS NOT NULL")
+    pg.lay_out(listed, ["applicant", "k_number"], path, block=500)
+    before = stored(pg.page_at(spark, path, 600), "page")
+    last = before.orderBy(F.desc("rank")).first()
+    after = (last["applicant"], last["k_number"]) if last else None
+    return before.unionByName(pg.page_after(spark, path, after))
+
+
 _SIDE_A = "(SELECT k_number, 'a' AS side, applicant FROM v_sub_devices WHERE panel = 'HIGH' OR panel = 'LOW')"
 _SIDE_B = "(SELECT k_number, 'b' AS side, panel AS applicant FROM v_sub_devices WHERE panel = 'HIGH' OR panel IS NULL)"
 
