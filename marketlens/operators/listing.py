@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.functions.listing_html import Selectors, read_pages
-from marketlens.operators.market import cap_per_term
+from marketlens.operators.market import cap_per_term, first_per_group
 from marketlens.operators.skew import salted_join
 from marketlens.session import fits_broadcast, stored
 
@@ -51,14 +51,19 @@ def filter_status(rows: DataFrame, status: str = "All") -> DataFrame:
     return rows.filter(F.replace(F.lower("status"), F.lit(" "), F.lit("_")) == status)
 
 
+def _wanted(terms: DataFrame) -> DataFrame:
+    """``term, _wanted, word``: a written row for each word a term is searched by."""
+    plain = tx.antigen_of(tx.greek_to_latin(tx.strip_ws(F.col("term"))))
+    wanted = terms.select("term", F.array_distinct(tx.words_of(tx.padded(plain))).alias("_wanted"))
+    return stored(wanted.select("*", F.explode_outer("_wanted").alias("word")).filter("word IS NOT NULL"), "wanted")
+
+
 def search_listing(terms: DataFrame, rows: DataFrame, analyte: str = "analyte") -> DataFrame:
     """Listing rows whose analyte has any word of a term: ``term`` and the row's columns.
 
     Terms are searched without anti prefix and isotype, whose words are everywhere.
     """
-    plain = tx.antigen_of(tx.greek_to_latin(tx.strip_ws(F.col("term"))))
-    wanted = terms.select("term", F.array_distinct(tx.words_of(tx.padded(plain))).alias("_wanted"))
-    wanted = stored(wanted.select("*", F.explode_outer("_wanted").alias("word")).filter("word IS NOT NULL"), "wanted")
+    wanted = _wanted(terms)
     listed = rows.withColumn("_words", F.array_distinct(tx.words_of(tx.padded(F.col(analyte)))))
     # A row holding several words of a term counts once: through the first of them.
     # The outer form keeps the optimiser from adding a size test that tokenises a second time.
@@ -78,6 +83,38 @@ def listing_report(hits: DataFrame, k: int, order: list[str]) -> DataFrame:
     return cap_per_term(hits, ["term"], order, k)
 
 
+def search_report(terms: DataFrame, rows: DataFrame, k: int, order: list[str], analyte: str = "analyte") -> DataFrame:
+    """As :func:`listing_report` of :func:`search_listing`, without forming term x row pairs: ``term``,
+    the row's columns, ``total``. Equal rows by ``order`` are settled by their place in the table.
+
+    The first ``k`` rows of a term are among the first ``k`` of each of its words, so a list is kept
+    per word, filled to ``k`` in every task before anything is shuffled, and a term merges the
+    lists of its words: what is joined is bounded by the words of the terms times ``k``, however
+    many rows a word stands in. The total needs all rows, but only as counts: rows with the same
+    words are one, and terms add the counts of the word sets they meet, each through the first
+    word in common.
+    """
+    terms = terms.distinct()
+    wanted = _wanted(terms)
+    words = F.array_distinct(tx.words_of(tx.padded(F.col(analyte))))
+    listed = stored(rows.withColumn("_words", words).withColumn("_row", F.monotonically_increasing_id()), "listed")
+    small = fits_broadcast(wanted)
+
+    sets = listed.groupBy("_words").agg(F.count("*").alias("_n")).select("*", F.explode_outer("_words").alias("word"))
+    met = sets.join(F.broadcast(wanted), "word") if small else salted_join(sets, wanted, ["word"], salt_by=["_words"])
+    once = met.filter(F.get(F.array_intersect("_words", "_wanted"), F.lit(0)) == F.col("word"))
+    totals = once.groupBy("term").agg(F.sum("_n").alias("total"))
+
+    asked = wanted.select("word").distinct()
+    postings = listed.select(*rows.columns, "_row", F.explode_outer("_words").alias("word"))
+    postings = postings.join(F.broadcast(asked) if small else asked, "word", "left_semi")
+    lists = stored(first_per_group(postings, ["word"], [*order, "_row"], k), "lists")
+    pairs = lists.join(F.broadcast(wanted), "word") if small else salted_join(lists, wanted, ["word"], salt_by=["_row"])
+    merged = pairs.dropDuplicates(["term", "_row"])
+    first = first_per_group(merged, ["term"], [*order, "_row"], k)
+    return first.join(totals, "term").select("term", *rows.columns, "total")
+
+
 def zero_clearance_crosscheck(summary: DataFrame, rows: DataFrame, analyte: str = "analyte") -> DataFrame:
     """Terms nothing was cleared for, with their listed laboratory tests.
 

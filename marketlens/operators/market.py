@@ -282,24 +282,31 @@ def rank_terms(summary: DataFrame, order: list[Column]) -> DataFrame:
     return rank_rows(summary, order)
 
 
-def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """At most ``n`` listed records per group, with the true ``total`` beside them.
+def first_per_group(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in the given order.
 
-    The facts, which should be narrow, are written once and read for the list and the total.
     Each limit is on a rank alone, which Spark also applies per task before the shuffle. A first
     round keeps the best ``n`` of every 64th of the tasks, so that the one task that settles a
-    hot group gets few rows however many tasks fed it. The total covers all records.
+    hot group gets few rows however many tasks fed it.
     """
-    df = stored(df, "facts")
-    totals = df.groupBy(*by).agg(F.count("*").alias("total"))
 
     def best(rows: DataFrame, within: list[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
         return rows.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
     pieces = df.withColumn("_piece", F.pmod(F.spark_partition_id(), F.lit(64)))
-    listed = best(best(pieces, [*by, "_piece"]).drop("_piece"), by)
-    return listed.join(totals, by)
+    return best(best(pieces, [*by, "_piece"]).drop("_piece"), by)
+
+
+def cap_per_term(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """At most ``n`` listed records per group, with the true ``total`` beside them.
+
+    The facts, which should be narrow, are written once and read for the list and the total, which
+    covers all records.
+    """
+    df = stored(df, "facts")
+    totals = df.groupBy(*by).agg(F.count("*").alias("total"))
+    return first_per_group(df, by, order, n).join(totals, by)
 
 
 def top_k_with_total(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:

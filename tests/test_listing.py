@@ -55,3 +55,35 @@ def test_status(spark):
 def test_totals(spark):
     df = spark.createDataFrame([("1 - 50 of 1,234 Records",), ("of 1 record",), ("none",)], "h string")
     assert [r[0] for r in df.select(ls.parse_total(F.col("h"), F.lit(7))).collect()] == [1234, 1, 7]
+
+
+def test_report_from_word_lists_equals_all_pairs(spark):
+    vocabulary = ["hot", *[f"w{i}" for i in range(30)]]
+    rows = spark.range(4000).select(
+        F.col("id"), (F.col("id") % 7).alias("x"),
+        F.concat_ws(" ", F.when(F.col("id") % 3 > 0, "Hot"), *[F.element_at(F.array(*[F.lit(w) for w in vocabulary]), (F.abs(F.xxhash64("id", F.lit(i))) % 31 + 1).cast("int")) for i in range(2)]).alias("analyte"),
+    ).unionByName(spark.createDataFrame([(9001, 1, None), (9002, 1, ""), (9003, 0, "w1 w1")], "id long, x long, analyte string"))
+    terms = spark.createDataFrame([("hot",), ("w1 hot w2",), ("Anti-w3 IgG",), ("w4-w5",), ("nowhere",), ("w1 hot w2",), ("",)], "term string")
+    hits = ls.search_listing(terms.distinct(), rows)
+    want = ls.listing_report(hits, 20, ["x", "id"]).select("term", "id", "total")
+    got = ls.search_report(terms, rows.repartition(9), 20, ["x", "id"])
+    assert got.columns == ["term", "id", "x", "analyte", "total"]
+    assert sorted(map(tuple, got.select("term", "id", "total").collect())) == sorted(map(tuple, want.collect()))
+    assert {r["term"] for r in got.collect()} == {"hot", "w1 hot w2", "Anti-w3 IgG", "w4-w5"}
+
+
+def test_report_joins_no_more_than_lists(spark):
+    """Every row holds the word of every term: what is joined stays words x k a term."""
+    rows = spark.range(20_000).select("id", F.concat(F.lit("common word"), F.col("id") % 5).alias("analyte"))
+    terms = spark.range(50).select(F.concat(F.lit("common extra"), "id").alias("term"))
+    got = ls.search_report(terms, rows, 10, ["id"])
+    assert {(r["term"], r["total"], r["n"]) for r in got.groupBy("term", "total").agg(F.count("*").alias("n")).collect()} == {(f"common extra{i}", 20_000, 10) for i in range(50)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString() or "window" in plan.lower()
+
+
+def test_report_of_empty_tables(spark):
+    rows = spark.createDataFrame([], "id int, analyte string")
+    terms = spark.createDataFrame([("CENP-B",)], "term string")
+    assert ls.search_report(terms, rows, 5, ["id"]).count() == 0
+    assert ls.search_report(terms.limit(0), spark.createDataFrame([(1, "CENP")], rows.schema), 5, ["id"]).count() == 0

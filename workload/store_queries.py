@@ -307,8 +307,8 @@ def c9_search(spark, sf):
 def c9_report(spark, sf):
     """Per term the first fifty listing rows and the number of all."""
     names = v.table(spark, sf, "part").select(F.concat(F.lit("Anti-"), F.col("p_name"), F.lit(" IgG")).alias("term")).distinct()
-    hits = ls.search_listing(names, v.listing_rows(spark, sf)).select(tx.antigen_of(F.col("term")).alias("term"), "p_partkey")
-    return ls.listing_report(hits, mk.MAX_LISTING_ROWS, ["p_partkey"])
+    found = ls.search_report(names, v.listing_rows(spark, sf).select("p_partkey", "analyte"), mk.MAX_LISTING_ROWS, ["p_partkey"])
+    return found.select(tx.antigen_of(F.col("term")).alias("term"), "p_partkey", "total")
 
 
 # -- incremental refresh ----------------------------------------------------------------
