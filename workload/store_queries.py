@@ -9,6 +9,7 @@ from marketlens.operators import commits as cm
 from marketlens.operators import documents as docs
 from marketlens.operators import listing as ls
 from marketlens.operators import market as mk
+from marketlens.operators import buckets as bk
 from marketlens.operators import store as st
 from marketlens.session import scratch_dir as scratch
 from marketlens.sources import scans as sc
@@ -137,6 +138,33 @@ def a8(spark, sf):
     return st.published(spark, path)
 
 
+def _bucketed(spark, sf):
+    """The devices in buckets; upserted, the buckets of two deltas put down again, half of the updates
+    upserted once more, which changes nothing. The state and the folder."""
+    base, updates = scratch(spark, "buckets"), _device_updates(spark, sf)
+    bk.upsert(spark, base, "devices", _stored_devices(spark, sf), ["k_number"], ["k_number"])
+    bk.upsert(spark, base, "devices", updates, ["k_number"], ["at"])
+    bk.compact(spark, base, "devices", ["k_number"], deltas=1)
+    return bk.upsert(spark, base, "devices", updates.filter(F.xxhash64("k_number") % 2 == 0), ["k_number"], ["at"])
+
+
+@query("a8_bucketed_upsert", f"""
+  SELECT * FROM {_NEW_DEVICES} n UNION ALL SELECT {k('o_orderkey')}, o_orderstatus, o_orderpriority FROM orders
+  WHERE {k('o_orderkey')} NOT IN (SELECT k_number FROM {_NEW_DEVICES} n)""")
+def a8_bucketed(spark, sf):
+    """Devices upserted as deltas by key bucket, read with the last commit of each key."""
+    return bk.read(spark, _bucketed(spark, sf), "devices", ["k_number"])
+
+
+@query("c3_bucketed_missing", f"""
+  SELECT DISTINCT {k('o_orderkey + 4')} AS k_number FROM orders WHERE {k('o_orderkey + 4')} NOT IN (
+    SELECT k_number FROM {_NEW_DEVICES} n UNION ALL SELECT {k('o_orderkey')} FROM orders)""")
+def c3_bucketed(spark, sf):
+    """Numbers asked for that the bucketed devices do not have."""
+    asked = v.table(spark, sf, "orders").select(v.number(F.col("o_orderkey") + 4).alias("k_number"))
+    return bk.missing(spark, _bucketed(spark, sf), "devices", ["k_number"], asked)
+
+
 @query("a9_upsert_document_text", f"""
   SELECT {k('o_orderkey')} AS k_number, CASE WHEN m.l_orderkey IS NULL THEN 'old' ELSE coalesce(m.value, 'none') END AS text,
     CASE WHEN m.l_orderkey % 11 = 3 THEN 'no decision document found (last status: 404)' END AS fetch_error
