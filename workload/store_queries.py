@@ -157,11 +157,11 @@ def a8_bucketed(spark, sf):
 
 
 @query("c3_bucketed_missing", f"""
-  SELECT DISTINCT {k('o_orderkey + 4')} AS k_number FROM orders WHERE {k('o_orderkey + 4')} NOT IN (
+  SELECT DISTINCT {k('o_orderkey * 3')} AS k_number FROM orders WHERE {k('o_orderkey * 3')} NOT IN (
     SELECT k_number FROM {_NEW_DEVICES} n UNION ALL SELECT {k('o_orderkey')} FROM orders)""")
 def c3_bucketed(spark, sf):
     """Numbers asked for that the bucketed devices do not have."""
-    asked = v.table(spark, sf, "orders").select(v.number(F.col("o_orderkey") + 4).alias("k_number"))
+    asked = v.table(spark, sf, "orders").select(v.number(F.col("o_orderkey") * 3).alias("k_number"))
     return bk.missing(spark, _bucketed(spark, sf), "devices", ["k_number"], asked)
 
 
