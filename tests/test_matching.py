@@ -146,3 +146,31 @@ def test_a_word_of_every_record_in_many_clauses(spark, monkeypatch):
         hits = m.satisfied_clauses(m.searchable(devices), clauses, small=small)
         rows[small] = sorted((r["term_id"], r["k_number"]) for r in hits.collect())
     assert rows[True] == rows[False] and len(rows[True]) == sum(1 for t in range(40) for k in range(60) if t % 10 == k % 7)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_conditions_beyond_what_is_settled_without_text(spark, small):
+    """More phrases, runs, words and fields than the first test looks at."""
+    corpus = spark.createDataFrame(
+        [("K1", [" a b c d e f ", " g h ", " i | j ", " k l m n o "]), (None, [" a b ", " c d ", " e f ", " a b c d e f "]),
+         ("K2", [" a b c d e ", " f ", " g ", " k "]), ("K2", [" b ", " ", " ", " a "])],
+        "k_number string, texts array<string>")
+    clauses = [
+        (1, "any", [" a b ", " c d ", " e f "]), (2, "any", [" a b ", " c d ", " f e "]),
+        (3, "same", [" a ", " b ", " c ", " d ", " e "]), (4, "same", [" a ", " b ", " c ", " d ", " f "]),
+        (5, "same", [" k ", " o "]), (6, "same", [" i ", " j "]), (7, "same", [" a ", " k "]), (8, "any", [" k l m n o "]),
+        (9, "any", [" b c d e f g "]), (10, "same", [" a b "]), (11, "any", [" a ", " g ", " k "]), (12, "any", [" b "])]
+    clauses = spark.createDataFrame([(t, 1, 0, s, "none", p) for t, s, p in clauses], "term_id int, tier int, clause_no int, scope string, anti string, phrases array<string>")
+    got = sorted((r["term_id"], r["k_number"] or "-") for r in m.satisfied_clauses(corpus, clauses, small=small).collect())
+    assert got == sorted([(1, "K1"), (1, "-"), (3, "K1"), (3, "-"), (3, "K2"), (4, "K1"), (4, "-"), (5, "K1"), (6, "K1"), (8, "K1"),
+                          (10, "K1"), (10, "-"), (10, "K2"), (11, "K1"), (11, "K2"), (12, "K1"), (12, "-"), (12, "K2"), (12, "K2")])
+
+
+def test_only_numbers_travel_until_a_pair_is_likely(spark, terms, devices, monkeypatch):
+    written, stored = {}, m.stored
+    monkeypatch.setattr(m, "stored", lambda df, name="stored": written.setdefault(name, stored(df, name)))
+    clauses = pl.compile_terms(terms)
+    m.satisfied_clauses(m.searchable(devices), clauses, small=False).collect()
+    assert written["pairs"].columns == ["_row", "_condition"]
+    assert written["met"].columns == ["_row", "_condition", "k_number"]
+    assert "users" not in written["conditions"].columns
