@@ -21,6 +21,7 @@ from marketlens.operators.commits import Change, State, state
 from marketlens.operators.deltas import AT, among, compacted, live
 from marketlens.plans import tiers as pl
 from marketlens.session import broadcast_if_small, discard, stored
+from marketlens.sources.scans import spread
 
 KEY = "k_number"
 SINCE = "since"
@@ -28,7 +29,7 @@ SINCE = "since"
 
 def _masks(corpus: DataFrame, clauses: DataFrame) -> DataFrame:
     """``term_id, since, k_number, commit, tiers`` of records ``k_number, commit, texts``."""
-    hits = m.satisfied_clauses(corpus, clauses.drop(SINCE), payload=[AT])
+    hits = m.satisfied_clauses(spread(corpus), clauses.drop(SINCE), payload=[AT])
     since = clauses.select("term_id", SINCE).distinct()
     return m.union_tiers(hits, payload=[AT]).join(broadcast_if_small(since), "term_id").select("term_id", SINCE, KEY, AT, "tiers")
 

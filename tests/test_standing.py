@@ -122,3 +122,17 @@ def test_empty_batches_and_terms(spark, tmp_path):
     assert sd.matches(spark, cm.state(spark, base)).count() == 0
     sd.watch(spark, base, spark.createDataFrame([(2, "gad", None, None)], TERMS))
     assert [tuple(r)[:2] for r in sd.matches(spark, cm.state(spark, base)).select(KEEP).collect()] == [(2, None)]
+
+
+def test_a_batch_of_one_file_is_searched_on_all_cores(spark, tmp_path, devices, terms, monkeypatch):
+
+    base, split, satisfied = str(tmp_path / "s"), [], m.satisfied_clauses
+
+    def seen(corpus, *args, **kwargs):
+        split.append(corpus.rdd.getNumPartitions())
+        return satisfied(corpus, *args, **kwargs)
+
+    monkeypatch.setattr(m, "satisfied_clauses", seen)
+    sd.watch(spark, base, terms)
+    sd.fold(spark, base, devices.coalesce(1))
+    assert split == [spark.sparkContext.defaultParallelism]
