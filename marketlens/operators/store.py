@@ -27,11 +27,10 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[str | Column], narro
         by = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
         last = F.max_by(F.struct(*df.columns), F.struct(*by, F.xxhash64(*df.columns))).alias("_last")
         return named.groupBy(*keys).agg(last).select("_last.*")
-    marked = named.withColumn("_h", F.xxhash64(*df.columns)).withColumn("_row", F.monotonically_increasing_id())
-    placed = stored(marked, "copies")
+    placed = stored(named.withColumn("_row", F.monotonically_increasing_id()), "copies")
     ranked = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
-    last = F.max(F.struct(*ranked, "_h", "_row")).alias("_last")
-    best = placed.groupBy(*keys).agg(last).select("_last._row")
+    last = F.max(F.struct(*ranked, F.xxhash64(*df.columns).alias("_h"), "_row")).alias("_last")
+    best = stored(placed.groupBy(*keys).agg(last).select("_last._row"), "winners")  # measured and joined, so worked out once
     return placed.join(broadcast_if_small(best), "_row", "left_semi").select(*df.columns)
 
 

@@ -109,8 +109,8 @@ def _stored_devices(spark, sf):
 
 
 def _device_updates(spark, sf):
-    """A row per line item, in no order: several copies of a number, the last ship date wins."""
-    li = v.table(spark, sf, "lineitem").repartition(7, "l_partkey")
+    """A row per line item: several copies of a number, the last ship date wins."""
+    li = v.spread_table(spark, sf, "lineitem")
     return li.select(
         v.number(F.col("l_orderkey") + 10).alias("k_number"), F.col("l_linestatus").alias("decision_description"),
         F.col("l_returnflag").alias("panel"), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("at"))
