@@ -2,8 +2,8 @@
 
 1. ``toxicity``: documents that the toxicity model scores at 0.3 or more go.
 2. ``language``: documents without a letter, or odd for every learned language, go.
-3. ``near_dedup``: of each class of near-copies, linked at a Jaccard similarity of 0.8 or more of their
-   five-word shingles, the document of smallest id stays.
+3. ``near_dedup``: of each class of near-copies, linked by SimHash as in op2 or at a Jaccard similarity
+   of 0.8 or more of their five-word shingles, the document of smallest id stays.
 4. ``decontamination``: documents that hold a window of a benchmark item go.
 5. ``packing``: the rest is packed into sequences.
 
@@ -63,7 +63,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class the rows of its smallest id, one of them if the id is repeated. Rows
     without an id have no name to stay under: one stays if its class has no other."""
-    classes = stored(minhash.near_copies(docs), "classes")
+    classes = stored(minhash.near_copies(docs, fingerprints=True), "classes")
     leave = stored(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "leave")
     kept = docs.filter("doc_id IS NOT NULL").join(broadcast_if_small(leave), "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm import simhash
 from marketlens.llm import textbytes as tb
 from marketlens.llm.graph import components
 from marketlens.llm.simhash import classes
@@ -20,10 +21,9 @@ LEAST_JACCARD = 0.8
 BANDS, BAND_HASHES = 20, 6  # a pair at 0.8 shares a band with chance 0.998
 HASHES = 128  # the first BANDS * BAND_HASHES form bands, one bit of each the sketch
 SLACK = 4  # standard deviations by which a sketch may understate a pair
-BUCKET_ROWS = 64  # in larger buckets members meet leaders and their best matches instead of all others
-LEADERS = 8
-PIECE_ROWS = 2048  # of a large bucket, searched at once for best matches
-BEST = 4
+BUCKET_ROWS = 2048  # sketches of a bucket that are searched at once for the nearest; a larger bucket is cut into pieces
+CELL_ROWS = 512  # sets of a bucket that are held against as many others at once
+ROUNDS = 2  # in which sets meet their nearest only, before all that is left between classes is held together
 
 _DRAW = np.random.default_rng(20)
 _FLIP = _DRAW.integers(0, 1 << 64, HASHES, np.uint64)
@@ -78,7 +78,7 @@ def _sketched(column: pa.Array, words: int) -> list[pa.Array]:
     h, first = shingle_sets(*tb.texts(column), words)
     keys, bits = sketches(h, first)
     return [pa.array(set_names(h, first).view(np.int64)), *(pa.array(bits[:, i].copy().view(np.int64)) for i in (0, 1)),
-            pa.array([k.tobytes() for k in np.ascontiguousarray(keys)], pa.binary())]
+            pa.array([k.tobytes() for k in np.ascontiguousarray(keys)], pa.binary()), pa.array(simhash.simhash_array(*tb.texts(column)).view(np.int64))]
 
 
 def _banded(batches):
@@ -89,79 +89,113 @@ def _banded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].copy()), *batch.columns[:3]], names=["bucket", "fp", "s0", "s1"])
 
 
-FOUND = "a long, b long, bucket long, s0 long, s1 long, score int"
+MET = "bucket long, fp long, s0 long, s1 long"
+FOUND = "a long, b long, kind int, apart int"
 
 
 def _distance(s, t):
     return np.bitwise_count(s[0] ^ t[0]).astype(np.int64) + np.bitwise_count(s[1] ^ t[1])
 
 
-def _candidates(batches, far: int, sure: int, bucket_rows: int):
-    """Rows sorted by bucket to candidate pairs (a, b); of buckets that are large or may go on in a
-    neighbouring partition also the members, with the number of bits they have in common with most."""
-
-    def run():
-        held, first = [np.zeros(0, np.int64)] * 4, True
-        for batch in batches:
-            rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns)]
-            k = rows[0]
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if len(k) - cut > bucket_rows:  # the last bucket is large already: none of it need wait
-                yield from emit(rows, first, True)
-                held, first = [x[:0] for x in rows], True
-            else:
-                yield from emit([x[:cut] for x in rows], first, False)
-                held, first = [x[cut:] for x in rows], first and cut == 0
-        yield from emit(held, True, True)
-
-    def emit(rows, first, last):
-        k = rows[0]
-        if not len(k):
-            return
-        begin = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
-        size = np.diff(np.concatenate([begin, [len(k)]]))
-        cold = size <= bucket_rows
-        cold[0] &= not first
-        cold[-1] &= not last
-        used = np.repeat(cold & (size > 1), size)
-        ck, cf, *cs = (x[used] for x in rows)
-        cs = [s.view(np.uint64) for s in cs]
-        for step in range(1, int(size[cold].max()) if cold.any() else 0):
-            same = np.flatnonzero(ck[step:] == ck[:-step])
-            if not len(same):
-                break
-            d = _distance([s[same] for s in cs], [s[same + step] for s in cs])
-            near = same[d <= far]
-            if len(near):
-                yield pairs(cf[near], cf[near + step], d[d <= far])
-        for i in np.flatnonzero(~cold):
-            for lo in range(begin[i], begin[i] + size[i], PIECE_ROWS):
-                yield from hot([x[lo : min(lo + PIECE_ROWS, begin[i] + size[i])] for x in rows])
-
-    def hot(rows):
-        _, f, *s = rows
+def _not_alone(batches):
+    """Rows sorted by bucket without those that have a bucket to themselves; a partition's first and
+    last bucket may go on in a neighbouring one and is kept."""
+    held, first = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        k = rows.column(0).to_numpy()
+        same = k[1:] == k[:-1]
+        met = np.concatenate([[first], same]) | np.concatenate([same, [False]])
+        yield rows.slice(0, len(k) - 1).filter(pa.array(met[:-1]))
+        held, first = rows.slice(len(k) - 1), bool(met[-1])
+    if held is not None:
+        yield held
+
+
+def _by_cell(batches):
+    """Rows sorted by cell, the rows of a cell at a time."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0][0] != tuple(key[:, lo]):
+                yield pa.Table.from_batches([x for _, x in held]).combine_chunks().to_batches()[0]
+                held.clear()
+            held.append((tuple(key[:, lo]), batch.slice(lo, hi - lo)))
+    if held:
+        yield pa.Table.from_batches([x for _, x in held]).combine_chunks().to_batches()[0]
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell that are held against which: side 0 against side 1, or all against all."""
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1) if side.any() else np.arange(len(side))
+
+
+def _apart(s, root, mine, right) -> np.ndarray:
+    """Bits in which the sketches of rows differ, more than there are for rows of one root."""
+    d = _distance([x[mine, None] for x in s], [x[None, right] for x in s])
+    d[root[mine, None] == root[None, right]] = HASHES + 1
+    return d
+
+
+def _nearest(batches, far: int):
+    """Rows sorted by cell to pairs of sets of different roots whose sketches are near: of each row its
+    nearest (kind 0) and the cell's most typical (kind 1)."""
+    for rows in _by_cell(batches):
+        f, *s, root = (rows.column(c).to_numpy() for c in ("fp", "s0", "s1", "root"))
         s = [x.view(np.uint64) for x in s]
         bits = np.unpackbits(np.stack(s, axis=1).view(np.uint8), axis=1)
-        score = (bits == (2 * bits.sum(axis=0) > len(f))).sum(axis=1)
-        middle = int(np.argmax(score))
-        apart = np.flatnonzero(_distance(s, [x[middle] for x in s]) > sure)
-        if len(f) > bucket_rows:
-            for lo in range(0, len(apart), 256):
-                mine = apart[lo : lo + 256]
-                d = _distance([x[mine, None] for x in s], [x[None] for x in s])
-                d[np.arange(len(mine)), mine] = HASHES
-                best = np.argpartition(d, min(BEST, len(f)) - 1, axis=1)[:, :BEST]
-                who, which = np.nonzero(np.take_along_axis(d, best, axis=1) <= far)
-                if len(who):
-                    yield pairs(f[mine[who]], f[best[who, which]], d[who, best[who, which]])
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.nulls(len(f), pa.int64()), *(pa.array(rows[i]) for i in (0, 2, 3)), pa.array(score.astype(np.int32))], names=NAMES)
-
-    def pairs(a, b, d):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), none, none, none, pa.array(d.astype(np.int32))], names=NAMES)
-
-    return run()
+        middle = int(np.argmax((bits == (2 * bits.sum(axis=0) > len(f))).sum(axis=1)))
+        for lo in range(0, len(f), 256):
+            mine = np.arange(lo, min(lo + 256, len(f)))
+            d = _apart(s, root, mine, np.arange(len(f)))
+            for kind, j in ((0, d.argmin(axis=1)), (1, np.full(len(mine), middle))):
+                apart = d[np.arange(len(mine)), j]
+                i = np.flatnonzero(apart <= far)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f[mine[i]]), pa.array(f[j[i]]), pa.array(np.full(len(i), kind, np.int32)), pa.array(apart[i].astype(np.int32))], names=NAMES)
+
+
+def _in_question(batches, far: int):
+    """Of rows sorted by cell those with a row of another root in their cell whose sketch is near."""
+    for rows in _by_cell(batches):
+        side, *s, root = (rows.column(c).to_numpy() for c in ("side", "s0", "s1", "root"))
+        s = [x.view(np.uint64) for x in s]
+        left, right = _sides(side)
+        met = np.zeros(len(side), bool)
+        for lo in range(0, len(left), 256):
+            near = _apart(s, root, left[lo : lo + 256], right) <= far
+            met[left[lo : lo + 256]] |= near.any(axis=1)
+            met[right] |= near.any(axis=0)
+        yield rows.select(["bucket", "i", "j", "side", "fp", "root"]).filter(pa.array(met))
+
+
+def _linked(batches, least: float):
+    """Rows sorted by cell, with their sets, to links: of each set one to every other root in its cell
+    that has a set with the similarity."""
+    for rows in _by_cell(batches):
+        side, f, root = (rows.column(c).to_numpy() for c in ("side", "fp", "root"))
+        sets = [unpacked_set(x.as_py()) for x in rows.column("hashes")]
+        size = np.array([len(x) for x in sets])
+        left, right = _sides(side)
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(at, np.cumsum(size)[:-1])
+        others, first = np.concatenate([own[r] for r in right]), np.concatenate([[0], np.cumsum(size[right])])
+        marked, a, b = np.zeros(len(names), np.int64), [], []
+        for i in left:
+            marked[own[i]] = 1
+            both = np.add.reduceat(marked[others], first[:-1])  # no set here is empty
+            marked[own[i]] = 0
+            like = np.flatnonzero((both >= least * (size[i] + size[right] - both)) & (root[right] != root[i]))
+            like = right[like[np.unique(root[right[like]], return_index=True)[1]]]
+            a.append(np.full(len(like), f[i]))
+            b.append(f[like])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
 
 NAMES = [x.split()[0] for x in FOUND.split(", ")]
@@ -242,14 +276,23 @@ def verified(source: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, l
     row that ``reps(fp, row)`` gives for a name leaves its task, however many copies it has. The set
     of ``a`` goes once to every ``CHUNK_PAIRS`` of its partners, that of ``b`` to each pair, so a
     set that is in many pairs is neither repeated for each nor makes one task hold them all."""
-    spark = source.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK_PAIRS)).cast("int").alias("chunk")
     dealt = stored(pairs.join(degree, "a").select("a", chunk, "b"), "dealt")
     own = dealt.select(F.col("a").alias("fp"), "a", "chunk", F.lit(None).cast("long").alias("b")).distinct()
     places = stored(own.union(dealt.select(F.col("b").alias("fp"), "a", "chunk", "b")).join(reps, "fp"), "places")
-    wanted = spark.sparkContext.broadcast(name_filter(places.select(F.col("fp").bitwiseXOR(F.col("row"))).distinct()))
+    met = with_sets(source, places, words).select("a", "chunk", "b", "hashes")
+    ordered = met.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+    found = stored(ordered.mapInArrow(lambda batches: _agreeing(batches, least), "a long, b long").distinct(), "agreeing")
+    discard(dealt, places)
+    return found
+
+
+def with_sets(source: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """``places``, which is written and has ``fp`` and ``row``, with the set of that row of ``source(row, text)``
+    as ``hashes``. Sets are made once more from the texts; only wanted ones leave their task."""
+    wanted = source.sparkSession.sparkContext.broadcast(name_filter(places.select(F.col("fp").bitwiseXOR(F.col("row"))).distinct()))
 
     def sets(batches):
         for batch in tb.chunks(batches):
@@ -261,67 +304,115 @@ def verified(source: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, l
             raw = packed_sets(np.concatenate([np.zeros(0, np.uint64), *cut]), ends)
             yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(row[at]), pa.array(raw, pa.binary())], names=["fp", "row", "hashes"])
 
-    met = source.mapInArrow(sets, "fp long, row long, hashes binary").join(broadcast_if_small(places), ["fp", "row"]).select("a", "chunk", "b", "hashes")
-    ordered = met.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
-    found = stored(ordered.mapInArrow(lambda batches: _agreeing(batches, least), "a long, b long").distinct(), "agreeing")
-    discard(dealt, places)
-    return found
+    made = source.mapInArrow(sets, "fp long, row long, hashes binary")
+    return made.join(broadcast_if_small(places), ["fp", "row"])
 
 
-def _proposed(fps: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b, apart)``, a < b, of names in ``fps(fp, s0, s1, bands)`` to be held against each
-    other, with the number of bits in which their sketches differ."""
+def _met(fps: DataFrame) -> DataFrame:
+    """``bucket, fp, s0, s1`` of ``fps(fp, s0, s1, bands)``, without buckets that hold a single set."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chance = (1 - least) / 2  # of a bit to differ
-    far = int(HASHES * chance + SLACK * (HASHES * chance * (1 - chance)) ** 0.5)
-    rows = fps.select("fp", "s0", "s1", "bands").mapInArrow(_banded, "bucket long, fp long, s0 long, s1 long")
-    rows = rows.repartitionByRange(parts, "bucket", "fp").sortWithinPartitions("bucket", "fp")
-    bucket_rows = BUCKET_ROWS
-    found = stored(rows.mapInArrow(lambda batches: _candidates(batches, far, max(0, far // 4), bucket_rows), FOUND), "candidates")
-    members = found.filter("b IS NULL").select("bucket", "a", "s0", "s1", "score")
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = members.join(size, "bucket")
-    # A task's best of a bucket first, so that no bucket's members meet in one task.
-    rank = lambda *by: F.row_number().over(Window.partitionBy("bucket", *by).orderBy(F.desc("score"), "a"))
-    top = members.withColumn("r", rank(F.pmod(F.xxhash64("a"), F.lit(4 * parts)))).filter((F.col("r") <= LEADERS) | (F.col("n") <= BUCKET_ROWS))
-    top = top.withColumn("r", rank()).filter((F.col("r") <= LEADERS) | (F.col("n") <= BUCKET_ROWS))
-    leaders = stored(top.select("bucket", F.col("a").alias("l"), F.col("s0").alias("l0"), F.col("s1").alias("l1")), "leaders")
-    apart = (F.bit_count(F.col("s0").bitwiseXOR(F.col("l0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l1")))).cast("int")
-    led = members.join(leaders.withColumnRenamed("bucket", "k"), (F.col("bucket") == F.col("k")) & (apart <= far) & (F.col("a") != F.col("l")))
-    led = led.select(F.least("a", "l").alias("a"), F.greatest("a", "l").alias("b"), apart.alias("apart"))
-    return found.filter("b IS NOT NULL").select("a", "b", F.col("score").alias("apart")).union(led).distinct()
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, least: float = LEAST_JACCARD) -> DataFrame:
+    rows = fps.select("fp", "s0", "s1", "bands").mapInArrow(_banded, MET)
+    return rows.repartitionByRange(parts, "bucket", "fp").sortWithinPartitions("bucket", "fp").mapInArrow(_not_alone, MET)
+
+
+CELL = "bucket long, i int, j int, side int, fp long, root long"
+FAR = lambda chance: int(HASHES * chance + SLACK * (HASHES * chance * (1 - chance)) ** 0.5)  # noqa: E731  bits, of a chance to differ
+
+
+def _placed(met: DataFrame, roots: DataFrame | None, rows: int) -> DataFrame:
+    """``met`` with the root of each set and, of its bucket, the sets ``n``, the most frequent root ``most``, the
+    sets ``beside`` that; buckets whose sets have one root are left out. ``rows`` is a piece's size."""
+    if roots is None:
+        placed = met.withColumn("root", F.col("fp"))
+    else:
+        placed = met.join(broadcast_if_small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    size = by_root.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("r")).filter("r > 1")
+    pieces = lambda n: F.ceil(n / rows).cast("int")
+    beside = F.col("n") - F.col("most.m")
+    size = size.select("bucket", F.col("most.root").alias("most"), pieces(F.col("n")).alias("pieces"), pieces(beside).alias("beside"))
+    return placed.join(broadcast_if_small(stored(size, "sizes")), "bucket")
+
+
+def _piece(pieces: str) -> Column:
+    return F.pmod(F.xxhash64("fp"), F.col(pieces)).cast("int")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _proposed(met: DataFrame, roots: DataFrame | None, least: float) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of sets that share a bucket, have different roots and near sketches: of
+    each set its nearest and the nearest typical one. Large buckets are searched piece by piece."""
+    far = FAR((1 - least) / 2)
+    cells = _placed(met, roots, BUCKET_ROWS).withColumns({"i": _piece("pieces"), "j": F.lit(0)}).select("bucket", "i", "j", "fp", "s0", "s1", "root")
+    found = _dealt(cells).mapInArrow(lambda batches: _nearest(batches, far), FOUND)
+    found = found.groupBy("a", "kind").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _left(source: DataFrame, reps: DataFrame, met: DataFrame, roots: DataFrame | None, words: int, least: float) -> DataFrame:
+    """Links ``(a, b)`` that join all that is left to join: every two sets that share a bucket, have
+    different roots and near sketches are held against each other, sets and not pairs being moved.
+
+    In a bucket larger than ``CELL_ROWS`` every set that does not have the most frequent root meets
+    every piece; those that have it need not meet each other, so that a class of any size is met
+    in one pass by what stands beside it."""
+    far, zero, one = FAR((1 - least) / 2), F.lit(0), F.lit(1)
+    placed = _placed(met, roots, CELL_ROWS)
+    columns = ["bucket", "i", "j", "side", "fp", "s0", "s1", "root"]
+    large = F.col("pieces") > 1
+    small = placed.filter(~large).withColumns({"i": zero, "j": zero, "side": zero}).select(columns)
+    beside = placed.filter(large & (F.col("root") != F.col("most"))).withColumns({"i": _piece("beside"), "side": zero})
+    every = placed.filter(large).withColumns({"j": _piece("pieces"), "side": one})
+    cells = small.union(beside.withColumn("j", F.explode(F.sequence(zero, F.col("pieces") - 1))).select(columns))
+    cells = cells.union(every.withColumn("i", F.explode(F.sequence(zero, F.col("beside") - 1))).select(columns))
+    asked = _dealt(cells).mapInArrow(lambda batches: _in_question(batches, far), CELL)
+    asked = stored(asked.join(reps, "fp"), "in-question")
+    found = _dealt(with_sets(source, asked, words)).mapInArrow(lambda batches: _linked(batches, least), "a long, b long")
+    return stored(found.distinct(), "left")
+
+
+def _fingerprint_links(rows: DataFrame) -> DataFrame:
+    """Links of set names in ``rows(fp, sim)`` whose fingerprints ``sim`` are equal or, as op2 has it, linked."""
+    named_by = stored(rows.groupBy("sim").agg(F.min("fp").alias("least"), F.max("fp").alias("most")), "by-fingerprint")
+    several = named_by.filter("least <> most").select("sim", "least")
+    equal = rows.select("sim", "fp").distinct().join(broadcast_if_small(several), "sim").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    near = simhash.fingerprint_links(named_by.select(F.col("sim").alias("fp")))
+    for c in ("a", "b"):
+        near = near.join(named_by.select(F.col("sim").alias(c), F.col("least").alias(f"{c}_name")), c)
+    return equal.union(near.select("a_name", "b_name")).filter("a <> b").distinct()
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, least: float = LEAST_JACCARD,
+                fingerprints: bool = False) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row per row of ``docs``: the class of its document under
     links of documents whose sets of ``words``-word shingles have similarity ``least`` or more.
 
     A text of fewer words is one shingle; texts without words are copies of each other. Every link
     is verified on the sets; which pairs are held against each other is drawn by minimum hashes, so
-    a pair just at the bound is missed with chance 0.002, a closer one more rarely. In buckets of
-    more than ``BUCKET_ROWS`` sets a set meets its best matches of the piece and the bucket's
-    ``LEADERS`` most typical sets, not all others. ``component_id`` is as in ``near_duplicates``."""
+    a pair just at the bound is missed with chance 0.002, a closer one more rarely. Buckets have no
+    cap: a pair that shares one is left out only if its ends are linked already or its sketches
+    are too far apart. ``component_id`` is as in ``near_duplicates``. With ``fingerprints`` documents are
+    linked as well that ``simhash.near_duplicates`` links."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("row"), F.col(text).cast("string").alias("text"))
-    made = tb.with_columns(given, "text", "fp long, s0 long, s1 long, bands binary", lambda c: _sketched(c, words), keep_text=False)
+    made = tb.with_columns(given, "text", "fp long, s0 long, s1 long, bands binary, sim long", lambda c: _sketched(c, words), keep_text=False)
     rows = stored(made, "sketches")
     fps = rows.filter("fp <> 0").groupBy("fp").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("s0", "s1", "bands")))
     fps = stored(fps, "fps")
-    proposed = stored(_proposed(fps, least), "proposed")
-    check = lambda pairs: verified(given.select("row", "text"), fps.select("fp", "row"), pairs, words, least)
-    # Each set's nearest partner comes first, then the nearest of each other class, then what is
-    # left between classes; a pair whose ends are linked already need not be held together.
-    left, links, tried = proposed, None, []
-    for nearest in (["b"], ["b", "a_root"], None):
-        if links is not None:
-            roots = stored(components(links), "roots")
-            root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            left = left.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumn("a_root", F.coalesce("a_root", "a")).filter(F.col("a_root") != F.coalesce("b_root", "b"))
-        both = left.union(left.select(*[{"a": "b", "b": "a"}.get(c, c) for c in left.columns])) if nearest == ["b"] else left
-        now = left if nearest is None else both.groupBy(*nearest).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a")).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
-        now = stored(now.select("a", "b"), "now")
-        sure = check(now)
+    met = stored(_met(fps), "met")
+    links = stored(_fingerprint_links(rows.select("fp", "sim")), "fingerprint-links") if fingerprints else None
+    # Each set meets its nearest and the nearest typical set of its buckets first, then again of other
+    # classes, then all that is left between classes; sets that are linked already need not meet.
+    source, reps, roots = given.select("row", "text"), fps.select("fp", "row"), None
+    for _ in range(ROUNDS):
+        roots = roots if links is None else stored(components(links), "roots")
+        sure = verified(source, reps, stored(_proposed(met, roots, least), "proposed"), words, least)
         links = sure if links is None else links.union(sure)
-        left = stored(left.select("a", "b", "apart").join(now, ["a", "b"], "left_anti"), "left")
-        tried += [now, left]
-    discard(fps, proposed, *tried)
+    roots = roots if links is None else stored(components(links), "roots")
+    rest = _left(source, reps, met, roots, words, least)
+    links = rest if links is None else links.union(rest)
+    discard(fps, met)
     return classes(rows.select("doc_id", "fp"), links)
