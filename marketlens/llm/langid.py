@@ -34,7 +34,7 @@ def predicted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _gram_counts(batches):
     """Per chunk and language: counts of the grams of each order that end at a predicted code
     and stay within one word and the zero before it."""
-    for batch in tb.chunks(batches):
+    for batch in tb.chunks(batches, limit=tb.LETTER_BYTES):
         langs = batch.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             part = batch.column("text").filter(pa.array([x == lang for x in langs]))
@@ -222,7 +222,7 @@ def train(docs: DataFrame, only: Column | None = None, text: str = "text", lang:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def costs(batches):
-        for batch in tb.chunks(batches):
+        for batch in tb.chunks(batches, limit=tb.LETTER_BYTES):
             m = shared.value
             codes, first, _ = letters(batch.column("text"))
             start, of, own = spelled(codes)
@@ -261,4 +261,4 @@ def identified(docs: DataFrame, models: LanguageModels, text: str = "text") -> D
         best, chance, odd = shared.value.predict(column)
         return [pa.array(labels[best], pa.string()), pa.array(chance), pa.array(odd)]
 
-    return tb.with_columns(docs, text, "lang_pred string, lang_score double, lang_odd double", run)
+    return tb.with_columns(docs, text, "lang_pred string, lang_score double, lang_odd double", run, limit=tb.LETTER_BYTES)

@@ -8,6 +8,7 @@ code points.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 
 CHUNK_BYTES = 2 << 20  # text handled at once in a task; a longer single text forms its own chunk
+LETTER_BYTES = CHUNK_BYTES // 4  # the same where every letter becomes some numbers of eight bytes
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,8 +44,17 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def released() -> None:
+    """Give freed memory back to the machine: a worker waits for its next task with all it ever held
+    otherwise, beside the workers and the executor that are at work. Does nothing without glibc."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each piece has at most ``limit`` bytes of text, or one row."""
+    """The batches cut so that each piece has at most ``limit`` bytes of text, or one row. Memory is
+    :func:`released` after each batch."""
     for batch in batches:
         _, at = texts(batch.column(column))
         lo = 0
@@ -51,9 +62,13 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch, at
+        released()
 
 
-def with_columns(docs: DataFrame, text: str, made: str, run: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True) -> DataFrame:
+def with_columns(
+    docs: DataFrame, text: str, made: str, run: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True, limit: int = CHUNK_BYTES,
+) -> DataFrame:
     """The frame with columns (``made``, as DDL) that ``run`` works out from its text, chunk by
     chunk; columns of these names are replaced. Every column passes through the task once."""
     more = T.StructType.fromDDL(made).fields
@@ -65,7 +80,7 @@ def with_columns(docs: DataFrame, text: str, made: str, run: Callable[[pa.Array]
     schema = T.StructType([*(body.schema.fields[i] for i in left), *(T.StructField(f"m{i}", f.dataType) for i, f in enumerate(more))])
 
     def each(batches):
-        for batch in chunks(batches, f"c{at}"):
+        for batch in chunks(batches, f"c{at}", limit):
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), *run(batch.column(at))], names=schema.names)
 
     return body.mapInArrow(each, schema).toDF(*(kept[i] for i in left), *names)

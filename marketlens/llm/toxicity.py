@@ -75,7 +75,7 @@ class ToxicityModel:
 
 def _gram_counts(batches):
     """Per chunk: in how many documents of either label the words with a gram occur."""
-    for batch in tb.chunks(batches):
+    for batch in tb.chunks(batches, limit=tb.LETTER_BYTES):
         codes, first, _ = letters(batch.column("text"))
         start, of, h, whose = grams(codes)
         if not len(h):
@@ -95,7 +95,7 @@ def _gram_counts(batches):
 def _bags(batches, table: SortedTable):
     """Per document: its label, the number of sentences with letters, and the (sentence, gram)
     pairs of the model's grams."""
-    for batch in tb.chunks(batches):
+    for batch in tb.chunks(batches, limit=tb.LETTER_BYTES):
         codes, first, sentence = letters(batch.column("text"))
         pair = held_grams(codes, sentence, table)
         total = int(sentence[-1]) + 1
@@ -172,7 +172,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
 
     A null text, an empty one or one without letters has no sentence and score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
-    return tb.with_columns(docs, text, f"`{out}` double", lambda column: [pa.array(shared.value.score(column))])
+    return tb.with_columns(docs, text, f"`{out}` double", lambda column: [pa.array(shared.value.score(column))], limit=tb.LETTER_BYTES)
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
@@ -183,7 +183,7 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in tb.chunks(batches):
+        for batch in tb.chunks(batches, limit=tb.LETTER_BYTES):
             p, first, begin = shared.value.sentences(batch.column("text"))
             codes, _, _ = letters(batch.column("text"))
             hit = np.flatnonzero(p >= least)

@@ -88,3 +88,20 @@ def test_query_on_given_tables(spark):
     right = sum(r.predicted == r.toxic for r in rows)
     assert right >= 0.9 * len(rows)
     assert spark.read.parquet(f"{sf}/documents.parquet").count() == QUERIES["op8_toxicity"](spark, sf).select("doc_id").distinct().count()
+
+
+def test_a_task_holds_the_letters_of_little_text_and_gives_memory_back(monkeypatch):
+    """A task on 4 MB of text in two batches: no more than 512 kB of it become letters at once, and what
+    was held goes back after each batch."""
+    seen, back = [], []
+    plain = toxicity.letters
+    monkeypatch.setattr(toxicity, "letters", lambda column: seen.append(sum(map(len, column.to_pylist()))) or plain(column))
+    monkeypatch.setattr(toxicity.tb, "released", lambda: back.append(len(seen)), raising=False)
+    text = "some plain words of a text. " * 350
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 200), pa.array([1, 0] * 100)], names=["text", "label"])
+    rows = pa.Table.from_batches(toxicity._gram_counts([batch, batch]))
+    assert max(seen) <= 512 << 10
+    assert sum(seen) == 400 * len(text)
+    assert len(back) == 2 and back[0] == len(seen) // 2
+    total = rows.group_by("gram").aggregate([("pos", "sum"), ("neg", "sum")])
+    assert set(total.column("pos_sum").to_pylist()) <= {200, 400, 600, 800}
