@@ -111,3 +111,16 @@ def test_export(spark, terms, devices, tmp_path):
     assert back.count() == terms.count() and "cleared_count" in back.columns
     export_tables(tables, str(tmp_path / "x"), "csv", {"summary": "rank"})
     assert spark.read.option("header", True).csv(written["biomarker_applicants"]).filter("term = 'RF'").first()["applicants"] == "Gamma"
+
+
+def test_report_works_out_the_shown_facts_once(spark):
+    """Three tables of a report read the same written facts, not the joins these came from."""
+    terms = spark.createDataFrame([("a",), ("b",)], "term string")
+    rows = [("a", f"K{i}", "exact", "d", "x", "Substantially Equivalent", None, None) for i in range(3)]
+    details = spark.createDataFrame(rows, "term string, k_number string, match_mode string, device_name string, applicant string, decision_description string, decision_date date, panel string")
+    unconfirmed = details.limit(0).withColumn("confidence", F.lit("inferred")).withColumn("via_k_number", F.lit(""))
+    tables = mk.report(terms, details, unconfirmed, mk.Filters(exclude_panels=("LOW",)), mk.FEWEST_APPROVALS, "2024-05-06")
+    files = set(tables["details"].inputFiles())
+    assert files and files <= set(tables["biomarker_applicants"].inputFiles())
+    assert {(r.term, r.total_submissions) for r in tables["summary"].collect()} == {("a", 3), ("b", 0)}
+    assert sorted(r.k_number for r in tables["details"].collect()) == ["K0", "K1", "K2"]
