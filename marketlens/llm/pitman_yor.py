@@ -97,13 +97,9 @@ BLOCKS = "block long, texts binary, words binary, sizes binary, classes binary,
 NUMBER_BITS = 28  # of a word's number in its block; with the block's they make a place
 
 
-def _blocks(batches, block_tokens: int):
-    """One row per block: its documents, each token as a number of a (word, class) cell, and its
-    cells with their counts in documents that are learned from."""
-    from pyspark import TaskContext
-
-    block = TaskContext.get().partitionId() << 12
-    held, size = [], 0
+def token_parts(batches):
+    """Of some documents at once: ids, whether there is one, whether held out, numbers of tokens, and
+    the tokens' hashes with an end after each document."""
     for batch in tb.chunks(batches):
         data, offsets = tb.texts(batch.column("text"))
         data = tb.LOWER[data]
@@ -111,8 +107,19 @@ def _blocks(batches, block_tokens: int):
         n = np.diff(first)
         tokens = np.insert(tb.word_hashes(data, start, end), first[1:], END)
         ids = batch.column("doc_id")
-        held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), batch.column("held_out").to_numpy(zero_copy_only=False), n + 1, tokens))
-        size += len(tokens)
+        yield ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), batch.column("held_out").to_numpy(zero_copy_only=False), n + 1, tokens
+
+
+def _blocks(batches, block_tokens: int):
+    """One row per block: its documents, each token as a number of a (word, class) cell, and its
+    cells with their counts in documents that are learned from."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 12
+    held, size = [], 0
+    for part in token_parts(batches):
+        held.append(part)
+        size += len(part[-1])
         if size >= block_tokens:
             yield _block(block, held)
             block, held, size = block + 1, [], 0
@@ -424,6 +431,11 @@ def _block_scores(texts: list[bytes], answers: list, model: Model) -> pa.RecordB
     logs = logs[by_cell].astype(np.float64)
     count = np.repeat(count, size)[by_cell]
     ids, known, held, lengths, tokens = (_unpacked(x, t) for x, t in zip(texts, ("<i8", "<u1", "<u1", "<i8", "<u4")))
+    return document_scores(ids, known, held, lengths, tokens, count, logs, model)
+
+
+def document_scores(ids, known, held, lengths, tokens, count, logs, model) -> pa.RecordBatch:
+    """From documents as tokens that number cells, and their cells' counts and probabilities."""
     first = np.concatenate([[0], np.cumsum(lengths)])
     base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.kinds + 1)))
     return pa.RecordBatch.from_arrays([
@@ -433,10 +445,15 @@ def _block_scores(texts: list[bytes], answers: list, model: Model) -> pa.RecordB
     ], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
+def _body(docs: DataFrame, held_out: Column, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", prior: Prior | None = None, sweeps: int = SWEEPS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``, the last the model's log10 probability of the text.
 
+    The context of a word is the whole word before it; each has a restaurant of its own.
     Learned from are the rows for which ``held_out`` is not true. Tokens are runs of characters
     other than white space, A-Z in lower case, and one end for each text, also an empty or null
     one. ``base_score`` smooths single words by 0.1. All words that were not learned count as one
@@ -444,10 +461,17 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
 
     Words are told apart by a 64-bit hash. An empty table gives an empty result; if nothing is
     learned from, every token has the probability of the unknown kind."""
+    from marketlens.llm import word_contexts
+
+    return word_contexts.score(_body(docs, held_out, doc_id, text), prior or Prior(), sweeps, block_tokens)
+
+
+def score_by_class(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", prior: Prior | None = None, sweeps: int = SWEEPS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """As :func:`score`, with words before told apart only by ``CLASS_BITS`` of their hash, which is
+    coarser and takes less disk. No query uses it."""
     prior = prior or Prior()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    blocks = stored(body.mapInArrow(lambda batches: _blocks(batches, block_tokens), BLOCKS), "blocks")
+    blocks = stored(_body(docs, held_out, doc_id, text).mapInArrow(lambda batches: _blocks(batches, block_tokens), BLOCKS), "blocks")
     requests = blocks.select("block", "words", "sizes", "classes", "counts").mapInArrow(
         _requests, "word long, place long, classes binary, counts binary")
     learned = requests.select("word", "classes", "counts").repartition(parts, "word").sortWithinPartitions("word")
