@@ -1,9 +1,12 @@
 """Language-model scores of documents: a hierarchical Pitman-Yor model of words in context.
 
-Every class of the word before is a restaurant whose parent is the restaurant of single words.
-Counts cover the whole corpus, so nothing of the model is broadcast but the totals of its
-restaurants, whose number is fixed. Documents do not travel either: a task turns its texts into
-blocks, a block asks for each of its distinct words once, and answers come back by block.
+``score`` has a restaurant for every whole word before, see ``word_contexts``; its parent is the
+restaurant of single words. What both models share is here: tokens, seats, packed numbers.
+
+``score_by_class`` is the coarser model, with a restaurant for every class of the word before.
+Counts cover the whole corpus, so nothing of it is broadcast but the totals of its restaurants,
+whose number is fixed. Documents do not travel either: a task turns its texts into blocks, a
+block asks for each of its distinct words once, and answers come back by block.
 """
 
 from __future__ import annotations
