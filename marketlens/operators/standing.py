@@ -92,7 +92,7 @@ def fold(spark: SparkSession, base: str, records: DataFrame, batch: str | None =
     if clauses is not None:
         change.append("masks", _masks(new, _watched(clauses, terms)))
     if batch is not None:
-        change.append("batches", spark.createDataFrame([(batch,)], "batch string"))
+        change.append("batches", spark.range(1).select(F.lit(batch).alias("batch")))
     after = change.commit()
     discard(new)
     return after
@@ -103,8 +103,10 @@ def masks(spark: SparkSession, at: State) -> DataFrame | None:
     rows, terms = at.read(spark, "masks"), at.read(spark, "terms")
     if rows is None or terms is None:
         return None
-    now = live(_watched(rows, terms), at.read(spark, "replaced"), [KEY])
-    return now.groupBy("term_id", KEY).agg(F.bit_or("tiers").alias("tiers"))
+    now = live(_watched(rows, terms), at.read(spark, "replaced"), [KEY], measured=True)
+    # A key lives in one commit alone, whose masks are united already; records without a key in many.
+    nameless = now.filter(F.col(KEY).isNull()).groupBy("term_id", KEY).agg(F.bit_or("tiers").alias("tiers"))
+    return now.filter(F.col(KEY).isNotNull()).select("term_id", KEY, "tiers").unionByName(nameless)
 
 
 def matches(spark: SparkSession, at: State) -> DataFrame:
@@ -137,17 +139,19 @@ def changed(spark: SparkSession, base: str, before: int, after: int | None = Non
         ids = ids.unionByName(terms.join(broadcast_if_small(stays), ["term_id", SINCE], "left_anti").select("term_id"))
     touched = stored(ids.distinct(), "touched")
 
+    names = F.array(*[F.lit(t) for t in pl.TIERS])
+
     def labels(at: State, out: str) -> DataFrame:
         found = masks(spark, at)
         if found is None:
             found = masks(spark, last).limit(0)
-        return m.tier_waterfall(among(found, touched, ["term_id"])).select("term_id", KEY, F.col("match_mode").alias(out))
+        place = F.array_position(names, F.col("match_mode")).cast("int")
+        return m.tier_waterfall(among(found, touched, ["term_id"])).select("term_id", KEY, place.alias(out))
 
-    was, now = labels(first, "was").alias("a"), labels(last, "now").alias("b")
-    same = (F.col("a.term_id") == F.col("b.term_id")) & F.col(f"a.{KEY}").eqNullSafe(F.col(f"b.{KEY}"))
-    both = was.join(now, same, "full_outer").filter("NOT (was <=> now)")
-    key = F.when(F.col("a.term_id").isNull(), F.col(f"b.{KEY}")).otherwise(F.col(f"a.{KEY}"))
-    return both.select(F.coalesce("a.term_id", "b.term_id").alias("term_id"), key.alias(KEY), "was", "now")
+    # Numbers for labels, so that both sides meet in one aggregate, which sorts nothing.
+    both = labels(first, "was").unionByName(labels(last, "now"), allowMissingColumns=True)
+    told = both.groupBy("term_id", KEY).agg(F.max("was").alias("was"), F.max("now").alias("now")).filter("NOT (was <=> now)")
+    return told.select("term_id", KEY, *(F.get(names, F.col(c) - 1).alias(c) for c in ("was", "now")))
 
 
 def compact(spark: SparkSession, base: str) -> State:
