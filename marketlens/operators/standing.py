@@ -20,7 +20,7 @@ from marketlens.operators import matching as m
 from marketlens.operators.commits import Change, State, state
 from marketlens.operators.deltas import AT, among, compacted, live
 from marketlens.plans import tiers as pl
-from marketlens.session import broadcast_if_small, discard, stored
+from marketlens.session import broadcast_if_small, discard, fits_broadcast, stored
 from marketlens.sources.scans import spread
 
 KEY = "k_number"
@@ -109,13 +109,18 @@ def masks(spark: SparkSession, at: State) -> DataFrame | None:
     return now.filter(F.col(KEY).isNotNull()).select("term_id", KEY, "tiers").unionByName(nameless)
 
 
+def _waterfall(rows: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """What a term found is one row of a few numbers, as a watched term is."""
+    return m.tier_waterfall(rows, small_terms=terms is not None and fits_broadcast(terms))
+
+
 def matches(spark: SparkSession, at: State) -> DataFrame:
     """``term_id, k_number, match_mode, tiers`` of all watched terms as of a commit, as
     :func:`matching.match_terms` gives them over the records' last copies."""
     rows = masks(spark, at)
     if rows is None:
         raise LookupError("no term is watched over any record yet")
-    return m.tier_waterfall(rows)
+    return _waterfall(rows, at.read(spark, "terms"))
 
 
 def changed(spark: SparkSession, base: str, before: int, after: int | None = None) -> DataFrame:
@@ -146,7 +151,7 @@ def changed(spark: SparkSession, base: str, before: int, after: int | None = Non
         if found is None:
             found = masks(spark, last).limit(0)
         place = F.array_position(names, F.col("match_mode")).cast("int")
-        return m.tier_waterfall(among(found, touched, ["term_id"])).select("term_id", KEY, place.alias(out))
+        return _waterfall(among(found, touched, ["term_id"]), at.read(spark, "terms")).select("term_id", KEY, place.alias(out))
 
     # Numbers for labels, so that both sides meet in one aggregate, which sorts nothing.
     both = labels(first, "was").unionByName(labels(last, "now"), allowMissingColumns=True)
